@@ -14,12 +14,14 @@ def list_product(arrays: Sequence[Column]) -> Column:
         return F.array(F.array())
     result = F.transform(arrays[0], lambda x: F.array(x))
     for values in arrays[1:]:
-        result = F.flatten(
-            F.transform(result, lambda p, v=values: F.transform(v, lambda x, p=p: F.concat(p, F.array(x))))
-        )
+        result = F.flatten(F.transform(result, lambda prefix: _extensions(prefix, values)))  # noqa: B023
     return result
 
 
+def _extensions(prefix: Column, values: Column) -> Column:
+    return F.transform(values, lambda x: F.concat(prefix, F.array(x)))
+
+
 def pluck(rows: Column, i: int = 0, limit: int | None = None) -> Column:
     """Element `i` of each inner array, of the first `limit` rows or all."""
     taken = F.slice(rows, 1, limit) if limit else rows

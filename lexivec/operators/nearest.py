@@ -160,7 +160,10 @@ def _with_grid(
     def blocks(df: DataFrame) -> int:
         return max(1, math.ceil(measure(df)[1] / block_bytes))
 
-    rows, columns = blocks(corpus.select("id", "vector")), blocks(queries.select("query_id", "vector"))
+    rows, columns = blocks(corpus), blocks(queries)
+    if k:
+        # A cell also holds k hits per query.
+        columns = max(columns, math.ceil(queries.count() * k * 32 / (2 * block_bytes)))
     left = corpus.select(
         F.pmod(F.xxhash64("id"), F.lit(rows)).alias("row"),
         F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"),
@@ -168,7 +171,7 @@ def _with_grid(
         "vector",
     )
     right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("row"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"),
         F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int").alias("column"),
         "query_id",
         "vector",
