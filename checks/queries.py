@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import collections as lists
 from lexivec.functions import scores, text, vectors
 from lexivec.functions.prep import CONTENT_WORDS, STEMMED_WORDS, WORDS, apply_steps
+from lexivec.functions.text import WORD
 from lexivec.operators import bm25, encode, evaluate, nearest, prepare, ranking, rerank
 from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
@@ -478,7 +479,7 @@ def rerank_topk(spark, sf_dir):
 def overlap_scorer():
     import regex
 
-    word = regex.compile(text.WORD)
+    word = regex.compile(WORD)
 
     def score(queries, texts):
         found = []

@@ -1,5 +1,9 @@
 """Hybrid text search as Spark jobs: keyword ranking, vector ranking and reranking over DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from lexivec.operators.bm25 import BM25Config, Index, build_index, search
 from lexivec.operators.nearest import vector_topk, vector_topk_batch
 from lexivec.operators.rerank import rerank, score_pairs
@@ -29,3 +33,6 @@ __all__ = [
     "vector_topk",
     "vector_topk_batch",
 ]
+
+# Python functions of this package travel with the jobs that use them, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 VOWEL = "[aeiouy]"
 
+# Words that a task remembers at once.
+REMEMBERED = 1_000_000
+
 # The exceptional words of the published rules and their stems.
 IRREGULAR = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -117,7 +120,6 @@ def _final_letter(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """The stem of one lower-case word; a leading `!` stays in front."""
     if word.startswith("!"):
@@ -143,12 +145,23 @@ def stem(word: str) -> str:
 def stem_tokens(tokens: Column) -> Column:
     """Stem each token of an array.
 
-    The arrays go through Python batch by batch and need no shuffle; each worker
-    remembers the words it has seen, so a word is worked out once per worker.
+    The arrays go through Python batch by batch and need no shuffle. A task
+    remembers the words it has seen, so a word is worked out once per task.
     """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stems(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda words: None if words is None else [stem(w) for w in words])
+    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+
+        def look_up(word: str) -> str:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[word] = stem(word)
+            return found
+
+        for batch in batches:
+            yield batch.map(lambda words: None if words is None else [look_up(w) for w in words])
 
     return stems(tokens)

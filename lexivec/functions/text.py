@@ -95,44 +95,48 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 
 def _char_class(chars: str) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"
+    """A regular-expression class, with runs of characters as ranges."""
+    codes = sorted({ord(c) for c in chars})
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def _append(text: Column, tails: dict[str, str]) -> Column:
+    """Put each tail after every one of its characters."""
+    classes, puts = "\n".join(_char_class(c) for c in tails.values()), "\n".join("$0" + t for t in tails)
+    # One constant each, which Spark splits once; hundreds of literals would be slow to build.
+    rules = F.arrays_zip(F.split(F.lit(classes), "\n").alias("chars"), F.split(F.lit(puts), "\n").alias("put"))
+    return F.aggregate(rules, text, lambda done, rule: F.regexp_replace(done, rule["chars"], rule["put"]))
 
 
 def _split_hangul(text: Column) -> Column:
     """Hangul syllables as their letters, by the arithmetic of the Unicode standard."""
     first, vowel, last, syllable = 0x1100, 0x1161, 0x11A7, 0xAC00
-    for t in range(1, 28):
-        with_last = "".join(chr(syllable + lv * 28 + t) for lv in range(19 * 21))
-        text = F.regexp_replace(text, _char_class(with_last), "$0" + chr(last + t))
-    open_syllables = [chr(syllable + lv * 28) for lv in range(19 * 21)]
-    text = F.translate(
-        text,
-        "".join(chr(syllable + lv * 28 + t) for lv in range(19 * 21) for t in range(1, 28)),
-        "".join(open_syllables[lv] for lv in range(19 * 21) for t in range(1, 28)),
-    )
-    for v in range(21):
-        with_vowel = "".join(open_syllables[lead * 21 + v] for lead in range(19))
-        text = F.regexp_replace(text, _char_class(with_vowel), "$0" + chr(vowel + v))
-    return F.translate(
-        text, "".join(open_syllables), "".join(chr(first + lv // 21) for lv in range(19 * 21))
-    )
+    pairs = range(19 * 21)
+    open_syllables = [chr(syllable + pair * 28) for pair in pairs]
+    closed = {chr(last + t): "".join(chr(syllable + pair * 28 + t) for pair in pairs) for t in range(1, 28)}
+    by_vowel = {chr(vowel + v): "".join(open_syllables[v::21]) for v in range(21)}
+    text = F.translate(_append(text, closed), "".join(closed.values()), "".join(open_syllables) * 27)
+    leads = "".join(chr(first + pair // 21) for pair in pairs)
+    return F.translate(_append(text, by_vowel), "".join(open_syllables), leads)
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case, decompose, strip the marks U+0300 to U+036F.
 
-    Most texts need one `translate`. Characters that become several are handled
-    by replacements which run only on the texts that hold such characters.
+    ASCII texts need no more than lower case, and most others one `translate`.
+    Characters that become several are handled by replacements which run only on
+    the texts that hold such characters.
     """
     source, target, several = _decompositions()
     low = F.lower(text)
-    spread = low
-    for tail, chars in several.items():
-        spread = F.regexp_replace(spread, _char_class(chars), "$0" + tail)
-    hangul = "[가-힣]"
-    spread = F.when(low.rlike(hangul), _split_hangul(spread)).otherwise(spread)
-    rare = _char_class("".join(several.values()))[:-1] + "가-힣]"
-    return F.translate(F.when(low.rlike(rare), spread).otherwise(low), source, target)
+    rare = "".join(several.values())
+    # The plain range test is cheap and settles texts in European scripts.
+    is_rare = low.rlike(rf"[\x{{{ord(min(rare)):X}}}-\x{{10FFFF}}]") & low.rlike(_char_class(rare)[:-1] + "가-힣]")
+    spread = F.when(is_rare, _append(low, several)).otherwise(low)
+    spread = F.when(low.rlike("[가-힣]"), _split_hangul(spread)).otherwise(spread)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(spread, source, target)).otherwise(low)
 
 
 def keyword_contains(text: Column, query: Column | str) -> Column:

@@ -72,10 +72,11 @@ def dot_literal(x: Column, vector: Sequence[float]) -> Column:
     The sum is written out term by term, so it stays inside generated code; very
     long vectors use the array form.
     """
+    vector = [float(v) for v in vector]
     if len(vector) > UNROLL_LIMIT:
-        return dot(x, F.array(*[F.lit(float(v)) for v in vector]))
+        return dot(x, F.array(*[F.lit(v) for v in vector]))
     if not vector:
         return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.raise_error(F.lit("dot: vectors must have equal length")))
-    terms = [F.get(x, F.lit(i)).cast("double") * F.lit(float(v)) for i, v in enumerate(vector)]
+    terms = [F.get(x, F.lit(i)).cast("double") * F.lit(v) for i, v in enumerate(vector)]
     error = F.raise_error(F.lit("dot: vectors must have equal length")).cast("double")
     return F.when(F.size(x) != len(vector), error).otherwise(reduce(lambda s, t: s + t, terms))

@@ -98,13 +98,20 @@ class BM25Config:
         return apply_steps(text, self.steps(name))
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    """Which part of a stored index holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class Index:
     """A keyword index as tables.
 
     `postings(doc_id, term, freq, length)`, `documents(doc_id, length, retained...)`,
     `terms(term, df, idf)` and the one-row `totals(documents, total_length, mean_length)`.
-    An index that is not stored also has `occurrences(term)`, one row per term and document.
+    An index that is not stored also has the tables it is counted from: `tokens`, as
+    given by `token_stream`, and `occurrences(term)`, one row per term and document.
+    A stored index is laid out in `buckets` of terms, of which a search reads those it needs.
     """
 
     config: BM25Config
@@ -113,17 +120,35 @@ class Index:
     documents: DataFrame
     terms: DataFrame
     totals: DataFrame
+    tokens: DataFrame | None = None
     occurrences: DataFrame | None = None
+    buckets: int | None = None
+
+    def _in_buckets(self, table: DataFrame, used: DataFrame) -> DataFrame:
+        """The part of a stored table that can hold the used terms; at most one number per bucket is collected."""
+        found = [row[0] for row in used.select(bucket_of(F.col("term"), self.buckets)).distinct().collect()]
+        return table if len(found) == self.buckets else table.filter(F.col("bucket").isin(found))
+
+    def known_postings(self, used: DataFrame) -> DataFrame:
+        """Postings of the terms in a small table `used(term)`.
+
+        While an index is not yet stored, only the tokens of these terms are counted.
+        """
+        if self.buckets is not None:
+            return self._in_buckets(self.postings, used)
+        if self.tokens is None:
+            return self.postings
+        return _counts_of(self.tokens.join(F.broadcast(used), "term", "left_semi"), self.config)
 
     def known_terms(self, used: DataFrame) -> DataFrame:
         """Statistics of the terms in a small table `used(term)`.
 
         While an index is not yet stored, only these terms are counted.
         """
-        used = F.broadcast(used)
         if self.occurrences is None:
-            return self.terms.join(used, "term", "left_semi")
-        seen = self.occurrences.join(used, "term", "left_semi")
+            terms = self.terms if self.buckets is None else self._in_buckets(self.terms, used)
+            return terms.join(F.broadcast(used), "term", "left_semi")
+        seen = self.occurrences.join(F.broadcast(used), "term", "left_semi")
         return term_stats(seen, self.total("documents"), self.config.k)
 
     @property
@@ -163,37 +188,55 @@ def _token_arrays(docs: DataFrame, config: BM25Config, id_col: str) -> DataFrame
     return prepared.withColumn("length", sum(sizes[1:], sizes[0]).cast("double"))
 
 
-def token_stream(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
-    """Every token of every weighted field: `(doc_id, length, field, pos, term)`; `field` is its place in the config."""
+def _tokens_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
     fields = len(config.field_weights)
     pairs = [c for i in range(fields) for c in (F.lit(i), F.col(f"_tokens_{i}"))]
     return (
-        _token_arrays(docs, config, id_col)
-        .select("doc_id", "length", F.stack(F.lit(fields), *pairs).alias("field", "tokens"))
+        prepared.select("doc_id", "length", F.stack(F.lit(fields), *pairs).alias("field", "tokens"))
         .select("doc_id", "length", "field", F.posexplode("tokens").alias("pos", "term"))
         .filter(F.col("term").isNotNull())
     )
 
 
-def term_freq(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
-    """Weighted frequency of each term in each document, all fields merged: `(doc_id, term, freq, length)`.
-
-    Occurrences are counted per field and weighted afterwards, so `freq` does not
-    depend on the order in which rows arrive.
-    """
+def _counts_of(tokens: DataFrame, config: BM25Config) -> DataFrame:
+    # Counted per field and weighted afterwards, so `freq` does not depend on the order of rows.
     counts = {f"_n_{i}": F.count_if(F.col("field") == i) for i in range(len(config.field_weights))}
     freq = [F.col(n) * F.lit(w) for n, w in zip(counts, config.field_weights.values(), strict=True)]
     return (
-        token_stream(docs, config, id_col)
-        .groupBy("doc_id", "length", "term")
+        tokens.groupBy("doc_id", "length", "term")
         .agg(*(c.alias(n) for n, c in counts.items()))
         .select("doc_id", "term", sum(freq[1:], freq[0]).cast("double").alias("freq"), "length")
     )
 
 
+def _lengths_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
+    return prepared.select("doc_id", "length", *config.retained)
+
+
+def _occurrences_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
+    arrays = [F.coalesce(f"_tokens_{i}", F.array().cast("array<string>")) for i in range(len(config.field_weights))]
+    terms = prepared.select(F.explode(F.array_distinct(F.concat(*arrays))).alias("term"))
+    return terms.filter(F.col("term").isNotNull())
+
+
+def token_stream(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
+    """Every token of every weighted field: `(doc_id, length, field, pos, term)`; `field` is its place in the config."""
+    return _tokens_of(_token_arrays(docs, config, id_col), config)
+
+
+def term_freq(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
+    """Weighted frequency of each term in each document, all fields merged: `(doc_id, term, freq, length)`."""
+    return _counts_of(token_stream(docs, config, id_col), config)
+
+
 def doc_lengths(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
     """Weighted length and retained fields of every document; a document without tokens has length 0."""
-    return _token_arrays(docs, config, id_col).select("doc_id", "length", *config.retained)
+    return _lengths_of(_token_arrays(docs, config, id_col), config)
+
+
+def term_occurrences(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
+    """One row `(term)` per term and document."""
+    return _occurrences_of(_token_arrays(docs, config, id_col), config)
 
 
 def corpus_totals(documents: DataFrame) -> DataFrame:
@@ -203,14 +246,6 @@ def corpus_totals(documents: DataFrame) -> DataFrame:
     ).withColumn("mean_length", F.try_divide("total_length", "documents"))
 
 
-def term_occurrences(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
-    """One row `(term)` per term and document."""
-    arrays = [F.coalesce(F.col(f"_tokens_{i}"), F.array().cast("array<string>")) for i in range(len(config.field_weights))]
-    distinct = F.array_distinct(F.concat(*arrays))
-    terms = _token_arrays(docs, config, id_col).select(F.explode(distinct).alias("term"))
-    return terms.filter(F.col("term").isNotNull())
-
-
 def doc_freq(occurrences: DataFrame) -> DataFrame:
     """Number of documents that hold each term; the input has one row per term and document."""
     return occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -241,16 +276,18 @@ def build_index(
         require_documents(docs, id_col)
     columns = list(dict.fromkeys([id_col, *config.field_weights, *config.retained]))
     by_id = docs.select(*columns).repartition(partition_count(docs), id_col)
-    documents = doc_lengths(by_id, config, id_col)
+    prepared = _token_arrays(by_id, config, id_col)
+    documents, tokens = _lengths_of(prepared, config), _tokens_of(prepared, config)
+    occurrences = _occurrences_of(prepared, config)
     totals = corpus_totals(documents)
-    occurrences = term_occurrences(by_id, config, id_col)
     return Index(
         config,
         precision_of(precision),
-        postings=term_freq(by_id, config, id_col),
+        postings=_counts_of(tokens, config),
         documents=documents,
         terms=term_stats(occurrences, totals.select("documents").scalar(), config.k),
         totals=totals,
+        tokens=tokens,
         occurrences=occurrences,
     )
 
@@ -319,8 +356,9 @@ def match_scores(
     """
     terms = query_terms(queries, index.config, text)
     if is_small(terms, broadcast_rows):
-        known = terms.join(index.known_terms(terms.select("term").distinct()).select("term", "idf"), "term")
-        matched = index.postings.join(F.broadcast(known), "term")
+        used = terms.select("term").distinct()
+        known = terms.join(index.known_terms(used).select("term", "idf"), "term")
+        matched = index.known_postings(used).join(F.broadcast(known), "term")
     else:
         matched = _join_terms(index.postings, terms.join(index.terms.select("term", "idf"), "term"), index.terms)
     units = _weight_units(index.config, index.precision, index.total("mean_length"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.collections import last_value
-from lexivec.scale import BROADCAST_ROWS, is_small
+from lexivec.scale import BROADCAST_ROWS, top_per_group
 
 # Rows of a page, and the number of first hits that are reordered.
 PAGE = 10
@@ -16,10 +16,14 @@ HEAD = 20
 
 
 def attach_records(
-    hits: DataFrame, records: DataFrame, key: str = "doc_id", how: str = "inner", broadcast_rows: int = BROADCAST_ROWS
+    hits: DataFrame, records: DataFrame, key: str = "doc_id", how: str = "inner", most: int | None = None
 ) -> DataFrame:
-    """Add the record of each hit. Hits are broadcast if their measured size allows it."""
-    if how == "inner" and is_small(hits, broadcast_rows):
+    """Add the record of each hit.
+
+    `most` is a known bound on the number of hits. Under the broadcast limit the
+    hits go to the records, which then need no shuffle.
+    """
+    if how == "inner" and most is not None and most <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     return hits.join(records, key, how)
 
@@ -63,8 +67,6 @@ def head_sort(
 
     Only the heads are shuffled.
     """
-    from lexivec.scale import top_per_group
-
     first = top_per_group(
         ranked.filter(F.col(rank) <= head),
         ["query_id"],

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lexivec.functions.scores import sigmoid
 from lexivec.functions.text import tokenize
 from lexivec.operators.ranking import HEAD, splice
-from lexivec.scale import top_per_group
+from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, top_per_group
 
 # Called once per task; returns a function from (queries, texts) to one logit per pair.
 ScorerFactory = Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[float]]]
@@ -97,7 +97,11 @@ def rerank_head(
         raise ValueError("give either a scorer factory or a scorer expression")
     asked = queries.filter(is_asked(F.col("text"))).select("query_id", F.col("text").alias("query"))
     first = ranked.filter(F.col("rank") <= head)
-    pairs = first.join(asked, "query_id").join(texts.select("id", "text"), "id")
+    pairs = first.join(asked, "query_id")
+    if is_small(asked, BROADCAST_ROWS // head, BROADCAST_BYTES // head):
+        # At most `head` pairs per query, so the pairs go to the texts, which need no shuffle.
+        pairs = F.broadcast(pairs)
+    pairs = pairs.join(texts.select("id", "text"), "id")
     scored = score_pairs(pairs, factory) if factory else score_pairs_with(pairs, expression)
     scores = scored.select("query_id", "id", sigmoid(F.col("logit")).alias("rerank_score"))
     # Hits without a score (blank query, no text) come after the scored ones, in their old order.

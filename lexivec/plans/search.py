@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.scores import SIM_LIMIT, low_confidence
-from lexivec.operators.bm25 import DEFAULT_LIMIT, Index, search
+from lexivec.operators.bm25 import DEFAULT_LIMIT, Index, result_limit, search
 from lexivec.operators.encode import EncoderFactory, embed
 from lexivec.operators.nearest import MIN_SIM, PLACES, vector_topk_batch
 from lexivec.operators.prepare import compose_text, rename_select, with_definition
 from lexivec.operators.ranking import HEAD, PAGE, attach_records, page, side_by_side
 from lexivec.operators.rerank import ScorerExpression, ScorerFactory, rerank_head
+from lexivec.session import work_folder
 
 
 def build_corpus(series: DataFrame, factory: EncoderFactory) -> DataFrame:
@@ -44,7 +45,9 @@ def keyword_search(
     where: Column | None = None,
 ) -> DataFrame:
     """Keyword hits with their records."""
-    return attach_records(search(index, queries, limit, where), records, "doc_id")
+    cut = result_limit(limit)
+    most = None if cut is None else queries.count() * cut
+    return attach_records(search(index, queries, limit, where), records, "doc_id", most=most)
 
 
 def compare_rankings(
@@ -82,5 +85,8 @@ def retrieve_then_rerank(
     """
     wanted = None if limit is None else max(limit, head)
     ranked = vector_topk_batch(corpus, queries, wanted, min_sim, places)
+    # Heads and tails are read from the written hits, so the corpus is scored once.
+    work_folder(corpus.sparkSession)
+    ranked = ranked.checkpoint()
     ordered = rerank_head(ranked, queries, texts, factory, expression, head)
     return ordered if limit is None else ordered.filter(F.col("rank") <= limit)

@@ -78,4 +78,4 @@ def ingested_index(spark: SparkSession, config: BM25Config, path: str, precision
     documents = documents.drop("batch")
     totals = corpus_totals(documents)
     terms = term_stats(postings.select("term"), totals.select("documents").scalar(), config.k)
-    return Index(config, precision_of(precision), postings, documents, terms, totals, postings.select("term"))
+    return Index(config, precision_of(precision), postings, documents, terms, totals, occurrences=postings.select("term"))
