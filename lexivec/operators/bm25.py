@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from lexivec.functions.prep import STEMMED_WORDS, Step, apply_steps
 from lexivec.functions.scores import half_away_units
 from lexivec.operators.checks import require_columns, require_documents
-from lexivec.scale import BROADCAST_ROWS, is_small, partition_count, rank_all, top_per_group
+from lexivec.scale import BROADCAST_ROWS, fits, measure, partition_count, rank_all, top_per_group
 
 # Parameter defaults, result limit and precision range.
 DEFAULT_K1, DEFAULT_B, DEFAULT_K = 1.2, 0.75, 1.0
@@ -124,33 +124,30 @@ class Index:
     occurrences: DataFrame | None = None
     buckets: int | None = None
 
-    def _in_buckets(self, table: DataFrame, used: DataFrame) -> DataFrame:
-        """The part of a stored table that can hold the used terms; at most one number per bucket is collected."""
-        found = [row[0] for row in used.select(bucket_of(F.col("term"), self.buckets)).distinct().collect()]
-        return table if len(found) == self.buckets else table.filter(F.col("bucket").isin(found))
-
-    def known_postings(self, used: DataFrame) -> DataFrame:
-        """Postings of the terms in a small table `used(term)`.
+    def known_postings(self, used: DataFrame, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Postings of the terms in a small table `used(term)`, which lie in these buckets.
 
         While an index is not yet stored, only the tokens of these terms are counted.
         """
-        if self.buckets is not None:
-            return self._in_buckets(self.postings, used)
         if self.tokens is None:
-            return self.postings
+            return self._in_buckets(self.postings, buckets)
         return _counts_of(self.tokens.join(F.broadcast(used), "term", "left_semi"), self.config)
 
-    def known_terms(self, used: DataFrame) -> DataFrame:
-        """Statistics of the terms in a small table `used(term)`.
+    def known_terms(self, used: DataFrame, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Statistics of the terms in a small table `used(term)`, which lie in these buckets.
 
         While an index is not yet stored, only these terms are counted.
         """
         if self.occurrences is None:
-            terms = self.terms if self.buckets is None else self._in_buckets(self.terms, used)
-            return terms.join(F.broadcast(used), "term", "left_semi")
+            return self._in_buckets(self.terms, buckets).join(F.broadcast(used), "term", "left_semi")
         seen = self.occurrences.join(F.broadcast(used), "term", "left_semi")
         return term_stats(seen, self.total("documents"), self.config.k)
 
+    def _in_buckets(self, table: DataFrame, buckets: Sequence[int] | None) -> DataFrame:
+        if buckets is None or len(buckets) == self.buckets:
+            return table
+        return table.filter(F.col("bucket").isin(list(buckets)))
+
     @property
     def idf(self) -> DataFrame:
         return self.terms.select("term", "idf")
@@ -355,10 +352,13 @@ def match_scores(
     with frequent terms split.
     """
     terms = query_terms(queries, index.config, text)
-    if is_small(terms, broadcast_rows):
+    # With the size of the query side come the buckets it needs: never more numbers than there are buckets.
+    wanted = [] if index.buckets is None else [F.collect_set(bucket_of(F.col("term"), index.buckets))]
+    rows, size, *buckets = measure(terms, *wanted)
+    if fits(rows, size, broadcast_rows):
         used = terms.select("term").distinct()
-        known = terms.join(index.known_terms(used).select("term", "idf"), "term")
-        matched = index.known_postings(used).join(F.broadcast(known), "term")
+        known = terms.join(index.known_terms(used, *buckets).select("term", "idf"), "term")
+        matched = index.known_postings(used, *buckets).join(F.broadcast(known), "term")
     else:
         matched = _join_terms(index.postings, terms.join(index.terms.select("term", "idf"), "term"), index.terms)
     units = _weight_units(index.config, index.precision, index.total("mean_length"))

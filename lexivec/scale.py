@@ -28,19 +28,21 @@ def _cell_bytes(field: T.StructField) -> Column:
     return F.lit(16)
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and approximate bytes of a table: one aggregate, two numbers back."""
+def measure(df: DataFrame, *more: Column) -> tuple:
+    """Rows and approximate bytes of a table, and further aggregates of bounded size, in one pass."""
     cells = sum((_cell_bytes(f) for f in df.schema.fields), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(cells.cast("long")), F.lit(0)).alias("b")).first()
-    return row["n"], row["b"]
+    size = F.coalesce(F.sum(cells.cast("long")), F.lit(0))
+    return tuple(df.agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes"), *more).first())
+
+
+def fits(rows: int, size: int, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table of this measured size may be broadcast."""
+    return 0 < max_rows and rows <= max_rows and size <= max_bytes
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table, by its measured size, may be broadcast."""
-    if max_rows <= 0:
-        return False
-    rows, size = measure(df)
-    return rows <= max_rows and size <= max_bytes
+    return max_rows > 0 and fits(*measure(df), max_rows, max_bytes)
 
 
 def partition_count(df: DataFrame, target: int = PARTITION_BYTES) -> int:
