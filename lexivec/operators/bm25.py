@@ -109,8 +109,8 @@ class Index:
 
     `postings(doc_id, term, freq, length)`, `documents(doc_id, length, retained...)`,
     `terms(term, df, idf)` and the one-row `totals(documents, total_length, mean_length)`.
-    An index that is not stored also has the tables it is counted from: `tokens`, as
-    given by `token_stream`, and `occurrences(term)`, one row per term and document.
+    An index that is not stored also has the tables it is counted from: `tokens`, one
+    row per token, and `occurrences(term)`, one row per term and document.
     A stored index is laid out in `buckets` of terms, of which a search reads those it needs.
     """
 
@@ -186,11 +186,12 @@ def _token_arrays(docs: DataFrame, config: BM25Config, id_col: str) -> DataFrame
 
 
 def _tokens_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
+    """Every token of every weighted field: `(doc_id, length, field, term)`; `field` is its place in the config."""
     fields = len(config.field_weights)
     pairs = [c for i in range(fields) for c in (F.lit(i), F.col(f"_tokens_{i}"))]
     return (
         prepared.select("doc_id", "length", F.stack(F.lit(fields), *pairs).alias("field", "tokens"))
-        .select("doc_id", "length", "field", F.posexplode("tokens").alias("pos", "term"))
+        .select("doc_id", "length", "field", F.explode("tokens").alias("term"))
         .filter(F.col("term").isNotNull())
     )
 
@@ -210,20 +211,19 @@ def _lengths_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
     return prepared.select("doc_id", "length", *config.retained)
 
 
-def _occurrences_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
+def _distinct_terms(config: BM25Config) -> Column:
+    """The terms of a document in the order they are first seen."""
     arrays = [F.coalesce(f"_tokens_{i}", F.array().cast("array<string>")) for i in range(len(config.field_weights))]
-    terms = prepared.select(F.explode(F.array_distinct(F.concat(*arrays))).alias("term"))
-    return terms.filter(F.col("term").isNotNull())
+    return F.array_distinct(F.concat(*arrays))
 
 
-def token_stream(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
-    """Every token of every weighted field: `(doc_id, length, field, pos, term)`; `field` is its place in the config."""
-    return _tokens_of(_token_arrays(docs, config, id_col), config)
+def _occurrences_of(prepared: DataFrame, config: BM25Config) -> DataFrame:
+    return prepared.select(F.explode(_distinct_terms(config)).alias("term")).filter(F.col("term").isNotNull())
 
 
 def term_freq(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
     """Weighted frequency of each term in each document, all fields merged: `(doc_id, term, freq, length)`."""
-    return _counts_of(token_stream(docs, config, id_col), config)
+    return _counts_of(_tokens_of(_token_arrays(docs, config, id_col), config), config)
 
 
 def doc_lengths(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
@@ -261,19 +261,26 @@ def build_index(
     precision: object = MIN_PRECISION,
     id_col: str = "doc_id",
     check: bool = True,
+    spread: bool = True,
 ) -> Index:
     """The index of a table of documents, as lazy tables.
 
     With `check`, ids are first tested in a pass of their own over the id column:
     repeated ids or fewer than three documents are errors. To search one index
     many times, write it with `save_index`.
+
+    Documents are first shuffled by id, as text, which is smaller than the counts
+    made from it. `spread=False` leaves this out for tables that are bucketed by id
+    already; Spark then uses their layout, or shuffles the counts where there is none.
     """
     require_columns(docs, [id_col, *config.field_weights, *config.retained])
     if check:
         require_documents(docs, id_col)
     columns = list(dict.fromkeys([id_col, *config.field_weights, *config.retained]))
-    by_id = docs.select(*columns).repartition(partition_count(docs), id_col)
-    prepared = _token_arrays(by_id, config, id_col)
+    chosen = docs.select(*columns)
+    if spread:
+        chosen = chosen.repartition(partition_count(docs), id_col)
+    prepared = _token_arrays(chosen, config, id_col)
     documents, tokens = _lengths_of(prepared, config), _tokens_of(prepared, config)
     occurrences = _occurrences_of(prepared, config)
     totals = corpus_totals(documents)
@@ -405,7 +412,9 @@ def inverted_index(index: Index, block: int = 1024) -> DataFrame:
 
 def vocabulary(docs: DataFrame, config: BM25Config, id_col: str = "doc_id") -> DataFrame:
     """Terms numbered from 0 in the order they are first seen, by document, field and position."""
-    first = token_stream(docs, config, id_col).groupBy("term").agg(F.min(F.struct("doc_id", "field", "pos")).alias("at"))
+    # The order of first sight inside a document is that of its distinct terms.
+    seen = _token_arrays(docs, config, id_col).select("doc_id", F.posexplode(_distinct_terms(config)).alias("pos", "term"))
+    first = seen.filter(F.col("term").isNotNull()).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     ranked = rank_all(first, [], [F.col("at").asc()], "term_id")
     return ranked.select("term", (F.col("term_id") - 1).alias("term_id"))
 

@@ -14,6 +14,7 @@ from lexivec.session import work_folder
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 PARTITION_BYTES = 64 * 1024 * 1024
+MAX_PARTITIONS = 100_000
 
 
 def _cell_bytes(field: T.StructField) -> Column:
@@ -45,17 +46,25 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return max_rows > 0 and fits(*measure(df), max_rows, max_bytes)
 
 
-def partition_count(df: DataFrame, target: int = PARTITION_BYTES) -> int:
-    """Partitions for a shuffle of `df`, from the size of the files it reads.
+def scan_bytes(df: DataFrame) -> int:
+    """Size of the files that `df` reads.
 
     Only file scans are counted: their size is known from the file listing, while
-    estimates for joins and aggregates above them can be off by any factor. The
-    session's own shuffle setting is the least.
+    estimates for joins and aggregates above them can be off by any factor.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     scans = [leaves.apply(i) for i in range(leaves.size())]
-    size = sum(int(str(s.stats().sizeInBytes())) for s in scans if "Relation" in s.nodeName())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
+    return sum(int(str(s.stats().sizeInBytes())) for s in scans if "Relation" in s.nodeName())
+
+
+def partition_count(df: DataFrame, target: int = PARTITION_BYTES) -> int:
+    """Partitions for a shuffle of `df`: one per `target` bytes of its files.
+
+    The session's own shuffle setting is the least, and there is a most, since the
+    number of shuffle blocks grows with its product with the number of map tasks.
+    """
+    wanted = min(math.ceil(scan_bytes(df) / target), MAX_PARTITIONS)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:

@@ -121,6 +121,24 @@ def test_document_order_does_not_matter(docs, queries):
     assert found(bm25.search(built, queries)) == brute_force(DOCS, QUERIES, (2, 1))
 
 
+def test_documents_read_in_place(docs, queries):
+    built = bm25.build_index(docs.repartition(3), config(), spread=False)
+    assert found(bm25.search(built, queries)) == brute_force(DOCS, QUERIES, (2, 1))
+
+
+def test_default_preparation(spark):
+    rows = [
+        (1, "Child meals", "Children were not eating healthy meals. They played."),
+        (2, "Healthy eating", "The kids eat well."),
+        (3, "Poverty", "Rates of poverty."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, definition string")
+    built = bm25.build_index(docs, BM25Config({"name": 2, "definition": 1}))
+    queries = spark.createDataFrame([(1, "eats healthy"), (2, "not eating"), (3, "the")], "query_id long, text string")
+    hits = found(bm25.search(built, queries))
+    assert {q: [d for d, _ in r] for q, r in hits.items()} == {1: [2], 2: [1]}
+
+
 def test_stats_and_empty_documents(docs):
     built = bm25.build_index(docs, config())
     stats = built.stats().first()

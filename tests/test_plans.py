@@ -46,6 +46,15 @@ def test_documents_are_shuffled_once(docs, queries):
     assert "query_id, doc_id" not in keys
 
 
+def test_a_table_bucketed_by_id_is_not_shuffled(spark, docs, queries, tmp_path):
+    docs.write.bucketBy(4, "doc_id").option("path", str(tmp_path / "bucketed")).saveAsTable("bucketed_docs")
+    built = bm25.build_index(spark.table("bucketed_docs"), CONFIG, spread=False)
+    assert exchanges(plan(built.postings)) == []
+    keys = [re.sub(r"#\d+L?", "", k) for k in exchanges(plan(bm25.match_scores(built, queries)))]
+    assert not [k for k in keys if "doc_id" in k]
+    spark.sql("DROP TABLE bucketed_docs")
+
+
 def test_only_used_columns_are_read(docs, queries):
     built = bm25.build_index(docs, CONFIG)
     for table in (built.postings, built.terms, bm25.search(built, queries)):
