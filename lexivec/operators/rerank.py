@@ -55,7 +55,7 @@ def pair_texts(candidates: DataFrame, queries: DataFrame) -> DataFrame:
 
 def is_asked(query: Column) -> Column:
     """False for a blank query, which is not reranked."""
-    return F.coalesce(F.trim(query) != "", F.lit(False))
+    return F.coalesce(query.rlike(r"(?U)\S"), F.lit(False))
 
 
 def rerank(

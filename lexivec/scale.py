@@ -21,11 +21,11 @@ def _cell_bytes(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        element = field.dataType.elementType
-        if isinstance(element, T.StringType):
-            return F.coalesce(F.octet_length(F.array_join(column, "")) + F.size(column) * 16, F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
         return F.coalesce(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType):
+        # Other nested values by their length as text.
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) * 2 + 16
     return F.lit(16)
 
 

@@ -56,7 +56,7 @@ def ranked(spark):
 
 
 def test_head_blank_and_missing_texts(spark, ranked):
-    queries = spark.createDataFrame([(1, "x"), (2, "  "), (3, "y")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "x"), (2, " \t\n\u00a0"), (3, "y")], "query_id long, text string")
     texts = spark.createDataFrame([(0, "a"), (1, "aaaa"), (2, "aa"), (3, "aaaaaaa")], "id long, text string")
     done = rerank.rerank_head(ranked, queries, texts, by_length, head=3).orderBy("query_id", "rank").collect()
     assert [r["id"] for r in done] == [1, 2, 0, 3, 4, 0, 1, 2, 3, 4, 1, 2, 0, 3, 4]

@@ -1,5 +1,6 @@
 from lexivec.functions.prep import WORDS
 from lexivec.operators import bm25, nearest
+from lexivec.sources.index_store import load_index, save_index
 from lexivec.streaming import answer, ingest
 
 CONFIG = bm25.BM25Config({"name": 2, "definition": 1}, retained=["lang"], prep=WORDS)
@@ -30,6 +31,9 @@ def test_ingest_adds_each_document_once(spark, tmp_path):
             bm25.search(whole, queries, limit).collect()
         )
     assert sorted(streamed.retained.collect()) == sorted(whole.retained.collect())
+    save_index(streamed, str(tmp_path / "saved"))
+    saved = load_index(spark, str(tmp_path / "saved"), WORDS)
+    assert sorted(bm25.search(saved, queries).collect()) == sorted(bm25.search(whole, queries).collect())
 
 
 def test_a_retried_batch_replaces_its_first_attempt(spark, tmp_path):
