@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexivec.functions.stemming import IRREGULAR, KEPT_AFTER_PLURAL, STEP_2, STEP_3, STEP_4
 from lexivec.functions.text import STOP_WORDS
 
 DOCS = """
@@ -155,6 +156,107 @@ NEGATED = (
     r"""((?:^|[^\p{L}])(?:no|not|never|\p{L}+n[''’]t))([^\p{L}.,;:!?()\[\]{}"…—][^.,;:!?()\[\]{}"…—]*)"""
 )
 
+# The marked tokens of each text, as a list.
+MARKED = rf"""
+cut AS (
+  SELECT doc_id, string_split_regex(
+           regexp_replace(lower(text), '{NEGATED}', '\1' || chr(1) || '\2' || chr(2), 'g'),
+           '[' || chr(1) || chr(2) || ']') AS spans
+  FROM documents),
+marked AS (
+  SELECT doc_id, flatten(list_transform(spans, lambda s, i:
+           CASE WHEN i % 2 = 0 THEN ['!' || w FOR w IN regexp_extract_all(s, '\p{{L}}+')]
+                ELSE regexp_extract_all(s, '\p{{L}}+') END)) AS tokens
+  FROM cut)"""
+
+
+def by_suffix(table: dict[str, str], region: str, **conditions: str) -> str:
+    """Replace the longest suffix of `w` that the table lists, if it lies in a region and its condition holds."""
+    cases = []
+    for tail in sorted(table, key=len, reverse=True):
+        base = f"left(w, length(w) - {len(tail)})"
+        holds = conditions.get(tail, "true").replace("BASE", base)
+        cases.append(
+            f"WHEN ends_with(w, '{tail}') THEN CASE WHEN length(w) - {len(tail)} >= {region} AND {holds}"
+            f" THEN {base} || '{table[tail]}' ELSE w END"
+        )
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+PAIR = "^.*?[aeiouy][^aeiouy]"
+SHORT = "(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
+def past_tense() -> str:
+    cases = [
+        f"WHEN ends_with(w, '{tail}') THEN CASE WHEN length(w) - {len(tail)} >= r1"
+        f" THEN left(w, length(w) - {len(tail)}) || 'ee' ELSE w END"
+        for tail in ("eedly", "eed")
+    ]
+    for tail in ("ingly", "edly", "ing", "ed"):
+        base = f"left(w, length(w) - {len(tail)})"
+        cases.insert(
+            1 if tail in ("ingly", "edly") else len(cases),
+            f"""WHEN ends_with(w, '{tail}') THEN CASE
+                WHEN NOT regexp_matches({base}, '[aeiouy]') THEN w
+                WHEN regexp_matches({base}, '(at|bl|iz)$') THEN {base} || 'e'
+                WHEN regexp_matches({base}, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left({base}, length({base}) - 1)
+                WHEN r1 >= length({base}) AND regexp_matches({base}, '{SHORT}') THEN {base} || 'e'
+                ELSE {base} END""",
+        )
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# Porter2 over the distinct words, one step per table.
+STEMS = f"""
+given AS (SELECT DISTINCT ltrim(unnest(tokens), '!') AS word FROM marked),
+w0 AS (
+  SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM given
+  WHERE length(word) > 2 AND word NOT IN ({quoted(IRREGULAR)})),
+w1 AS (
+  SELECT word, w, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)')
+                       THEN length(regexp_extract(w, '^(gener|commun|arsen)'))
+                       WHEN regexp_matches(w, '{PAIR}') THEN length(regexp_extract(w, '{PAIR}'))
+                       ELSE length(w) END AS r1 FROM w0),
+w2 AS (
+  SELECT word, w, r1, CASE WHEN regexp_matches(substr(w, r1 + 1), '{PAIR}')
+                           THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{PAIR}')) ELSE length(w) END AS r2 FROM w1),
+plural AS (
+  SELECT word, r1, r2, CASE WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2)
+                            WHEN regexp_matches(w, 'ie[ds]$') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+                            WHEN regexp_matches(w, '[us]s$') THEN w
+                            WHEN regexp_matches(w, '[aeiouy].+s$') THEN left(w, length(w) - 1)
+                            ELSE w END AS w FROM w2),
+past AS (
+  SELECT word, r1, r2, CASE WHEN w IN ({quoted(sorted(KEPT_AFTER_PLURAL))}) THEN NULL ELSE {past_tense()} END AS w,
+         w AS kept FROM plural),
+final_y AS (SELECT word, r1, r2, kept, regexp_replace(w, '^(.*.[^aeiouy])[yY]$', '\\1i') AS w FROM past),
+step2 AS (
+  SELECT word, r1, r2, kept,
+         {by_suffix({**STEP_2, "ogi": "og", "li": ""}, "r1", ogi="ends_with(BASE, 'l')", li="regexp_matches(BASE, '[cdeghkmnrt]$')")}
+           AS w FROM final_y),
+step3 AS (
+  SELECT word, r1, r2, kept, {by_suffix({**STEP_3, "ative": ""}, "r1", ative="length(BASE) >= r2")} AS w FROM step2),
+step4 AS (
+  SELECT word, r1, r2, kept,
+         {by_suffix({**dict.fromkeys(STEP_4, ""), "ion": ""}, "r2", ion="regexp_matches(BASE, '[st]$')")} AS w FROM step3),
+step5 AS (
+  SELECT word, kept, CASE
+         WHEN ends_with(w, 'e') AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1
+              AND NOT regexp_matches(left(w, length(w) - 1), '{SHORT}'))) THEN left(w, length(w) - 1)
+         WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN left(w, length(w) - 1)
+         ELSE w END AS w FROM step4),
+stems AS (
+  SELECT word, lower(coalesce(w, kept)) AS stem FROM step5
+  UNION ALL SELECT word, word FROM given WHERE length(word) <= 2
+  UNION ALL SELECT given.word, column1 FROM given
+    JOIN (VALUES {", ".join(f"('{w}', '{s}')" for w, s in IRREGULAR.items())}) AS known(column0, column1)
+      ON given.word = column0 WHERE length(given.word) > 2)"""
+
 ORACLES: dict[str, str] = {
     "scan_series": f"""
         WITH {DOCS} SELECT CAST(doc_id AS VARCHAR) AS code, name, definition AS long, source AS short FROM docs""",
@@ -345,16 +447,16 @@ ORACLES: dict[str, str] = {
         FROM metrics""",
     "tokenize": f"SELECT doc_id, array_to_string({words('text')}, ' ') AS tokens FROM documents",
     "stopwords": f"SELECT doc_id, array_to_string({content_words('text')}, ' ') AS tokens FROM documents",
-    "negation_mark": rf"""
-        WITH cut AS (
-          SELECT doc_id, string_split_regex(
-                   regexp_replace(lower(text), '{NEGATED}', '\1' || chr(1) || '\2' || chr(2), 'g'),
-                   '[' || chr(1) || chr(2) || ']') AS spans
-          FROM documents)
-        SELECT doc_id, array_to_string(flatten(list_transform(spans, lambda s, i:
-                 CASE WHEN i % 2 = 0 THEN ['!' || w FOR w IN regexp_extract_all(s, '\p{{L}}+')]
-                      ELSE regexp_extract_all(s, '\p{{L}}+') END)), ' ') AS tokens
-        FROM cut""",
+    "stem_tokens": f"""
+        WITH {MARKED}, {STEMS},
+        kept AS (
+          SELECT doc_id, list_filter(tokens, lambda t: NOT list_contains({STOP_LIST}, ltrim(t, '!'))) AS tokens
+          FROM marked),
+        placed AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM kept)
+        SELECT doc_id, string_agg(CASE WHEN token LIKE '!%' THEN '!' ELSE '' END || stem, ' ' ORDER BY pos) AS tokens
+        FROM placed JOIN stems ON word = ltrim(token, '!') GROUP BY doc_id
+        UNION ALL SELECT doc_id, '' FROM kept WHERE len(tokens) = 0""",
+    "negation_mark": f"WITH {MARKED} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM marked",
     "normalize_text": "SELECT doc_id, strip_accents(lower(text)) AS normal FROM documents",
     "highlight": f"""
         WITH {DOCS}

@@ -129,7 +129,7 @@ def stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
     # A y that acts as a consonant is written Y until the end.
-    word = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
+    word = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
     prefix = re.match("gener|commun|arsen", word)
     r1 = prefix.end() if prefix else _region(word, 0)
     r2 = _region(word, r1)

@@ -307,21 +307,44 @@ def _weight_units(config: BM25Config, precision: int, mean_length: Column) -> Co
     return F.signum(freq).cast("long") * half_away_units(raw * F.col("idf"), precision)
 
 
-def _join_terms(postings: DataFrame, other: DataFrame, terms: DataFrame) -> DataFrame:
-    """Join postings with another table by term, with frequent terms split over several tasks.
+def _hot_terms(counts: DataFrame, column: str, parts: str) -> DataFrame:
+    """Terms with more than a thousandth of all counted rows, and into how many parts to split them.
 
-    `hot` holds terms with more than a thousandth of all postings, so never more
-    than a thousand rows, and can be broadcast whatever the corpus.
+    There can be no more than a thousand such terms, so the table can be
+    broadcast whatever the corpus.
     """
-    total = terms.agg(F.sum("df").alias("n")).scalar()
+    total = counts.agg(F.sum(column).alias("n")).scalar()
     limit = F.greatest(total * F.lit(HOT_SHARE), F.lit(float(HOT_FLOOR)))
-    hot = F.broadcast(
-        terms.filter(F.col("df") > limit).select("term", F.ceil(F.col("df") / limit).cast("int").alias("_parts"))
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    left = postings.join(hot, "term", "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
-    right = other.join(hot, "term", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.drop("_parts").join(right.drop("_parts"), ["term", "_part"]).drop("_part")
+    hot = counts.filter(F.col(column) > limit)
+    return F.broadcast(hot.select("term", F.ceil(F.col(column) / limit).cast("int").alias(parts)))
+
+
+def _join_terms(postings: DataFrame, other: DataFrame, terms: DataFrame, other_id: str | None = None) -> DataFrame:
+    """Join postings with another table by term, with frequent terms split over several tasks.
+
+    A term that is frequent in the postings is split by document. If the other
+    table holds several rows per term, told apart by `other_id`, a term that is
+    frequent there is split by that id as well. Each side is repeated for the parts
+    of the other.
+    """
+
+    def split(table: DataFrame, key: str, parts: str, part: str) -> DataFrame:
+        return table.withColumn(part, F.pmod(F.xxhash64(key), F.coalesce(parts, F.lit(1))).cast("int"))
+
+    def repeat(table: DataFrame, parts: str, part: str) -> DataFrame:
+        return table.withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+
+    by_document = _hot_terms(terms, "df", "_parts")
+    left = split(postings.join(by_document, "term", "left"), "doc_id", "_parts", "_part")
+    right = repeat(other.join(by_document, "term", "left"), "_parts", "_part")
+    keys = ["term", "_part"]
+    if other_id is not None:
+        counts = other.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+        by_other = _hot_terms(counts, "rows", "_slices")
+        left = repeat(left.join(by_other, "term", "left"), "_slices", "_slice").drop("_slices")
+        right = split(right.join(by_other, "term", "left"), other_id, "_slices", "_slice").drop("_slices")
+        keys.append("_slice")
+    return left.drop("_parts").join(right.drop("_parts"), keys).drop("_part", "_slice")
 
 
 def weights(index: Index) -> DataFrame:
@@ -367,7 +390,8 @@ def match_scores(
         known = terms.join(index.known_terms(used, *buckets).select("term", "idf"), "term")
         matched = index.known_postings(used, *buckets).join(F.broadcast(known), "term")
     else:
-        matched = _join_terms(index.postings, terms.join(index.terms.select("term", "idf"), "term"), index.terms)
+        known = terms.join(index.terms.select("term", "idf"), "term")
+        matched = _join_terms(index.postings, known, index.terms, "query_id")
     units = _weight_units(index.config, index.precision, index.total("mean_length"))
     hits = matched.groupBy("query_id", "doc_id").agg(F.sum(units * F.col("times")).alias("units"))
     if where is not None:

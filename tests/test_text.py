@@ -58,7 +58,7 @@ STEMS = {
     "relational": "relat", "electricity": "electr", "formative": "format", "adoption": "adopt",
     "controlling": "control", "malnutrition": "malnutrit", "agreed": "agre", "luxuriated": "luxuri",
     "news": "news", "shed": "shed", "analogies": "analog", "skis": "ski", "proceed": "proceed",
-    "youth": "youth", "by": "by", "!spending": "!spend", "niños": "niño",
+    "youth": "youth", "by": "by", "sayyed": "sayi", "dying": "die", "!spending": "!spend", "niños": "niño",
 }
 
 
