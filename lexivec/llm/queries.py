@@ -8,10 +8,11 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import quality
+from lexivec.llm import decontam, near_dup, packing, quality
 from lexivec.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,27 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words", F.size("removed_lines").cast("long").alias("n_removed_lines"),
     )
+
+
+@query
+def op7_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    found = decontam.contaminated_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = decontam.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
