@@ -69,3 +69,38 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(cov
        coalesce(covered.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLES["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS nr
+           FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT *, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS w
+           FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sets AS (SELECT *, len(w) AS n, doc_id * 1000000 + nr AS spot FROM worded WHERE len(w) >= 5),
+classes AS (SELECT w, n, min(spot) AS first FROM sets GROUP BY w, n),
+t AS (SELECT first, n, unnest(w) AS word FROM classes),
+p AS (SELECT a.first AS a, b.first AS b, a.n AS an, b.n AS bn, count(*) AS k FROM t a JOIN t b
+      ON a.word = b.word AND a.first < b.first AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+m AS (SELECT b AS first, min(a) AS witness FROM p WHERE 100 * k >= 85 * (an + bn - k) GROUP BY b),
+removed AS (SELECT doc_id, nr
+            FROM sets JOIN classes USING (w, n) LEFT JOIN m USING (first)
+            WHERE witness IS NOT NULL OR spot <> first),
+r AS (SELECT doc_id, count(*) AS n, string_agg(nr, ',' ORDER BY nr) AS s
+      FROM removed GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed,
+       coalesce(r.s, '') AS removed
+FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, 20 + length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g'))
+                   + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -141,7 +141,7 @@ def patterns(size: int, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 3), int)
 
 
-def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 1500) -> np.ndarray:
+def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient: repeat counts of the patterns.
 
     Rows are weighted by length, as a long piece that is left over costs more room.

@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import decontam, near_dup, packing, quality
+from lexivec.llm import chat, decontam, line_dedup, near_dup, packing, quality
 from lexivec.llm.oracles import ORACLES
+from lexivec.llm.shared import BLANKS, same, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +62,43 @@ def op8_decontamination(spark, sf_dir):
 @query
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    return found.select(
+        "doc_id",
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed")["line"].cast("array<string>"), ",").alias("removed"),
+    )
+
+
+@query
+def op6_chat_formatting(spark, sf_dir):
+    # The contract adds one conversation whose texts look like a template.
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    formatted = saved(chat.format_chats(chat.log_of(table)), "chats")
+    turn = F.struct("message", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "learned")
+    back = chat.read_back(formatted).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    learned = F.array_join(F.col("t")["learned"], "")  # nulls, outside the mask, are left out
+    facts = back.select(
+        F.col("conv_id").alias("id"),
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.col("t")["turn"], ""), 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+    )
+    return (
+        formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"))
+        .join(facts, same(F.col("conv_id"), F.col("id")))
+        .drop("id")
+    )
