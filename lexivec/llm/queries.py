@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, line_dedup, near_dup, packing, quality
+from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, quality, toxicity
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -102,3 +102,20 @@ def op6_chat_formatting(spark, sf_dir):
         .join(facts, same(F.col("conv_id"), F.col("id")))
         .drop("id")
     )
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    # The table knows toxic or not; a toxic document that is also of low quality counts as the graver grade.
+    grade = F.when(F.col("toxic") == 0, 0).otherwise(F.when(F.col("quality") == 0, 2).otherwise(1))
+    model = toxicity.train(docs, labels.filter("toxic IS NOT NULL").select("doc_id", grade.alias("grade")))
+    return toxicity.severity(docs, model)
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    filters = langid.learn(docs.filter(~held_out))
+    return langid.identify(docs, filters).withColumn("held_out", held_out)
