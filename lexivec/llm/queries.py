@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, quality, toxicity
+from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, pii, quality, toxicity
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -119,3 +119,9 @@ def op9_language_id(spark, sf_dir):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     filters = langid.learn(docs.filter(~held_out))
     return langid.identify(docs, filters).withColumn("held_out", held_out)
+
+
+@query
+def op5_personal_data(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs))
