@@ -10,9 +10,11 @@ shingle of the document. Both are bijections of 32-bit numbers.
    of thousands of near copies become stars, not all pairs.
 4. Components of those links are found. Only pairs of one bucket that are still in different components
    are then compared, so no link between candidates is lost, and components are found again.
+5. Before full sets are fetched, pairs must agree in a sketch: two bits of each signature coordinate. The
+   allowed disagreement is five standard deviations above what a pair at the threshold has.
 
-With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with probability 5e-6, and less
-above. Links themselves are exact: 100 * intersection >= 75 * union on the full shingle sets.
+With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with probability 5e-6, and fails
+the sketch with probability 3e-7; both are less above. Links themselves are exact: 100 * intersection >= 75 * union on the full shingle sets.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing. A text of fewer than
 five words has one shingle, its whole sequence. A row without an id is kept and is its own class. Rows that
@@ -26,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.components import components
 from lexivec.llm.shared import same, saved
+from lexivec.scale import is_small
 
 SHINGLE = 5
 PERCENT = 75
@@ -66,10 +69,10 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
     if len(words) < SHINGLE:
-        whole = np.uint64(len(words))
-        for h in hashes:
-            whole = mix64(np.array([whole * WEIGHTS[0] + h], np.uint64))[0]
-        return np.array([whole], np.uint64)
+        whole = np.array([len(words)], np.uint64)
+        for k in range(len(words)):
+            whole = mix64(whole * WEIGHTS[0] + hashes[k : k + 1])
+        return whole
     n = len(hashes) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -95,19 +98,35 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, in 64-bit words."""
+    bits = np.concatenate([least & np.uint32(1), (least >> np.uint32(1)) & np.uint32(1)]).astype(np.uint8)
+    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.int64)
+
+
+def agree(left: str, right: str, size: int, percent: int) -> Column:
+    """Whether two sketches of `size` coordinates may belong to sets of this similarity."""
+    apart = 1 - percent / 100
+    most = int(size * apart + 5 * (size * apart * (1 - apart) + size * apart / 2) ** 0.5)
+    words = range((2 * size + 63) // 64)
+    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in words), F.lit(0)) <= most
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hash of the set), keys."""
+    """doc_id, n_shingles, set_a and set_b (hash of the set), band keys, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, first, second, keys = [], [], [], []
+            counts, first, second, keys, sketches = [], [], [], [], []
             for value in batch.column(1):
                 found = shingle_set(value.as_py())
                 counts.append(len(found))
                 mixed = mix64(found + WEIGHTS[1])
                 first.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(np.bitwise_xor.reduce(mix64(mixed ^ WEIGHTS[2]), initial=np.uint64(0)).view(np.int64)))
-                keys.append(band_keys(signature(found, bands * rows), bands, rows) if len(found) else None)
+                least = signature(found, bands * rows) if len(found) else None
+                keys.append(None if least is None else band_keys(least, bands, rows))
+                sketches.append(None if least is None else sketch(least))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -115,12 +134,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str
                     pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
             )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -134,8 +154,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough; only texts of these pairs are read."""
+    needed = saved(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "needed")
+    wanted = F.broadcast(needed) if is_small(needed) else needed
+    sets = saved(shingle_sets(texts.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     first = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("left"))
     second = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("right"))
     both = pairs.join(second, "v").join(first, "u")
@@ -155,7 +178,9 @@ def near_duplicates(
     )
     # Of a class, only the row of its smallest id is looked at further.
     leaders = signed.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
-    placed = saved(leaders.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key")), "placed")
+    leaders = saved(leaders, "leaders")
+    sketches = leaders.select("doc_id", "sketch")
+    placed = leaders.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
     buckets = placed.groupBy("band", "key").agg(
         F.min("doc_id").alias("center"), F.min_by("n_shingles", "doc_id").alias("center_n"), F.count(F.lit(1)).alias("size")
     )
@@ -166,16 +191,18 @@ def near_duplicates(
         members.filter("doc_id <> center")
         .filter(close)
         .select(F.col("center").alias("u"), F.col("doc_id").alias("v"))
-        .distinct(),
+        .distinct()
+        .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("right")), "v")
+        .join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("left")), "u")
+        .filter(agree("left", "right", bands * rows, percent))
+        .select("u", "v"),
         "stars",
     )
-    needed = members.select("doc_id").distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = saved(shingle_sets(texts.join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    links = saved(verified(stars, found, percent), "links")
-    roots = saved(components(links), "roots")
-    links = links.union(saved(verified(_across(members, roots, stars, percent), found, percent), "links"))
+    links = saved(verified(stars, texts, percent), "links")
     roots = saved(components(links), "roots")
+    rest = saved(_across(members, roots, sketches, bands * rows, percent).join(stars, ["u", "v"], "left_anti"), "rest")
+    roots = saved(components(links.union(saved(verified(rest, texts, percent), "links"))), "roots")
     of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         *sets, F.coalesce("root", "rep").alias("root")
     )
@@ -187,18 +214,21 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that are in different components, were not compared yet and are of similar size."""
+def _across(members: DataFrame, roots: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of one bucket that are in different components, of similar size and with agreeing sketches."""
     rooted = members.join(roots, F.col("doc_id") == F.col("node"), "left").select(
         "band", "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")
     )
     mixed = rooted.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").drop("mixed")
-    open_rows = saved(rooted.join(mixed, ["band", "key"]), "open")
-    left = open_rows.select("band", "key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("root").alias("r"))
-    right = open_rows.select("band", "key", F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("root").alias("s"))
-    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    pairs = left.join(right, ["band", "key"]).filter((F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & near)
-    return pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
+    open_rows = saved(rooted.join(mixed, ["band", "key"]).join(sketches, "doc_id"), "open")
+    left, right = (
+        open_rows.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n_shingles", "root", "sketch")))
+        for s in ("a", "b")
+    )
+    near = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    apart = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = left.join(right, ["band", "key"]).filter(apart & near & agree("sketch_a", "sketch_b", size, percent))
+    return pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: int) -> DataFrame:

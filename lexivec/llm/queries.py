@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, pii, quality, toxicity
+from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, pii, quality, secrets, toxicity
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -125,3 +125,9 @@ def op9_language_id(spark, sf_dir):
 def op5_personal_data(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return pii.personal_data(docs, pii.train(docs))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("sha256"), F.round("score", 6).alias("score"), "is_secret")
