@@ -19,6 +19,7 @@ rows are packed once each; an empty table gives an empty result. Other columns p
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,60 +34,44 @@ from lexivec.llm.shared import saved
 
 SIZE = 1024
 END = 2
-#: Words that a task remembers the ids of; then it begins anew.
-REMEMBERED = 400_000
+# The special token of the vocabulary, and how it splits texts before the merges.
 SPECIAL = "<|endoftext|>"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_symbols() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
     """Texts to token ids, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits a text before its merges, and never across a blank between two words. So a text
-    is cut at its blanks, and the ids of each cut are remembered. Texts with runs of blanks, with blanks
-    beside other white space, or with a special token are given to the tokenizer whole.
+    The vocabulary is that of the given tokenizer file; its merges are run by a faster library with the same
+    ids. Only texts that hold a special token go through the tokenizer of the file itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _remember(self, known: dict[str, bytes], cuts: set[str], lead: str) -> None:
-        missing = [c for c in cuts if c not in known]
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(cuts)
-        for start in range(0, len(missing), 10_000):
-            part = missing[start : start + 10_000]
-            known.update(zip(part, self._ids([lead + c for c in part]), strict=True))
+        model, symbols = json.loads(self.tokenizer.to_str())["model"], byte_symbols()
+        ranks = {bytes(symbols[c] for c in t): i for t, i in model["vocab"].items() if t != SPECIAL}
+        for i, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            if model["vocab"][left + right] != 256 + i:
+                raise ValueError(f"the ids of {path} are not in the order of its merges")
+        self.plain = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or " \n" in text or text[0] == " " or text[-1] == " " or SPECIAL in text or _ODD.search(text):
-            return self._ids([text])[0]
-        first, *later = text.split(" ")
-        try:
-            return self.first[first] + b"".join(map(self.later.__getitem__, later))
-        except KeyError:
-            self._remember(self.first, {first}, "")
-            self._remember(self.later, set(later), " ")
-            return self.first[first] + b"".join(map(self.later.__getitem__, later))
-
-
-def _odd():
-    import re
-
-    return re.compile(r"[^\S \n]")  # white space other than blank and line feed
-
-
-_ODD = _odd()
+        special = SPECIAL in text
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if special else self.plain(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def cut(length: int, size: int) -> list[tuple[int, int]]:
