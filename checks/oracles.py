@@ -19,8 +19,17 @@ def words(text: str) -> str:
 STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 
 
+def content_tokens(text: str) -> str:
+    """Runs of letters, without those of contractions in the stop list."""
+    whole = rf"regexp_extract_all({text}, '\p{{L}}+(?:[''’]\p{{L}}+)*')"
+    return (
+        rf"flatten([regexp_extract_all(x, '\p{{L}}+') FOR x IN {whole}"
+        rf" IF regexp_matches(x, '^\p{{L}}+$') OR NOT list_contains({STOP_LIST}, replace(x, '’', chr(39)))])"
+    )
+
+
 def content_words(text: str) -> str:
-    return f"list_filter({words(text)}, lambda w: NOT list_contains({STOP_LIST}, w))"
+    return f"list_filter({content_tokens(f'lower({text})')}, lambda w: NOT list_contains({STOP_LIST}, w))"
 
 
 def index_ctes(name: str = words("name"), definition: str = words("definition"), asked: str = words("text"), places: int = 4) -> str:
@@ -104,6 +113,21 @@ reordered AS (
   FROM listed LEFT JOIN scored USING (query_id, id))"""
 
 
+def compared(select: str, shown: int, limit: float) -> str:
+    """A page of both rankings beside each other."""
+    page = f"rank > {shown} AND rank <= {shown + 10}"
+    return f"""
+        WITH {SIMS}, {index_ctes()}, {RANKED},
+        semantic AS (SELECT near.* FROM near WHERE {page} AND query_id IN (SELECT item_id FROM benchmark)),
+        lexical AS (SELECT * FROM ranked WHERE {page}),
+        compared AS (
+          SELECT semantic.query_id, semantic.rank, semantic.id AS semantic_id, semantic.sim AS semantic_score,
+                 lexical.doc_id AS lexical_id, lexical.score AS lexical_score, lexical.doc_id IS NOT NULL AS lexical_found,
+                 semantic.sim < {limit} AS semantic_low
+          FROM semantic LEFT JOIN lexical ON semantic.query_id = lexical.query_id AND semantic.rank = lexical.rank)
+        {select}"""
+
+
 NEIGHBOURS = """
 pairs AS (
   SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y
@@ -157,12 +181,13 @@ NEGATED = (
 )
 
 # The marked tokens of each text, as a list.
-MARKED = rf"""
+CUT = rf"""
 cut AS (
   SELECT doc_id, string_split_regex(
            regexp_replace(lower(text), '{NEGATED}', '\1' || chr(1) || '\2' || chr(2), 'g'),
            '[' || chr(1) || chr(2) || ']') AS spans
-  FROM documents),
+  FROM documents)"""
+MARKED = rf"""{CUT},
 marked AS (
   SELECT doc_id, flatten(list_transform(spans, lambda s, i:
            CASE WHEN i % 2 = 0 THEN ['!' || w FOR w IN regexp_extract_all(s, '\p{{L}}+')]
@@ -170,6 +195,13 @@ marked AS (
   FROM cut)"""
 
 
+MARKED_CONTENT = f"""{CUT},
+marked AS (
+  SELECT doc_id, flatten(list_transform(spans, lambda s, i:
+           CASE WHEN i % 2 = 0 THEN ['!' || w FOR w IN {content_tokens("s")}] ELSE {content_tokens("s")} END)) AS tokens
+  FROM cut)"""
+
+
 def by_suffix(table: dict[str, str], region: str, **conditions: str) -> str:
     """Replace the longest suffix of `w` that the table lists, if it lies in a region and its condition holds."""
     cases = []
@@ -257,6 +289,20 @@ stems AS (
     JOIN (VALUES {", ".join(f"('{w}', '{s}')" for w, s in IRREGULAR.items())}) AS known(column0, column1)
       ON given.word = column0 WHERE length(given.word) > 2)"""
 
+def default_prep() -> str:
+    """Weighted frequency of each term after negation, stop words and stems, field by field."""
+    fields = MARKED_CONTENT.replace("FROM documents", "FROM fields").replace("SELECT doc_id,", "SELECT doc_id, weight,")
+    return f"""
+        WITH {DOCS},
+        fields AS (SELECT doc_id, 2e0 AS weight, name AS text FROM docs UNION ALL SELECT doc_id, 1e0, definition FROM docs),
+        {fields}, {STEMS},
+        placed AS (
+          SELECT doc_id, weight, unnest(list_filter(tokens, lambda t: NOT list_contains({STOP_LIST}, ltrim(t, '!')))) AS token
+          FROM marked)
+        SELECT doc_id, CASE WHEN token LIKE '!%' THEN '!' ELSE '' END || stem AS term, sum(weight) AS freq
+        FROM placed JOIN stems ON word = ltrim(token, '!') GROUP BY ALL"""
+
+
 ORACLES: dict[str, str] = {
     "scan_series": f"""
         WITH {DOCS} SELECT CAST(doc_id AS VARCHAR) AS code, name, definition AS long, source AS short FROM docs""",
@@ -268,7 +314,7 @@ ORACLES: dict[str, str] = {
         WITH {DOCS}
         SELECT CAST(doc_id AS VARCHAR) AS code, name, definition,
                array_to_string([CAST(round_even(CAST(v AS DOUBLE) * 1e6, 0) AS BIGINT) FOR v IN embedding], ',') AS units
-        FROM docs JOIN embeddings ON doc_id = vec_id""",
+        FROM docs LEFT JOIN embeddings ON doc_id = vec_id""",
     "definition_lookup": f"WITH {DOCS} SELECT CAST(doc_id AS VARCHAR) AS code, definition FROM docs",
     "json_explode": """
         SELECT event_id, unnest(json_keys(props)) AS name,
@@ -362,7 +408,7 @@ ORACLES: dict[str, str] = {
     "inverted_index": f"""
         WITH {index_ctes()},
         placed AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS place FROM tf)
-        SELECT term, CAST(place // 128 AS INTEGER) AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)
+        SELECT term, CAST(place // 128 AS BIGINT) AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)
                  AS doc_ids
         FROM placed GROUP BY term, place // 128""",
     "vocabulary": f"""
@@ -375,27 +421,32 @@ ORACLES: dict[str, str] = {
         first AS (
           SELECT term, doc_id, field, pos FROM tokens
           QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id, field, pos) = 1)
-        SELECT term, CAST(row_number() OVER (ORDER BY doc_id, field, pos) - 1 AS INTEGER) AS term_id FROM first""",
+        SELECT term, CAST(row_number() OVER (ORDER BY doc_id, field, pos) - 1 AS BIGINT) AS term_id FROM first""",
     "index_stats": f"WITH {index_ctes()} SELECT (SELECT count(*) FROM stats) AS terms, * FROM totals",
-    "full_ranking": with_index("SELECT * FROM ranked"),
+    "full_ranking": with_index("SELECT * REPLACE (CAST(rank AS BIGINT) AS rank) FROM ranked"),
     "page_results": with_index("SELECT * FROM ranked WHERE rank > 10 AND rank <= 20"),
     "rerank_topk": f"""
         WITH {CONVERSATIONS}
         SELECT query_id, corpus_id, text, round(score, 9) AS score, rank FROM ranked WHERE rank <= 3""",
-    "rerank_with_model": f"WITH {CONVERSATIONS} SELECT query_id, corpus_id, round(score, 9) AS score, rank FROM ranked",
+    "rerank_with_model": f"WITH {CONVERSATIONS} SELECT query_id, corpus_id, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank FROM ranked",
     "rerank_two_stage": f"""
         WITH {reranked(20, above=0.25)}
-        SELECT query_id, id, sim, first_rank, round(rerank_score, 9) AS rerank_score, rank FROM reordered""",
+        SELECT query_id, id, sim, CAST(first_rank AS BIGINT) AS first_rank, round(rerank_score, 9) AS rerank_score,
+               CAST(rank AS BIGINT) AS rank, coalesce(rerank_score < 0.15, sim < 0.78) AS low FROM reordered""",
     "head_sort": f"""
         WITH {reranked(20, above=0.25)}
-        SELECT query_id, id, sim, first_rank, round(rerank_score, 9) AS rerank_score, rank,
+        SELECT query_id, id, sim, CAST(first_rank AS BIGINT) AS first_rank, round(rerank_score, 9) AS rerank_score,
+               CAST(rank AS BIGINT) AS rank, coalesce(rerank_score < 0.15, sim < 0.78) AS low,
                CAST(CASE WHEN rank > 20 THEN rank ELSE row_number() OVER (
-                 PARTITION BY query_id, rank > 20 ORDER BY sim DESC, rank) END AS INTEGER) AS new_rank
+                 PARTITION BY query_id, rank > 20 ORDER BY sim DESC, rank) END AS BIGINT) AS new_rank
         FROM reordered""",
     "enrich_metadata": """
         SELECT n_nationkey AS code, c_custkey, 'nation ' || lower(n_name) AS description
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
-    "result_counts": f"WITH {index_ctes()} SELECT query_id, count(*) AS hits FROM hits GROUP BY query_id",
+    "result_counts": f"""
+        WITH {index_ctes()},
+        every AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1)
+        SELECT query_id, count(hits.doc_id) AS hits FROM every LEFT JOIN hits USING (query_id) GROUP BY query_id""",
     "list_product": """
         WITH a AS (SELECT p_partkey, unnest([p_brand, p_type]) AS x, unnest([0, 1]) AS i, p_size, p_name FROM part),
         b AS (SELECT *, unnest([CAST(p_size AS VARCHAR), 'any']) AS y, unnest([0, 1]) AS j FROM a),
@@ -448,7 +499,7 @@ ORACLES: dict[str, str] = {
     "tokenize": f"SELECT doc_id, array_to_string({words('text')}, ' ') AS tokens FROM documents",
     "stopwords": f"SELECT doc_id, array_to_string({content_words('text')}, ' ') AS tokens FROM documents",
     "stem_tokens": f"""
-        WITH {MARKED}, {STEMS},
+        WITH {MARKED_CONTENT}, {STEMS},
         kept AS (
           SELECT doc_id, list_filter(tokens, lambda t: NOT list_contains({STOP_LIST}, ltrim(t, '!'))) AS tokens
           FROM marked),
@@ -468,13 +519,45 @@ ORACLES: dict[str, str] = {
     "keyword_search": with_index(
         "SELECT ranked.*, name, definition FROM ranked JOIN docs USING (doc_id) WHERE rank <= 10"
     ),
-    "compare_rankings": f"""
-        WITH {SIMS}, {index_ctes()}, {RANKED},
-        semantic AS (SELECT near.* FROM near WHERE rank <= 10 AND query_id IN (SELECT item_id FROM benchmark)),
-        lexical AS (SELECT * FROM ranked WHERE rank <= 10 AND query_id IN (SELECT vec_id FROM embeddings))
-        SELECT semantic.query_id, semantic.rank, semantic.id AS semantic_id, semantic.sim AS semantic_score,
-               lexical.doc_id AS lexical_id, lexical.score AS lexical_score, lexical.doc_id IS NOT NULL AS lexical_found
-        FROM semantic LEFT JOIN lexical ON semantic.query_id = lexical.query_id AND semantic.rank = lexical.rank""",
+    "compare_rankings": compared("SELECT * FROM compared", 0, 0.75),
+    "compare_rankings_page_2": compared(
+        """SELECT compared.*, a.name AS semantic_name, a.lang AS semantic_lang, b.name AS lexical_name, b.lang AS lexical_lang
+        FROM compared LEFT JOIN docs a ON a.doc_id = semantic_id LEFT JOIN docs b ON b.doc_id = lexical_id""",
+        10,
+        0.2,
+    ),
+    "rerank_page_2": f"""
+        WITH {reranked(20, above=0.25, most=20)}
+        SELECT query_id, id, sim, first_rank, round(rerank_score, 9) AS rerank_score, rank,
+               coalesce(rerank_score < 0.15, sim < 0.3) AS low FROM reordered WHERE rank > 10 AND rank <= 20""",
+    "keyword_page_2": with_index(
+        "SELECT ranked.*, name, definition FROM ranked JOIN docs USING (doc_id) WHERE rank > 10 AND rank <= 20"
+    ),
+    "bm25_weights_split": f"WITH {index_ctes()} SELECT doc_id, term, units / 1e4 AS weight FROM weights",
+    "bm25_config": f"WITH {index_ctes()} SELECT doc_id, term, units / 1e4 AS weight FROM weights",
+    "vector_topk_nulls": f"""
+        WITH {SIMS},
+        whole AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM sims WHERE id % 3 <> 0),
+        asked AS (SELECT list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125e0 ELSE -0.125e0 END) AS q),
+        alone AS (SELECT vec_id AS id, round(list_inner_product(v, q), 6) AS sim FROM vectors, asked WHERE vec_id % 3 <> 0)
+        SELECT query_id, id, sim FROM whole WHERE r <= 5
+        UNION ALL (SELECT -1, id, sim FROM alone ORDER BY sim DESC, id LIMIT 5)""",
+    "without_vector": "SELECT count(*) AS without_vector FROM embeddings WHERE vec_id % 3 = 0",
+    "search_built_corpus": f"WITH {PARTS} SELECT code AS query_id, 1e0 AS sim FROM defined WHERE definition IS NOT NULL",
+    "stream_ingest_rejected": """
+        SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS doc_id, 'already present' AS reason, CAST(1 AS BIGINT) AS batch
+        FROM documents WHERE doc_id % 2 = 0
+        UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'already present' ELSE 'repeated in the batch' END, 1
+        FROM documents WHERE doc_id % 7 = 1
+        UNION ALL SELECT NULL, 'no id', 1 FROM documents WHERE doc_id % 5 = 0""",
+    "scan_metadata": r"""
+        SELECT CAST(doc_id AS VARCHAR) AS idno, split_part(text, chr(10), 1) AS title, '2024-02-03' AS date_created,
+               CAST(least(3, len(regexp_extract_all(lower(text), '\p{L}+'))) AS BIGINT) AS keywords
+        FROM documents""",
+    "bm25_input_checks": """
+        SELECT unnest(['whole', 'repeated', 'without id', 'too few', 'missing field']) AS input,
+               unnest([false, true, true, true, true]) AS refused""",
+    "bm25_default_prep": default_prep(),
     "build_corpus": f"""
         WITH {PARTS},
         counts AS (

@@ -59,7 +59,11 @@ def asked_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The two tables describe unrelated things; this only gives a query both forms.
     """
-    return text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id")
+    asked = text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id", "left")
+    missing = asked.filter(F.col("vector").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} keyword queries have no vector of the same number")
+    return asked
 
 
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +119,8 @@ def scan_embeddings(spark, sf_dir):
 
 @query
 def sink_corpus_roundtrip(spark, sf_dir):
-    records = documents(spark, sf_dir).join(read(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    vectors_of = read(spark, sf_dir, "embeddings")
+    records = documents(spark, sf_dir).join(vectors_of, F.col("doc_id") == F.col("vec_id"), "left")
     folder = new_folder(spark, "corpus")
     tables.write_corpus(
         records.select(
@@ -536,7 +541,9 @@ def enrich_metadata(spark, sf_dir):
 
 @query
 def result_counts(spark, sf_dir):
-    return ranking.result_counts(bm25.match_scores(index(spark, sf_dir), text_queries(spark, sf_dir)))
+    unknown = spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit("zzqx qxzz").alias("text"))
+    asked = text_queries(spark, sf_dir).union(unknown)
+    return ranking.result_counts(bm25.match_scores(index(spark, sf_dir), asked), asked)
 
 
 # Lists, maps and evaluation
@@ -743,3 +750,144 @@ def build_corpus(spark, sf_dir):
     built = plans.build_corpus(part_series(spark, sf_dir), letter_encoder)
     units = joined(F.transform("embedding", lambda v: F.rint(v * 1e6).cast("long")))
     return built.select("code", "name", "definition", units.alias("units"))
+
+
+@query
+def compare_rankings_page_2(spark, sf_dir):
+    """The next page of both rankings, with the records of both hits."""
+    asked = asked_with_vectors(spark, sf_dir)
+    records = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "name", "lang")
+    return plans.compare_rankings(
+        index(spark, sf_dir),
+        asked.select("query_id", "text"),
+        vector_corpus(spark, sf_dir),
+        asked.select("query_id", "vector"),
+        places=PLACES,
+        shown=10,
+        records=records,
+        sim_limit=0.2,
+    )
+
+
+@query
+def rerank_page_2(spark, sf_dir):
+    paged = plans.retrieve_then_rerank(
+        vector_corpus(spark, sf_dir),
+        asked_with_vectors(spark, sf_dir),
+        record_texts(spark, sf_dir),
+        expression=rerank.overlap_logit,
+        min_sim=FLOOR,
+        limit=10,
+        places=PLACES,
+        shown=10,
+        sim_limit=0.3,
+    )
+    return rounded(paged, "rerank_score")
+
+
+@query
+def keyword_page_2(spark, sf_dir):
+    records = documents(spark, sf_dir).select("doc_id", "name", "definition")
+    return plans.keyword_search(index(spark, sf_dir), text_queries(spark, sf_dir), records, shown=10)
+
+
+@query
+def bm25_weights_split(spark, sf_dir):
+    """All weights, with frequent terms split over several tasks."""
+    return bm25.weights(index(spark, sf_dir), hot_floor=50).select("doc_id", "term", "weight")
+
+
+@query
+def bm25_config(spark, sf_dir):
+    """Parameters out of range take their defaults."""
+    return bm25.weights(index(spark, sf_dir, b=7, k1=-1, k=float("nan"))).select("doc_id", "term", "weight")
+
+
+@query
+def vector_topk_nulls(spark, sf_dir):
+    """Rows without a vector are never hits."""
+    holed = read(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 3 != 0, F.col("embedding")))
+    ask = [0.125 if i % 2 == 0 else -0.125 for i in range(64)]
+    alone = nearest.vector_topk(holed, ask, 5, "embedding", "vec_id", PLACES)
+    corpus = holed.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    together = nearest.vector_topk_batch(corpus, vector_queries(spark, sf_dir), 5, places=PLACES)
+    one = alone.select(F.lit(-1).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "sim")
+    return one.union(together.select("query_id", "id", "sim"))
+
+
+@query
+def without_vector(spark, sf_dir):
+    holed = read(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("vector"))
+    return nearest.without_vector(holed)
+
+
+@query
+def search_built_corpus(spark, sf_dir):
+    """A corpus built from a series in which some definitions are missing, then searched."""
+    built = plans.build_corpus(part_series(spark, sf_dir), letter_encoder)
+    corpus = built.select(F.col("code").alias("id"), F.col("embedding").alias("vector"))
+    asked = corpus.filter(F.col("vector").isNotNull()).withColumnRenamed("id", "query_id")
+    found = nearest.vector_topk_batch(corpus, asked, 1, places=PLACES)
+    return found.select("query_id", "sim")
+
+
+@query
+def stream_ingest_rejected(spark, sf_dir):
+    """What ingest refuses: documents without an id, repeats, and ids that an earlier batch brought."""
+    source = documents(spark, sf_dir).select("doc_id", "name", "definition")
+    folder = new_folder(spark, "ingested")
+    first = source.filter(F.col("doc_id") % 2 == 0)
+    nameless = source.filter(F.col("doc_id") % 5 == 0).withColumn("doc_id", F.lit(None).cast("long"))
+    second = source.union(source.filter(F.col("doc_id") % 7 == 1)).union(nameless)
+    for n, arrived in enumerate((first, second)):
+        landing = new_folder(spark, "arrived")
+        arrived.coalesce(1).write.parquet(landing)
+        arriving = spark.readStream.schema(arrived.schema).parquet(landing)
+        config_, progress = config(), new_folder(spark, f"progress-{n}")
+        # Batches of one index have numbers of their own, so the second stream goes on from the first.
+        ingest.ingest(arriving, config_, folder, progress, first_batch=n).start().awaitTermination()
+    refused = ingest.rejected(spark, folder)
+    return refused.select("doc_id", "reason", F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def scan_metadata(spark, sf_dir):
+    """Nested metadata files, one JSON object a line, written from the documents and read flat."""
+    title = F.struct(F.col("doc_id").cast("string").alias("idno"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    keywords = F.transform(F.slice(text.tokenize(F.col("text")), 1, 3), lambda w: F.struct(w.alias("name"), F.lit("v").alias("vocabulary")))
+    described = F.struct(title.alias("title_statement"), F.lit("2024/02/03").alias("date_created"), keywords.alias("keywords"))
+    folder = new_folder(spark, "metadata")
+    read(spark, sf_dir, "documents").select(described.alias("document_description")).write.json(folder)
+    found = metadata.read_metadata(spark, folder, multi_line=False)
+    flat = metadata.metadata_documents(found).select("idno", "title", "date_created")
+    words = metadata.metadata_items(found, "keywords").groupBy("idno").agg(F.count("name").alias("keywords"))
+    return flat.join(words, "idno").withColumn("date_created", F.col("date_created").cast("string"))
+
+
+@query
+def bm25_input_checks(spark, sf_dir):
+    """Which inputs the build refuses."""
+    docs = documents(spark, sf_dir)
+    cases = {
+        "whole": docs,
+        "repeated": docs.union(docs),
+        "without id": docs.withColumn("doc_id", F.lit(None).cast("long")),
+        "too few": docs.filter(F.col("doc_id") < 2),
+        "missing field": docs.drop("name"),
+    }
+
+    def refused(given: DataFrame) -> bool:
+        try:
+            bm25.build_index(given, config())
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(given)) for name, given in cases.items()], "input string, refused boolean")
+
+
+@query
+def bm25_default_prep(spark, sf_dir):
+    """The default chain: negation, stop words, stems. Counts of the terms of each document."""
+    built = bm25.build_index(documents(spark, sf_dir), bm25.BM25Config({"name": 2, "definition": 1}))
+    return built.postings.select("doc_id", "term", "freq")

@@ -7,13 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 
 from lexivec.functions.stemming import stem_tokens
-from lexivec.functions.text import mark_negation, remove_stop_words, tokenize
+from lexivec.functions.text import content_tokens, mark_negation, remove_stop_words, tokenize
 
 Step = Callable[[Column], Column]
 
 WORDS: tuple[Step, ...] = (tokenize,)
-CONTENT_WORDS: tuple[Step, ...] = (tokenize, remove_stop_words)
-STEMMED_WORDS: tuple[Step, ...] = (mark_negation, remove_stop_words, stem_tokens)
+CONTENT_WORDS: tuple[Step, ...] = (content_tokens, remove_stop_words)
+STEMMED_WORDS: tuple[Step, ...] = (lambda text: mark_negation(text, content_tokens), remove_stop_words, stem_tokens)
 
 
 def apply_steps(text: Column, steps: Sequence[Step]) -> Column:

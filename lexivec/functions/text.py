@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -29,6 +29,8 @@ STOP_WORDS = tuple(
 )
 
 WORD = r"\p{L}+"
+WHOLE_WORD = r"\p{L}+(?:['’]\p{L}+)*"
+CONTRACTIONS = sorted(w for w in STOP_WORDS if "'" in w)
 
 # A negation reaches from its word to the next of these marks.
 SCOPE_END = r".,;:!?()\[\]{}\"…—"
@@ -41,13 +43,20 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def content_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, without those of contractions that are stop words."""
+    whole = F.regexp_extract_all(F.lower(text), F.lit(WHOLE_WORD), F.lit(0))
+    kept = F.filter(whole, lambda w: ~F.replace(w, F.lit("’"), F.lit("'")).isin(CONTRACTIONS))
+    return F.flatten(F.transform(kept, tokenize))
+
+
 def remove_stop_words(tokens: Column, words: Iterable[str] = STOP_WORDS) -> Column:
     """Drop stop words, keep order and repeats; a negated token is judged by its bare word."""
     listed = sorted(set(words))
     return F.filter(tokens, lambda t: ~F.ltrim(t, F.lit("!")).isin(listed))
 
 
-def mark_negation(text: Column) -> Column:
+def mark_negation(text: Column, tokens: Callable[[Column], Column] = tokenize) -> Column:
     """Tokens of the text, with `!` before those inside the reach of a negation."""
     # Control characters 1 and 2 enclose a reach; any of the text's own are dropped first.
     clean = F.translate(F.lower(text), "\x01\x02", "")
@@ -56,8 +65,8 @@ def mark_negation(text: Column) -> Column:
         spans,
         lambda s, i: F.when(
             i % 2 == 1,
-            F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), lambda t: F.concat(F.lit("!"), t)),
-        ).otherwise(F.regexp_extract_all(s, F.lit(WORD), F.lit(0))),
+            F.transform(tokens(s), lambda t: F.concat(F.lit("!"), t)),
+        ).otherwise(tokens(s)),
     )
     return F.flatten(marked)
 

@@ -29,6 +29,9 @@ MIN_PRECISION, MAX_PRECISION = 4, 9
 HOT_SHARE = 1.0 / 1000
 HOT_FLOOR = 100_000
 
+# Up to so many different query terms are listed in the filter of a stored index.
+LISTED_TERMS = 1_000
+
 
 def _number(value: object) -> float | None:
     try:
@@ -124,13 +127,22 @@ class Index:
     occurrences: DataFrame | None = None
     buckets: int | None = None
 
-    def known_postings(self, used: DataFrame, buckets: Sequence[int] | None = None) -> DataFrame:
+    @property
+    def stored_weights(self) -> bool:
+        """Whether postings hold their weight, in `units`."""
+        return "units" in self.postings.columns
+
+    def known_postings(
+        self, used: DataFrame, buckets: Sequence[int] | None = None, listed: Sequence[str] | None = None
+    ) -> DataFrame:
         """Postings of the terms in a small table `used(term)`, which lie in these buckets.
 
         While an index is not yet stored, only the tokens of these terms are counted.
+        Terms that are listed one by one are looked for in the files.
         """
         if self.tokens is None:
-            return self._in_buckets(self.postings, buckets)
+            found = self._in_buckets(self.postings, buckets)
+            return found if listed is None else found.filter(F.col("term").isin(list(listed)))
         return _counts_of(self.tokens.join(F.broadcast(used), "term", "left_semi"), self.config)
 
     def known_terms(self, used: DataFrame, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -307,19 +319,19 @@ def _weight_units(config: BM25Config, precision: int, mean_length: Column) -> Co
     return F.signum(freq).cast("long") * half_away_units(raw * F.col("idf"), precision)
 
 
-def _hot_terms(counts: DataFrame, column: str, parts: str) -> DataFrame:
-    """Terms with more than a thousandth of all counted rows, and into how many parts to split them.
+def _hot_terms(counts: DataFrame, column: str, parts: str, floor: int) -> DataFrame:
+    """Terms with more than a thousandth of all counted rows (`floor` at least), and into how many parts to split them.
 
     There can be no more than a thousand such terms, so the table can be
     broadcast whatever the corpus.
     """
     total = counts.agg(F.sum(column).alias("n")).scalar()
-    limit = F.greatest(total * F.lit(HOT_SHARE), F.lit(float(HOT_FLOOR)))
+    limit = F.greatest(total * F.lit(HOT_SHARE), F.lit(float(floor)))
     hot = counts.filter(F.col(column) > limit)
     return F.broadcast(hot.select("term", F.ceil(F.col(column) / limit).cast("int").alias(parts)))
 
 
-def _join_terms(postings: DataFrame, other: DataFrame, terms: DataFrame, other_id: str | None = None) -> DataFrame:
+def _join_terms(postings: DataFrame, other: DataFrame, terms: DataFrame, other_id: str | None = None, floor: int | None = None) -> DataFrame:
     """Join postings with another table by term, with frequent terms split over several tasks.
 
     A term that is frequent in the postings is split by document. If the other
@@ -334,24 +346,36 @@ def _join_terms(postings: DataFrame, other: DataFrame, terms: DataFrame, other_i
     def repeat(table: DataFrame, parts: str, part: str) -> DataFrame:
         return table.withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
 
-    by_document = _hot_terms(terms, "df", "_parts")
+    floor = HOT_FLOOR if floor is None else floor
+    by_document = _hot_terms(terms, "df", "_parts", floor)
     left = split(postings.join(by_document, "term", "left"), "doc_id", "_parts", "_part")
     right = repeat(other.join(by_document, "term", "left"), "_parts", "_part")
     keys = ["term", "_part"]
     if other_id is not None:
         counts = other.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
-        by_other = _hot_terms(counts, "rows", "_slices")
+        by_other = _hot_terms(counts, "rows", "_slices", floor)
         left = repeat(left.join(by_other, "term", "left"), "_slices", "_slice").drop("_slices")
         right = split(right.join(by_other, "term", "left"), other_id, "_slices", "_slice").drop("_slices")
         keys.append("_slice")
     return left.drop("_parts").join(right.drop("_parts"), keys).drop("_part", "_slice")
 
 
-def weights(index: Index) -> DataFrame:
-    """The consolidated weight of every posting: `(doc_id, term, units, weight)`, exact in `units` of 10^-precision."""
+def with_units(
+    postings: DataFrame, terms: DataFrame, totals: DataFrame, config: BM25Config, precision: int
+) -> DataFrame:
+    """Postings with their weight, in `units` of 10^-precision."""
+    units = _weight_units(config, precision, totals.select("mean_length").scalar())
+    return _join_terms(postings, terms.select("term", "idf"), terms).withColumn("units", units).drop("idf")
+
+
+def weights(index: Index, hot_floor: int | None = None) -> DataFrame:
+    """The consolidated weight of every posting: `(doc_id, term, units, weight)`, exact in `units` of 10^-precision.
+
+    Terms of at least `hot_floor` postings that hold more than a thousandth of all are split when joined.
+    """
     units = _weight_units(index.config, index.precision, index.total("mean_length"))
     return (
-        _join_terms(index.postings, index.terms.select("term", "idf"), index.terms)
+        _join_terms(index.postings, index.terms.select("term", "idf"), index.terms, floor=hot_floor)
         .select("doc_id", "term", units.alias("units"))
         .withColumn("weight", F.col("units") / F.lit(10.0**index.precision))
     )
@@ -387,12 +411,20 @@ def match_scores(
     rows, size, *buckets = measure(terms, *wanted)
     if fits(rows, size, broadcast_rows):
         used = terms.select("term").distinct()
-        known = terms.join(index.known_terms(used, *buckets).select("term", "idf"), "term")
-        matched = index.known_postings(used, *buckets).join(F.broadcast(known), "term")
+        if index.stored_weights:
+            # The extra row tells whether there are more terms than may be listed.
+            first = [r["term"] for r in used.limit(LISTED_TERMS + 1).collect()]
+            listed = first if len(first) <= LISTED_TERMS else None
+            matched = index.known_postings(used, *buckets, listed=listed).join(F.broadcast(terms), "term")
+        else:
+            known = terms.join(index.known_terms(used, *buckets).select("term", "idf"), "term")
+            matched = index.known_postings(used, *buckets).join(F.broadcast(known), "term")
     else:
         known = terms.join(index.terms.select("term", "idf"), "term")
         matched = _join_terms(index.postings, known, index.terms, "query_id")
-    units = _weight_units(index.config, index.precision, index.total("mean_length"))
+    units = F.col("units")
+    if not index.stored_weights:
+        units = _weight_units(index.config, index.precision, index.total("mean_length"))
     hits = matched.groupBy("query_id", "doc_id").agg(F.sum(units * F.col("times")).alias("units"))
     if where is not None:
         hits = hits.join(index.documents.filter(where).select("doc_id"), "doc_id", "left_semi")
@@ -428,7 +460,7 @@ def inverted_index(index: Index, block: int = 1024) -> DataFrame:
     """
     ranked = rank_all(index.postings.select("term", "doc_id"), ["term"], [F.col("doc_id").asc()], "place")
     return (
-        ranked.withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
+        ranked.withColumn("block", F.floor((F.col("place") - 1) / block))
         .groupBy("term", "block")
         .agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
     )

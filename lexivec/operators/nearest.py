@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.functions.vectors import dot_literal
-from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, measure, top_per_group
+from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, MAX_PARTITIONS, is_small, measure, top_per_group
 
 # The similarity floor and result count of the search pages.
 MIN_SIM = 0.5
@@ -30,6 +30,8 @@ DEMO_RESULTS = 5
 PLACES = 9
 
 CELLS = 1 << 21
+# Rows and queries of one cell of the grid where a floor alone bounds its hits.
+CELL_SIDE = 4096
 BLOCK_BYTES = 32 * 1024 * 1024
 
 
@@ -87,7 +89,8 @@ class _Best:
 
 def _score_block(
     best: _Best, ids: np.ndarray, corpus: np.ndarray, queries: np.ndarray, places: int, above: float | None
-) -> None:
+) -> Iterator[None]:
+    """Adds the hits of a block; stops after each step, for what was found to be taken."""
     step = max(1, CELLS // max(1, len(queries)))
     for start in range(0, len(corpus), step):
         # Adding 0.0 turns -0.0 into 0.0.
@@ -100,6 +103,7 @@ def _score_block(
             keep &= sims >= np.partition(sims, len(sims) - best.k, axis=0)[len(sims) - best.k]
         row, query = np.nonzero(keep)
         best.add(query, ids[start : start + step][row], sims[row, query])
+        yield
 
 
 def _as_batch(best: _Best, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -141,9 +145,10 @@ def _with_shipped_queries(
             return
         best = _Best(len(query_ids), k)
         for batch in batches:
-            _score_block(best, _ids(batch.column(0)), _matrix(batch.column(1), matrix.shape[1]), matrix, places, above)
-            if k is None:
-                yield _as_batch(best, query_ids, arrow)
+            rows = _matrix(batch.column(1), matrix.shape[1])
+            for _ in _score_block(best, _ids(batch.column(0)), rows, matrix, places, above):
+                if k is None and best.held:
+                    yield _as_batch(best, query_ids, arrow)
         if k is not None and best.held:
             best.cut()
             yield _as_batch(best, query_ids, arrow)
@@ -164,6 +169,9 @@ def _with_grid(
     if k:
         # A cell also holds k hits per query.
         columns = max(columns, math.ceil(queries.count() * k * 32 / (2 * block_bytes)))
+    else:
+        # A floor may let every pair of a cell pass.
+        rows, columns = max(rows, math.ceil(corpus.count() / CELL_SIDE)), max(columns, math.ceil(queries.count() / CELL_SIDE))
     left = corpus.select(
         F.pmod(F.xxhash64("id"), F.lit(rows)).alias("row"),
         F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"),
@@ -174,7 +182,7 @@ def _with_grid(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"),
         F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int").alias("column"),
         "query_id",
-        "vector",
+        F.col("vector").alias("asked"),  # another name, as both sides may come from one table
     )
     schema = _result_schema(queries, corpus)
     arrow = to_arrow_schema(schema)
@@ -183,14 +191,17 @@ def _with_grid(
         query_ids = _ids(asked["query_id"])
         best = _Best(len(query_ids), k)
         if len(query_ids) and documents.num_rows:
-            matrix = _matrix(asked["vector"], None)
-            _score_block(
-                best, _ids(documents["id"]), _matrix(documents["vector"], matrix.shape[1]), matrix, places, above
-            )
+            matrix = _matrix(asked["asked"], None)
+            found = _matrix(documents["vector"], matrix.shape[1])
+            for _ in _score_block(best, _ids(documents["id"]), found, matrix, places, above):
+                pass
             if k is not None and best.held:
                 best.cut()
         return pa.Table.from_batches([_as_batch(best, query_ids, arrow)], schema=arrow)
 
+    # A task per cell, as far as the number of shuffle blocks allows.
+    tasks = min(max(rows * columns, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_PARTITIONS)
+    left, right = (side.repartition(tasks, "row", "column") for side in (left, right))
     return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(cell, schema)
 
 
@@ -207,10 +218,13 @@ def similarities(
 
     `corpus(id, vector)` and `queries(query_id, vector)`. With `k`, at least the
     best `k` rows of each query; with `above`, only rows whose similarity exceeds it.
+    Rows and queries without a vector have no hits (`without_vector` counts them); a
+    component that is not a finite number is an error.
     """
     if k is None and above is None:
         raise ValueError("give k or a similarity floor: all pairs of two tables are not built")
-    corpus, queries = corpus.select("id", "vector"), queries.select("query_id", "vector")
+    corpus = corpus.select("id", "vector").filter(F.col("vector").isNotNull())
+    queries = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
     # A task holds at most k rows per query, so large k needs smaller blocks of queries.
     held = BROADCAST_BYTES // (32 * k) if k else broadcast_rows
     if is_small(queries, min(broadcast_rows, held)):
@@ -242,11 +256,22 @@ def vector_topk(
     id_col: str = "code",
     places: int = PLACES,
 ) -> DataFrame:
-    """The best `k` records for one query vector, with `sim` and without the vector."""
-    scored = corpus.withColumn("sim", F.round(dot_literal(F.col(vector), query), places)).drop(vector)
+    """The best `k` records for one query vector, with `sim` and without the vector.
+
+    Records without a vector are no hits; a component that is not a finite number is an error.
+    """
+    sim = dot_literal(F.col(vector), query)
+    error = F.raise_error(F.lit("a vector has a component that is not a finite number")).cast("double")
+    checked = F.when(sim.isNull() | F.isnan(sim) | (F.abs(sim) == float("inf")), error).otherwise(F.round(sim, places))
+    scored = corpus.filter(F.col(vector).isNotNull()).withColumn("sim", checked).drop(vector)
     return scored.orderBy(F.col("sim").desc(), F.col(id_col).asc()).limit(k)
 
 
+def without_vector(corpus: DataFrame, vector: str = "vector") -> DataFrame:
+    """Number of rows that have no vector and so are never hits."""
+    return corpus.agg(F.count_if(F.col(vector).isNull()).alias("without_vector"))
+
+
 def above_floor(hits: DataFrame, min_sim: float = MIN_SIM) -> DataFrame:
     """Hits whose similarity exceeds the floor."""
     return hits.filter(F.col("sim") > F.lit(min_sim))

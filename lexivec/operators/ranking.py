@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.collections import last_value
+from lexivec.functions.scores import SIDE_BY_SIDE_SIM_LIMIT, low_confidence
 from lexivec.scale import BROADCAST_ROWS, top_per_group
 
 # Rows of a page, and the number of first hits that are reordered.
@@ -38,11 +39,11 @@ def page_of_one(ranked: DataFrame, order: Sequence[Column], shown: int = 0, size
     return ranked.orderBy(*order).offset(shown).limit(size)
 
 
-def side_by_side(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
+def side_by_side(semantic: DataFrame, lexical: DataFrame, sim_limit: float = SIDE_BY_SIDE_SIM_LIMIT) -> DataFrame:
     """Semantic hit i beside lexical hit i of the same query.
 
     Both sides are `(query_id, rank, id, score)`. `lexical_found` is false where
-    the lexical result is shorter.
+    the lexical result is shorter; `semantic_low` marks a similarity under the limit.
     """
     left = semantic.select(
         "query_id", "rank", F.col("id").alias("semantic_id"), F.col("score").alias("semantic_score")
@@ -50,7 +51,16 @@ def side_by_side(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
     right = lexical.select(
         "query_id", "rank", F.col("id").alias("lexical_id"), F.col("score").alias("lexical_score")
     )
-    return left.join(right, ["query_id", "rank"], "left").withColumn("lexical_found", F.col("lexical_id").isNotNull())
+    joined = left.join(right, ["query_id", "rank"], "left").withColumn("lexical_found", F.col("lexical_id").isNotNull())
+    return joined.withColumn("semantic_low", low_confidence(F.col("semantic_score"), sim_limit=sim_limit))
+
+
+def with_both_records(compared: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """Add the records of both hits of a side-by-side row, as `semantic_...` and `lexical_...` columns."""
+    for side in ("semantic", "lexical"):
+        named = records.select(*(F.col(c).alias(f"{side}_id" if c == key else f"{side}_{c}") for c in records.columns))
+        compared = compared.join(named, f"{side}_id", "left")
+    return compared
 
 
 def head_order(field: str, head: int = HEAD, rank: str = "rank") -> list[Column]:
@@ -89,9 +99,11 @@ def enrich(hits: DataFrame, metadata: DataFrame, name: str = "Longdefinition", k
     return hits.join(described, key, "left")
 
 
-def result_counts(hits: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Number of hits of each query."""
-    return hits.groupBy(*group).agg(F.count(F.lit(1)).alias("hits"))
+def result_counts(hits: DataFrame, queries: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Number of hits of each query, 0 for a query without any."""
+    counts = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("hits"))
+    asked = queries.select(*group).distinct()
+    return asked.join(counts, list(group), "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
 def shuffle_rows(df: DataFrame, seed: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lexivec.functions.scores import sigmoid
 from lexivec.functions.text import tokenize
 from lexivec.operators.ranking import HEAD, splice
-from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, top_per_group
+from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, materialise, top_per_group
 
 # Called once per task; returns a function from (queries, texts) to one logit per pair.
 ScorerFactory = Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[float]]]
@@ -91,10 +91,12 @@ def rerank_head(
 
     `ranked(query_id, id, sim, rank)`, `queries(query_id, text)`, `texts(id, text)`.
     Adds `rerank_score`, null after the head and for blank queries, whose hits keep
-    their order. The costly scorer sees only the heads.
+    their order. The costly scorer sees only the heads. `ranked` is computed once
+    and written, as heads and tails are both read from it.
     """
     if (factory is None) == (expression is None):
         raise ValueError("give either a scorer factory or a scorer expression")
+    ranked = materialise(ranked, "ranked")
     asked = queries.filter(is_asked(F.col("text"))).select("query_id", F.col("text").alias("query"))
     first = ranked.filter(F.col("rank") <= head)
     pairs = first.join(asked, "query_id")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.functions.scores import SIM_LIMIT, low_confidence
+from lexivec.functions.scores import SIDE_BY_SIDE_SIM_LIMIT, SIM_LIMIT, low_confidence
 from lexivec.operators.bm25 import DEFAULT_LIMIT, Index, result_limit, search
 from lexivec.operators.encode import EncoderFactory, embed
 from lexivec.operators.nearest import MIN_SIM, PLACES, vector_topk_batch
 from lexivec.operators.prepare import compose_text, rename_select, with_definition
-from lexivec.operators.ranking import HEAD, PAGE, attach_records, page, side_by_side
+from lexivec.operators.ranking import HEAD, PAGE, attach_records, page, side_by_side, with_both_records
 from lexivec.operators.rerank import ScorerExpression, ScorerFactory, rerank_head
-from lexivec.session import work_folder
 
 
 def build_corpus(series: DataFrame, factory: EncoderFactory) -> DataFrame:
@@ -43,11 +42,15 @@ def keyword_search(
     records: DataFrame,
     limit: int | None = DEFAULT_LIMIT,
     where: Column | None = None,
+    shown: int = 0,
 ) -> DataFrame:
-    """Keyword hits with their records."""
+    """Keyword hits with their records: the next `limit` after the first `shown`."""
     cut = result_limit(limit)
     most = None if cut is None else queries.count() * cut
-    return attach_records(search(index, queries, limit, where), records, "doc_id", most=most)
+    hits = search(index, queries, None if cut is None else shown + cut, where)
+    if shown:
+        hits = hits.filter(F.col("rank") > shown)
+    return attach_records(hits, records, "doc_id", most=most)
 
 
 def compare_rankings(
@@ -57,14 +60,22 @@ def compare_rankings(
     vector_queries: DataFrame,
     size: int = PAGE,
     places: int = PLACES,
+    shown: int = 0,
+    records: DataFrame | None = None,
+    sim_limit: float = SIDE_BY_SIDE_SIM_LIMIT,
 ) -> DataFrame:
-    """The first page of both rankings, row by row, for each `query_id`."""
-    semantic = vector_topk_batch(corpus, vector_queries, size, places=places)
-    lexical = search(index, text_queries, size)
-    return side_by_side(
+    """A page of both rankings, row by row, for each `query_id`, with the low-confidence flag.
+
+    The page is the next `size` rows after the first `shown`. `records(id, ...)` adds the records of both sides.
+    """
+    semantic = page(vector_topk_batch(corpus, vector_queries, shown + size, places=places), shown, size)
+    lexical = page(search(index, text_queries, shown + size), shown, size)
+    compared = side_by_side(
         semantic.select("query_id", "rank", "id", F.col("sim").alias("score")),
         lexical.select("query_id", "rank", F.col("doc_id").alias("id"), "score"),
+        sim_limit,
     )
+    return compared if records is None else with_both_records(compared, records)
 
 
 def retrieve_then_rerank(
@@ -77,16 +88,18 @@ def retrieve_then_rerank(
     head: int = HEAD,
     limit: int | None = None,
     places: int = PLACES,
+    shown: int = 0,
+    sim_limit: float = SIM_LIMIT,
 ) -> DataFrame:
-    """Hits above the floor with the first `head` reranked: `(query_id, id, sim, first_rank, rerank_score, rank)`.
+    """Hits above the floor with the first `head` reranked: `(query_id, id, sim, first_rank, rerank_score, rank, low)`.
 
-    `queries(query_id, text, vector)`, `corpus(id, vector)`, `texts(id, text)`. Without
-    `limit`, every hit above the floor is kept.
+    `queries(query_id, text, vector)`, `corpus(id, vector)`, `texts(id, text)`. With
+    `limit`, the next `limit` hits after the first `shown`; without it, every hit above
+    the floor. `low` marks hits of low confidence.
     """
-    wanted = None if limit is None else max(limit, head)
+    wanted = None if limit is None else max(shown + limit, head)
     ranked = vector_topk_batch(corpus, queries, wanted, min_sim, places)
-    # Heads and tails are read from the written hits, so the corpus is scored once.
-    work_folder(corpus.sparkSession)
-    ranked = ranked.checkpoint()
     ordered = rerank_head(ranked, queries, texts, factory, expression, head)
-    return ordered if limit is None else ordered.filter(F.col("rank") <= limit)
+    low = low_confidence(F.col("sim"), F.col("rerank_score"), sim_limit)
+    flagged = ordered.withColumn("low", low)
+    return flagged if limit is None else page(flagged, shown, limit)

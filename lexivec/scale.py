@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.session import work_folder
+from lexivec.session import new_folder
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 PARTITION_BYTES = 64 * 1024 * 1024
 MAX_PARTITIONS = 100_000
+# From here on the best rows of a group are cut in two steps.
+MANY_TASKS = 1_000
 
 
 def _cell_bytes(field: T.StructField) -> Column:
@@ -67,22 +69,30 @@ def partition_count(df: DataFrame, target: int = PARTITION_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """`df`, written to the shared work folder and read again, so that it is computed once.
+
+    The files are needed as long as the result is; remove the work folder when a job is done.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """`row_number` per group for groups of any size.
 
     A plain window would sort a whole group in one task. Here rows are range
     partitioned by group and order, so a large group spreads over many
     partitions; a row's rank is its place inside its slice plus the number of
-    rows in the earlier slices. The sorted slices are checkpointed first, since
-    both steps must see the same slice borders. `order` must be total.
+    rows in the earlier slices. The rows are written first, as range partitioning
+    reads its input twice; the slices are written too, since both steps must see
+    the same borders. `order` must be total. Ranks are BIGINT.
     """
-    work_folder(df.sparkSession)
     keys = [F.col(g) for g in group]
-    sliced = (
-        df.repartitionByRange(partition_count(df), *keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    rows = materialise(df, "rows")
+    slices = rows.repartitionByRange(partition_count(rows), *keys, *order)
+    sliced = materialise(slices.withColumn("_slice", F.spark_partition_id()), "slices")
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*group, "_slice")
@@ -94,7 +104,7 @@ def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank:
     return (
         sliced.withColumn("_place", F.row_number().over(within))
         .join(offsets, [*group, "_slice"])
-        .withColumn(rank, (F.col("_place") + F.col("_before")).cast("int"))
+        .withColumn(rank, F.col("_place") + F.col("_before"))
         .drop("_slice", "_place", "_before")
     )
 
@@ -105,12 +115,20 @@ def top_per_group(
     """The first `k` rows of each group, with their rank; all rows where `k` is None.
 
     Up to the optimizer's group-limit threshold Spark cuts each task's rows to `k`
-    per group before the shuffle, so no group is ever gathered whole. Above it
-    the ranking is distributed by `rank_all`.
+    per group before the shuffle, so no group is ever gathered whole. Where there
+    are many tasks, a group is cut in parts first, so that no task gets `k` rows of
+    each of them. Above the threshold the ranking is distributed by `rank_all`.
+    A rank is INT where `k` bounds it, else BIGINT.
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k is None or k > threshold:
         ranked = rank_all(df, group, order, rank)
-        return ranked if k is None else ranked.filter(F.col(rank) <= k)
+        return ranked if k is None else ranked.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("int"))
+    tasks = partition_count(df)
+    if tasks > MANY_TASKS:
+        parts = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))
+        within = Window.partitionBy(*group, "_part").orderBy(*order)
+        df = df.withColumn("_part", parts).withColumn("_place", F.row_number().over(within)).filter(F.col("_place") <= k)
+        df = df.drop("_part", "_place")
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)

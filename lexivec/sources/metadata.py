@@ -84,9 +84,9 @@ METADATA = T.StructType(
 IDNO = "document_description.title_statement.idno"
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per metadata file."""
-    return spark.read.schema(METADATA).options(multiLine=True, mode="FAILFAST").json(path)
+def read_metadata(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per metadata file, or per line without `multi_line`: large collections are split only by lines."""
+    return spark.read.schema(METADATA).options(multiLine=multi_line, mode="FAILFAST").json(path)
 
 
 def _or_null(column: str) -> Column:

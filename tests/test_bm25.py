@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from lexivec.functions.prep import CONTENT_WORDS, WORDS
 from lexivec.operators import bm25
 from lexivec.operators.bm25 import BM25Config
+from lexivec.sources import index_store
 from lexivec.sources.index_store import load_index, save_index
 
 DOCS = [
@@ -194,14 +196,36 @@ def test_load_checks_the_format(spark, docs, tmp_path):
         load_index(spark, str(tmp_path / "absent"))
     path = str(tmp_path / "index")
     save_index(bm25.build_index(docs, config()), path)
-    spark.range(3).write.mode("overwrite").parquet(path + "/totals")
+    (totals,) = Path(path).glob("*/totals")
+    spark.range(3).write.mode("overwrite").parquet(str(totals))
     with pytest.raises(ValueError, match="no valid table totals"):
         load_index(spark, path)
-    spark.createDataFrame([(99, "{}")], "version int, meta string").write.mode("overwrite").parquet(path + "/meta")
+    spark.createDataFrame([(99, 0, "{}")], "version int, number int, meta string").write.mode("overwrite").parquet(path + "/meta")
     with pytest.raises(ValueError, match="format"):
         load_index(spark, path)
 
 
+def test_a_load_sees_a_whole_index_while_another_is_written(spark, docs, queries, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    save_index(bm25.build_index(docs, config()), path)
+    old = found(bm25.search(load_index(spark, path, WORDS), queries))
+    with pytest.raises(ValueError, match="there is an index"):
+        save_index(bm25.build_index(docs, config()), path)
+    other = bm25.build_index(docs.filter("doc_id <> 0"), config())
+    seen = []
+    real = index_store.with_units
+
+    def watched(*given):
+        seen.append(found(bm25.search(load_index(spark, path, WORDS), queries)))
+        return real(*given)
+
+    monkeypatch.setattr(index_store, "with_units", watched)
+    save_index(other, path, mode="overwrite")
+    assert seen == [old]
+    new = found(bm25.search(load_index(spark, path, WORDS), queries))
+    assert new == found(bm25.search(other, queries)) != old
+
+
 def test_input_checks(spark, docs):
     with pytest.raises(ValueError, match="at least 3"):
         bm25.build_index(docs.limit(2), config())

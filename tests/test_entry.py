@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks.compare import connect, difference
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 FOLDER = entry_module.SMOKE_TABLES
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the test tables are absent")
 
@@ -22,13 +23,15 @@ def connection():
 def test_entry(spark):
     result = entry_module.entry(spark)
     assert result.columns == [
-        "query_id", "rank", "semantic_id", "semantic_score", "lexical_id", "lexical_score", "lexical_found",
+        "query_id", "rank", "semantic_id", "semantic_score", "lexical_id", "lexical_score", "lexical_found", "semantic_low",
     ]
     assert result.count() > 0
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

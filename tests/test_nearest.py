@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexivec.operators import nearest
 
@@ -46,7 +47,7 @@ def test_small_blocks_and_cuts(spark, monkeypatch):
     corpus, queries = vectors(300, 3, copies=150), vectors(9, 4)
     monkeypatch.setattr(nearest, "CELLS", 32)
     block = nearest._Best(9, 3)
-    nearest._score_block(block, np.arange(300), corpus, queries, 9, None)
+    list(nearest._score_block(block, np.arange(300), corpus, queries, 9, None))
     block.cut()
     query, ids, sims = block.take()
     wanted = sorted((q, i, s) for q, i, s, _ in brute_force(corpus, queries, 3))
@@ -81,7 +82,7 @@ def test_empty_sides(spark, layout):
 
 @pytest.mark.parametrize(
     ("vector", "message"),
-    [([1.0], "equal length"), (None, "null"), ([float("nan")] * 8, "finite")],
+    [([1.0], "equal length"), ([float("nan")] * 8, "finite")],
 )
 def test_bad_vectors_are_errors(spark, vector, message):
     corpus = table(spark, vectors(5, 1), "id").unionByName(
@@ -103,3 +104,29 @@ def test_floor_is_strict(spark):
     query = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<float>")
     found = nearest.similarities(corpus, query, above=0.5).collect()
     assert [(r["id"], r["sim"]) for r in found] == [(2, round(float(np.float32(0.6)), 9))]
+
+
+def test_rows_without_a_vector_are_no_hits(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id long, vector array<double>")
+    for layout in ({}, {"broadcast_rows": 0}):
+        hits = nearest.vector_topk_batch(corpus, asked, 5, **layout).collect()
+        assert sorted((r["query_id"], r["id"]) for r in hits) == [(1, 1), (1, 3)]
+    single = nearest.vector_topk(corpus, [1.0, 1.0], 5, "vector", "id").collect()
+    assert sorted(r["id"] for r in single) == [1, 3]
+    assert nearest.without_vector(corpus).first()[0] == 1
+
+
+def test_a_component_that_is_no_number_is_an_error_on_both_routes(spark):
+    corpus = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [1.0, 2.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="finite number"):
+        nearest.vector_topk(corpus, [1.0, 1.0], 5, "vector", "id").collect()
+    with pytest.raises(Exception, match="finite number"):
+        nearest.vector_topk_batch(corpus, corpus.filter("id = 2").withColumnRenamed("id", "query_id"), 5).collect()
+
+
+def test_a_floor_that_everything_passes(spark):
+    corpus = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(0.5)).alias("vector"))
+    asked = corpus.filter("id < 50").withColumnRenamed("id", "query_id")
+    for layout in ({}, {"broadcast_rows": 0, "block_bytes": 1 << 11}):
+        assert nearest.similarities(corpus, asked, above=0.0, **layout).count() == 300 * 50

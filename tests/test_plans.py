@@ -77,6 +77,9 @@ def test_stored_search_reads_only_its_buckets(spark, docs, queries, tmp_path):
     filters = re.findall(r"PartitionFilters: \[.*?bucket#\d+ IN \((.*?)\)", plan(found))
     assert filters
     assert all(len(f.split(",")) <= 5 for f in filters)
+    # The terms themselves reach the files, and stored weights need no term statistics.
+    assert re.search(r"PushedFilters: \[.*In\(term", plan(found))
+    assert "/terms" not in plan(found)
     assert found.count() > 0
 
 

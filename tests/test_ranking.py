@@ -89,7 +89,8 @@ def test_attach_enrich_counts_shuffle(spark):
         "code string, metatype array<struct<id: string, value: string>>",
     )
     assert {r["code"]: r["description"] for r in ranking.enrich(records, listed).collect()} == {"a": "new", "b": None}
-    assert {r["query_id"]: r["hits"] for r in ranking.result_counts(hits).collect()} == {1: 2, 2: 1}
+    asked = hits.sparkSession.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    assert {r["query_id"]: r["hits"] for r in ranking.result_counts(hits, asked).collect()} == {1: 2, 2: 1, 3: 0}
     assert sorted(ranking.shuffle_rows(hits, 3).collect()) == sorted(hits.collect())
 
 

@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,31 @@ def test_build_corpus(spark):
         ("B", "n", "short", [8.0, 1.0]),
         ("C", "n", None, None),
     ]
+
+
+def test_each_pair_is_scored_once(spark, tmp_path):
+    """Without `top_k` too, although the ranking reads its input more than once."""
+    calls = str(tmp_path)
+
+    def counting():
+        def score(queries, texts):
+            with open(f"{calls}/{uuid.uuid4()}", "w") as file:
+                file.write(str(len(queries)))
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    pairs = spark.createDataFrame([(i % 5, i, "q", "x" * i) for i in range(40)], "query_id long, corpus_id long, query string, text string")
+    assert len(rerank.rerank(pairs, counting).collect()) == 40
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 40
+
+
+def test_pages_and_low_confidence(spark):
+    corpus = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(12)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    texts = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(12)], "id long, text string")
+    whole = retrieve_then_rerank(corpus, queries, texts, expression=rerank.overlap_logit, min_sim=0.5, head=4)
+    rows = {r["rank"]: r for r in whole.collect()}
+    second = retrieve_then_rerank(corpus, queries, texts, expression=rerank.overlap_logit, min_sim=0.5, head=4, limit=3, shown=3)
+    assert {r["rank"]: (r["id"], r["low"]) for r in second.collect()} == {n: (rows[n]["id"], rows[n]["low"]) for n in (4, 5, 6)}
+    assert all(r["low"] == (r["rerank_score"] < 0.15 if r["rerank_score"] is not None else r["sim"] < 0.78) for r in rows.values())

@@ -1,3 +1,5 @@
+import pytest
+
 from lexivec.functions.prep import WORDS
 from lexivec.operators import bm25, nearest
 from lexivec.sources.index_store import load_index, save_index
@@ -67,3 +69,31 @@ def test_keyword_answers(spark, tmp_path):
     answer.answer_keywords(arriving, index, path, str(tmp_path / "progress")).start().awaitTermination()
     got = answer.answers(spark, path).select("query_id", "doc_id", "score", "rank").collect()
     assert sorted(got) == sorted(bm25.search(index, asked).collect())
+
+
+def test_refused_documents_are_recorded(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ingest._add_batch(spark.createDataFrame(FIRST, SCHEMA), 0, CONFIG, path, "doc_id")
+    mixed = [FIRST[3], (50, "new", "text", "en"), (50, "another", "text", "en"), (None, "none", "text", "en"), (None, "none", "text", "en")]
+    for _ in range(2):  # a retry refuses the same rows
+        ingest._add_batch(spark.createDataFrame(mixed, SCHEMA), 1, CONFIG, path, "doc_id")
+    refused = ingest.rejected(spark, path).filter("batch = 1").collect()
+    assert sorted(((r.doc_id, r.name, r.reason) for r in refused), key=str) == sorted(
+        [(3, FIRST[3][1], ingest.PRESENT), (50, "new", ingest.REPEATED), *[(None, "none", ingest.NO_ID)] * 2], key=str
+    )
+    assert ingest.ingested_index(spark, CONFIG, path).stats().first()["documents"] == 21
+    with pytest.raises(ValueError, match="already present"):
+        ingest._add_batch(spark.createDataFrame(FIRST[:1], SCHEMA), 2, CONFIG, path, "doc_id", refuse="fail")
+    assert ingest.ingested_index(spark, CONFIG, path).stats().first()["documents"] == 21
+
+
+def test_a_stream_keeps_its_settings(spark, tmp_path):
+    path, source = str(tmp_path / "index"), str(tmp_path / "source")
+    spark.createDataFrame(FIRST, SCHEMA).write.parquet(source)
+    arriving = spark.readStream.schema(SCHEMA).parquet(source)
+    ingest.ingest(arriving, CONFIG, path, str(tmp_path / "progress")).start().awaitTermination()
+    other = bm25.BM25Config({"name": 5, "definition": 1}, retained=["lang"], prep=WORDS)
+    with pytest.raises(ValueError, match="other field weights"):
+        ingest.ingest(arriving, other, path, str(tmp_path / "more"))
+    with pytest.raises(ValueError, match="other field weights"):
+        ingest.ingested_index(spark, other, path)
