@@ -24,7 +24,9 @@ from lexivec.operators.bm25 import search  # noqa: E402
 from lexivec.session import local_session, new_folder  # noqa: E402
 from lexivec.sources.index_store import load_index, save_index  # noqa: E402
 
-HEADLINES = ["bm25_weights", "bm25_search", "vector_topk_batch", "rerank_two_stage", "compare_rankings"]
+HEADLINES = [
+    "bm25_weights", "bm25_search", "vector_topk_batch", "rerank_two_stage", "compare_rankings", "full_ranking", "vector_topk_grid",
+]
 
 
 def main() -> None:
