@@ -13,11 +13,13 @@ smaller line number; its own document counts too) has the same set or a Jaccard
    groups of near copies with one comparison each.
 4. The rest: every class that has no earlier match yet is joined with all earlier classes of its prefix
    words, under the length filter, the positional filter and the shorter index prefix of the shorter line.
+   A 64-bit map of each line's words bounds the intersection from above and spares hopeless pairs.
 5. Every candidate pair is verified on the words themselves.
 
 Defined cases: null texts have no lines; blank lines are neither removed nor counted. A null id sorts
 first. Rows that repeat an id are one document: their lines of equal number are compared by one of them,
-and what is removed from one is removed from all. Other columns are passed on.
+and what is removed from one is removed from all. Other columns are passed on, but for names that begin
+with `_l_`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexivec.llm.quality import without_lines
@@ -76,7 +77,7 @@ def shared_least(percent: int, left: Column, right: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """doc, line, n (different words), set (hash of the word set), prefix (its rarest words): lines of enough words."""
+    """doc, line, n (different words), set and bits (hash and map of them), prefix (the rarest): lines of enough words."""
     lines = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
@@ -93,16 +94,19 @@ def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, tex
         "doc", "line", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("keys")
     )
     n = F.size("keys")
+    one = F.lit(1).cast("long")
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
     return keyed.filter(n >= min_words).select(
-        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
+        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
     )
 
 
 def _prefix_table(lines: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """word, place in the prefix, n and first line of each class: a table bucketed by word, and its name."""
+    """word, place in the prefix, n, bits and first line of each class: a table bucketed by word, and its name."""
     spark = lines.sparkSession
-    firsts = lines.groupBy("set", "n").agg(F.min_by("prefix", F.struct("doc", "line")).alias("prefix"), F.min(F.struct("doc", "line")).alias("f"))
-    rows = firsts.select("f.doc", "f.line", "n", F.posexplode("prefix").alias("place", "word"))
+    first = F.min(F.struct("doc", "line")).alias("f")
+    firsts = lines.groupBy("set", "n", "bits").agg(first, F.min_by("prefix", F.struct("doc", "line")).alias("prefix"))
+    rows = firsts.select("f.doc", "f.line", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"line_words_{uuid.uuid4().hex}"
     rows.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").saveAsTable(
@@ -116,10 +120,12 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     an, bn, ap, bp = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
     length = 100 * F.least(an, bn) >= percent * F.greatest(an, bn)
     least = shared_least(percent, an, bn)
-    position = 1 + F.least(an - ap, bn - bp) - 1 >= least
+    position = F.least(an - ap, bn - bp) >= least
+    # Every bit that differs is a word of one line only.
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= an + bn - 2 * least
     # The shorter line needs only the first words that two lines of its length must share one of.
     shorter_n, shorter_p = F.least(an, bn), F.when(an <= bn, ap).otherwise(bp)
-    return length & position & (shorter_p < shorter_n - shared_least(percent, shorter_n, shorter_n) + 1)
+    return length & position & differ & (shorter_p < shorter_n - shared_least(percent, shorter_n, shorter_n) + 1)
 
 
 PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
@@ -162,7 +168,7 @@ def similar_lines(
     lines = saved(keyed_lines(docs, rarity_cells(docs, text), percent, min_words, text, doc_id), "lines")
     table, name = _prefix_table(lines, percent)
     order = Window.partitionBy("word").orderBy("doc", "line")
-    starred = table.select("word", F.struct("doc", "line", "n", "place").alias("b"), "doc", "line")
+    starred = table.select("word", F.struct("doc", "line", "n", "bits", "place").alias("b"), "doc", "line")
     starred = starred.withColumn("a", F.first("b").over(order)).filter(
         (F.struct("a.doc", "a.line") != F.struct("b.doc", "b.line")) & _may_match(percent, "a", "b")
     )
@@ -196,21 +202,20 @@ def similar_lines(
     )
 
 
-def _by_document(docs: DataFrame, options: dict) -> DataFrame:
-    removed = similar_lines(docs, **options)
-    return removed.groupBy(F.col("doc").alias("_l_doc")).agg(
-        F.array_sort(F.collect_list(F.struct("line", "match_doc", "match_line"))).alias("_l_removed")
-    )
+def _with_removed(docs: DataFrame, options: dict) -> DataFrame:
+    """`docs` with `_l_removed`: its removed lines (line, match_doc, match_line), in order."""
+    found = similar_lines(docs, **options).groupBy(F.col("doc").alias("_l_doc"))
+    found = found.agg(F.array_sort(F.collect_list(F.struct("line", "match_doc", "match_line"))).alias("_l_found"))
+    key = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NO_ID))
+    none = F.array().cast(found.schema["_l_found"].dataType)
+    joined = docs.join(found, key == F.col("_l_doc"), "left").withColumn("_l_removed", F.coalesce("_l_found", none))
+    return joined.select(*docs.columns, "_l_removed")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with `removed`: its removed lines (line, match_doc, match_line), in order."""
-    doc_id = options.get("doc_id", "doc_id")
-    kind = T.ArrayType(
-        T.StructType([T.StructField("line", T.IntegerType()), T.StructField("match_doc", T.LongType()), T.StructField("match_line", T.IntegerType())])
-    )
-    joined = docs.join(_by_document(docs, options), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_l_doc"), "left")
-    return joined.select(*docs.columns, F.coalesce("_l_removed", F.array().cast(kind)).alias("removed"))
+    """`docs` with `removed` (which replaces a column of that name): its removed lines (line, match_doc, match_line)."""
+    found = _with_removed(docs, options)
+    return found.select(*(c for c in docs.columns if c != "removed"), F.col("_l_removed").alias("removed"))
 
 
 def clean_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -218,8 +223,8 @@ def clean_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
 
     A document that had no word before stays as it is.
     """
-    found = dedup_lines(docs.withColumn("_l_text", F.col(text)).select(*docs.columns), text=text, **options)
-    cleaned = found.withColumn("_l_new", without_lines(F.col(text), F.col("removed")["line"]))
-    some = F.btrim("_l_new", F.lit(BLANKS)) != ""
-    kept = cleaned.filter((F.size("removed") == 0) | F.coalesce(some, F.lit(False)))
+    found = _with_removed(docs, {"text": text, **options})
+    cleaned = found.withColumn("_l_new", without_lines(F.col(text), F.col("_l_removed")["line"]))
+    some = F.coalesce(F.btrim("_l_new", F.lit(BLANKS)) != "", F.lit(False))
+    kept = cleaned.filter((F.size("_l_removed") == 0) | some)
     return kept.withColumn(text, F.col("_l_new")).select(*docs.columns)

@@ -24,8 +24,10 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The runs of characters other than white space; none for null."""
-    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK))
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")  # a single character is split without a regular expression
 
 
 def same(left: Column, right: Column) -> Column:
