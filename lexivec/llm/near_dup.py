@@ -10,7 +10,7 @@ shingle of the document. Both are bijections of 32-bit numbers.
    of thousands of near copies become stars, not all pairs.
 4. Components of those links are found. Only pairs of one bucket that are still in different components
    are then compared, so no link between candidates is lost, and components are found again.
-5. Before full sets are fetched, pairs must agree in a sketch: two bits of each signature coordinate. The
+5. Before full sets are fetched, pairs must agree in a sketch: two bits of each of 256 coordinates. The
    allowed disagreement is five standard deviations above what a pair at the threshold has.
 
 With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with probability 5e-6, and fails
@@ -39,6 +39,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
+#: Coordinates of the sketch; the first bands * rows of them make the bands.
+SKETCH = 256
 #: Odd multipliers that combine the word hashes of a shingle.
 WEIGHTS = (
     np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -101,14 +103,14 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketch(least: np.ndarray) -> np.ndarray:
     """Two bits of every coordinate, in 64-bit words."""
     bits = np.concatenate([least & np.uint32(1), (least >> np.uint32(1)) & np.uint32(1)]).astype(np.uint8)
-    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.int64)
+    return np.packbits(bits).view(np.int64)
 
 
-def agree(left: str, right: str, size: int, percent: int) -> Column:
-    """Whether two sketches of `size` coordinates may belong to sets of this similarity."""
+def agree(left: str, right: str, percent: int) -> Column:
+    """Whether two sketches may belong to sets of this similarity."""
     apart = 1 - percent / 100
-    most = int(size * apart + 5 * (size * apart * (1 - apart) + size * apart / 2) ** 0.5)
-    words = range((2 * size + 63) // 64)
+    most = int(SKETCH * apart + 5 * (SKETCH * apart * (1 - apart) + SKETCH * apart / 2) ** 0.5)
+    words = range(2 * SKETCH // 64)
     return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in words), F.lit(0)) <= most
 
 
@@ -124,9 +126,9 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str
                 mixed = mix64(found + WEIGHTS[1])
                 first.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(np.bitwise_xor.reduce(mix64(mixed ^ WEIGHTS[2]), initial=np.uint64(0)).view(np.int64)))
-                least = signature(found, bands * rows) if len(found) else None
-                keys.append(None if least is None else band_keys(least, bands, rows))
-                sketches.append(None if least is None else sketch(least))
+                least = signature(found, max(SKETCH, bands * rows)) if len(found) else None
+                keys.append(None if least is None else band_keys(least[: bands * rows], bands, rows))
+                sketches.append(None if least is None else sketch(least[:SKETCH]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -194,14 +196,14 @@ def near_duplicates(
         .distinct()
         .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("right")), "v")
         .join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("left")), "u")
-        .filter(agree("left", "right", bands * rows, percent))
+        .filter(agree("left", "right", percent))
         .select("u", "v"),
         "stars",
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     links = saved(verified(stars, texts, percent), "links")
     roots = saved(components(links), "roots")
-    rest = saved(_across(members, roots, sketches, bands * rows, percent).join(stars, ["u", "v"], "left_anti"), "rest")
+    rest = saved(_across(members, roots, sketches, percent).join(stars, ["u", "v"], "left_anti"), "rest")
     roots = saved(components(links.union(saved(verified(rest, texts, percent), "links"))), "roots")
     of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         *sets, F.coalesce("root", "rep").alias("root")
@@ -214,7 +216,7 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, roots: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are in different components, of similar size and with agreeing sketches."""
     rooted = members.join(roots, F.col("doc_id") == F.col("node"), "left").select(
         "band", "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")
@@ -227,7 +229,7 @@ def _across(members: DataFrame, roots: DataFrame, sketches: DataFrame, size: int
     )
     near = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
     apart = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b"))
-    pairs = left.join(right, ["band", "key"]).filter(apart & near & agree("sketch_a", "sketch_b", size, percent))
+    pairs = left.join(right, ["band", "key"]).filter(apart & near & agree("sketch_a", "sketch_b", percent))
     return pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
 
 
