@@ -17,7 +17,7 @@ texts a backslash becomes two, `<` becomes `\\l` and `[` becomes `\\b`, so that
 in them; `unescaped` undoes it.
 
 Defined cases: null roles and texts are empty strings; an unknown or null kind has no effect; events of
-equal `seq` are ordered by turn, kind, role and text; a null conversation id is one conversation. A message
+equal `seq` are ordered by turn, kind, role and text; a dropped message that is written to again has its old role; a null conversation id is one conversation. A message
 whose events were all dropped is absent; a conversation without messages has no row. Other columns play no part.
 """
 

@@ -26,11 +26,14 @@ ODD = [(900, None, None), (901, "", "xx"), (902, " \n", None), (903, "12 34 !!",
 
 def fold(events):
     """A log by hand: conv_id to [(turn, role, text)]."""
-    chats = {}
+    chats, roles = {}, {}
     for c, _, turn, kind, role, text in sorted(events, key=lambda e: e[1]):
         own = chats.setdefault(c, {})
-        old_role, old = own.get(turn, ("", ""))
+        old = own.get(turn, ("", ""))[1]
+        old_role = roles.get((c, turn), "")  # also of a message that was dropped
         named = role if role is not None else old_role
+        if kind in ("message", "delta"):
+            roles[c, turn] = named
         if kind == "message":
             own[turn] = (named, text or "")
         elif kind == "delta":
