@@ -545,11 +545,12 @@ ORACLES: dict[str, str] = {
     "without_vector": "SELECT count(*) AS without_vector FROM embeddings WHERE vec_id % 3 = 0",
     "search_built_corpus": f"WITH {PARTS} SELECT code AS query_id, 1e0 AS sim FROM defined WHERE definition IS NOT NULL",
     "stream_ingest_rejected": """
-        SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS doc_id, 'already present' AS reason, CAST(1 AS BIGINT) AS batch
-        FROM documents WHERE doc_id % 2 = 0
-        UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'already present' ELSE 'repeated in the batch' END, 1
-        FROM documents WHERE doc_id % 7 = 1
-        UNION ALL SELECT NULL, 'no id', 1 FROM documents WHERE doc_id % 5 = 0""",
+        WITH refused AS (
+          SELECT doc_id, 'already present' AS reason FROM documents WHERE doc_id % 2 = 0
+          UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'already present' ELSE 'repeated in the batch' END
+          FROM documents WHERE doc_id % 7 = 1
+          UNION ALL SELECT NULL, 'no id' FROM documents WHERE doc_id % 5 = 0)
+        SELECT coalesce(CAST(doc_id AS VARCHAR), 'none') AS doc_id, reason, CAST(1 AS BIGINT) AS batch FROM refused""",
     "scan_metadata": r"""
         SELECT CAST(doc_id AS VARCHAR) AS idno, split_part(text, chr(10), 1) AS title, '2024-02-03' AS date_created,
                CAST(least(3, len(regexp_extract_all(lower(text), '\p{L}+'))) AS BIGINT) AS keywords

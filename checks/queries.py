@@ -847,7 +847,8 @@ def stream_ingest_rejected(spark, sf_dir):
         # Batches of one index have numbers of their own, so the second stream goes on from the first.
         ingest.ingest(arriving, config_, folder, progress, first_batch=n).start().awaitTermination()
     refused = ingest.rejected(spark, folder)
-    return refused.select("doc_id", "reason", F.col("batch").cast("long").alias("batch"))
+    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id")
+    return refused.select(shown, "reason", F.col("batch").cast("long").alias("batch"))
 
 
 @query
