@@ -16,6 +16,10 @@ smaller line number; its own document counts too) has the same set or a Jaccard
    A 64-bit map of each line's words bounds the intersection from above and spares hopeless pairs.
 5. Every candidate pair is verified on the words themselves.
 
+Steps 3 and 4 answer which lines go, with one earlier match for each. `line_links` leaves no link out: it joins
+all classes with all earlier ones of their prefix words, and gives class pairs and the members of each class.
+Its candidates and links grow with the square of a group of near copies.
+
 Defined cases: null texts have no lines; blank lines are neither removed nor counted. A null id sorts
 first. Rows that repeat an id are one document: their lines of equal number are compared by one of them,
 and what is removed from one is removed from all. Other columns are passed on, but for names that begin
@@ -202,6 +206,41 @@ def similar_lines(
     )
 
 
+def line_links(
+    docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """All links, as members and class pairs.
+
+    Members: doc, line, class_doc, class_line (the first line of equal words), for every line of enough words.
+    Pairs: a_doc, a_line, b_doc, b_line, the classes whose words are similar but unequal, the earlier one first.
+    """
+    lines = saved(keyed_lines(docs, rarity_cells(docs, text), percent, min_words, text, doc_id), "lines")
+    table, name = _prefix_table(lines, percent)
+    earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
+    met = table.alias("a").join(table.alias("b"), (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
+    met = saved(met.select(*_pair("a", "b")).distinct(), "met")
+    pairs = saved(_verified(met, docs, percent, text, doc_id), "pairs")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    firsts = lines.groupBy("set", "n").agg(F.min(F.struct("doc", "line")).alias("f"))
+    members = lines.select("doc", "line", "set", "n").join(firsts, ["set", "n"])
+    members = members.select("doc", "line", F.col("f.doc").alias("class_doc"), F.col("f.line").alias("class_line")).distinct()
+    return saved(members, "members"), pairs
+
+
+def count_links(docs: DataFrame, **options) -> DataFrame:
+    """The members of `line_links`, each with n_links: how many other lines have equal or similar words."""
+    members, pairs = line_links(docs, **options)
+    own = ["class_doc", "class_line"]
+    sizes = saved(members.groupBy(*own).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    ends = [pairs.select(*(F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in (x, y) for c in ("doc", "line")))
+            for x, y in ((("a", "class"), ("b", "other")), (("b", "class"), ("a", "other")))]
+    other = sizes.select(F.col("class_doc").alias("other_doc"), F.col("class_line").alias("other_line"), "size")
+    similar = ends[0].union(ends[1]).join(other, ["other_doc", "other_line"]).groupBy(*own).agg(F.sum("size").alias("similar"))
+    linked = sizes.join(similar, own, "left")
+    linked = linked.select(*own, (F.col("size") - 1 + F.coalesce("similar", F.lit(0))).alias("n_links"))
+    return members.join(linked, own).select("doc", "line", *own, "n_links")
+
+
 def _with_removed(docs: DataFrame, options: dict) -> DataFrame:
     """`docs` with `_l_removed`: its removed lines (line, match_doc, match_line), in order."""
     found = similar_lines(docs, **options).groupBy(F.col("doc").alias("_l_doc"))

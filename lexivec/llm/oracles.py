@@ -92,6 +92,21 @@ SELECT d.doc_id, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
+ORACLES["op1_line_links"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS nr
+           FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT doc_id, nr, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS w FROM l),
+sets AS (SELECT *, len(w) AS n, doc_id * 1000000 + nr AS spot FROM worded WHERE len(w) >= 5),
+classes AS (SELECT w, n, min(spot) AS first, count(*) AS size FROM sets GROUP BY w, n),
+t AS (SELECT first, n, size, unnest(w) AS word FROM classes),
+p AS (SELECT a.first AS a, any_value(b.size) AS size, a.n AS an, b.n AS bn, count(*) AS k FROM t a JOIN t b
+      ON a.word = b.word AND a.first <> b.first AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.first, b.first, a.n, b.n),
+m AS (SELECT a AS first, sum(size) AS near FROM p WHERE 100 * k >= 85 * (an + bn - k) GROUP BY a)
+SELECT doc_id, nr AS line, first // 1000000 AS class_id, first % 1000000 AS class_line,
+       CAST(size - 1 + coalesce(near, 0) AS BIGINT) AS n_links
+FROM sets JOIN classes USING (w, n) LEFT JOIN m USING (first)
+"""
+
 ORACLES["op6_chat_formatting"] = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),

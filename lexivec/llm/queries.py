@@ -76,6 +76,15 @@ def op1_line_dedup(spark, sf_dir):
     )
 
 
+@query
+def op1_line_links(spark, sf_dir):
+    found = line_dedup.count_links(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("class_doc").alias("class_id"),
+        F.col("class_line").cast("long").alias("class_line"), "n_links",
+    )
+
+
 @query
 def op6_chat_formatting(spark, sf_dir):
     # The contract adds one conversation whose texts look like a template.

@@ -98,6 +98,20 @@ def test_line_dedup(spark):
         assert all((x.match_doc, x.match_line) < (r.doc_id, x.line) for x in r.removed)
 
 
+def test_line_links_are_all_found(spark):
+    """Thirty near copies and three exact ones: every pair is a link, not one per line."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:i] + ["zz"] + words[i + 1 :]) for i in range(30)] + [" ".join(words)] * 3 + ["a b c d e"]
+    docs = frame(spark, [(i, t, "h") for i, t in enumerate(texts)])
+    sets = [frozenset(t.split()) for t in texts]
+    near = [[100 * len(a & b) >= 85 * len(a | b) for b in sets] for a in sets]
+    got = {r.doc: r for r in line_dedup.count_links(docs).collect()}
+    assert {d: r.n_links for d, r in got.items()} == {i: sum(row) - 1 for i, row in enumerate(near)}
+    assert {d: (r.class_doc, r.class_line) for d, r in got.items()} == {i: (sets.index(s), 0) for i, s in enumerate(sets)}
+    _, pairs = line_dedup.line_links(docs)
+    assert pairs.count() == 31 * 30 // 2
+
+
 def test_line_dedup_cleans(spark):
     five = "a b c d e"
     docs = [(None, f"{five}\nshort", None), (1, f"new one\n{five}\n\nE D C B A", None), (2, five, None), (3, None, None), (4, "", None)]
