@@ -40,9 +40,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Rows without a window of the benchmark, each judged by its own text."""
     benchmark = spark.read.parquet(posixpath.join(sf_dir, "benchmark.parquet"))
-    return decontam.clean_documents(docs, benchmark)
+    return decontam.clean_documents(docs, benchmark, by_row=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "row long, doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+SCHEMA = "text_hash long, row long, doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
 
 def _scan(docs: DataFrame, items: list[tuple[object, str | None]], size: int) -> DataFrame:
@@ -133,13 +133,14 @@ def _scan(docs: DataFrame, items: list[tuple[object, str | None]], size: int) ->
             counts, spans, found = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("text_hash"),
                     batch.column("row"),
                     batch.column("doc_id"),
                     pa.array(counts, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(found, pa.list_(pa.string())),
                 ],
-                names=["row", "doc_id", "n_words", "spans", "items"],
+                names=["text_hash", "row", "doc_id", "n_words", "spans", "items"],
             )
 
     return docs.mapInArrow(run, SCHEMA)
@@ -163,9 +164,18 @@ def contaminated_spans(
     item_id: str = "item_id", item_text: str = "text", max_group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, spans of hit words, items with occurring windows."""
+    return _row_spans(docs, benchmark, window, text, doc_id, item_id, item_text, max_group_bytes).drop("text_hash")
+
+
+def _row_spans(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id",
+    item_id: str = "item_id", item_text: str = "text", max_group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """`contaminated_spans` with the hash of each row's text."""
     narrow = docs.select(
-        F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")
-    )
+        F.xxhash64(text).alias("text_hash"), F.xxhash64(doc_id, text).alias("row"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+    )
     groups = _groups(benchmark, item_id, item_text, max_group_bytes)
     first, second = next(groups), next(groups, None)
     if second is None:
@@ -178,7 +188,7 @@ def contaminated_spans(
 
 def _merge(passes: list[DataFrame]) -> DataFrame:
     """Hits of several passes per document; a repeated row stays repeated."""
-    copies = passes[0].groupBy("row", "doc_id", "n_words").agg(F.count(F.lit(1)).alias("copies"))
+    copies = passes[0].groupBy("text_hash", "row", "doc_id", "n_words").agg(F.count(F.lit(1)).alias("copies"))
     hits = passes[0]
     for more in passes[1:]:
         hits = hits.union(more)
@@ -190,6 +200,7 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
     none = F.array().cast("array<struct<start: int, end: int>>")
     repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(
+        "text_hash",
         "doc_id",
         "n_words",
         _union_spans(F.coalesce("spans", none)).alias("spans"),
@@ -210,11 +221,19 @@ def hit_words(spans) -> object:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without any occurring window, in the columns of `docs`."""
-    hits = contaminated_spans(docs, benchmark, text=text, doc_id=doc_id, **options).filter(F.size("spans") > 0)
-    gone = hits.select(F.col("doc_id").alias("_d_id")).distinct()
-    return docs.join(gone, same(F.col(doc_id).cast("long"), F.col("_d_id")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", by_row: bool = False, **options) -> DataFrame:
+    """The documents without any occurring window, in the columns of `docs`.
+
+    By row, every row is judged by its own text. Otherwise the rows of one id are one document, and a hit in one
+    of them drops all; rows without an id are always judged one by one.
+    """
+    hits = _row_spans(docs, benchmark, text=text, doc_id=doc_id, **options).filter(F.size("spans") > 0)
+    # The hash is left out where the id alone decides.
+    of_text = (lambda i, h: h) if by_row else (lambda i, h: F.when(i.isNull(), h))
+    gone = hits.select(F.col("doc_id").alias("_d_id"), of_text(F.col("doc_id"), F.col("text_hash")).alias("_d_hash")).distinct()
+    key = F.col(doc_id).cast("long")
+    found = same(key, F.col("_d_id")) & same(of_text(key, F.xxhash64(text)), F.col("_d_hash"))
+    return docs.join(gone, found, "left_anti")
 
 
 def sha256(values: list[str]) -> str:

@@ -187,6 +187,20 @@ def test_decontamination(spark, limit):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((d for d, _, _ in docs if d not in bad), key=str)
 
 
+@pytest.mark.parametrize("limit", [decontam.GROUP_BYTES, 600])
+def test_decontamination_keeps_clean_rows(spark, limit):
+    """A hit in one row leaves the other rows without an id, and by row those of the same id."""
+    docs = [*contaminated(), (None, "clean text", "h"), (None, None, "h")]
+    items = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    clean = [(None, "clean text"), (None, None)]
+    left = decontam.clean_documents(frame(spark, docs), items, max_group_bytes=limit)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([*clean, (5, None), (6, "")], key=str)
+    left = decontam.clean_documents(frame(spark, docs), items, by_row=True, max_group_bytes=limit)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([*clean, (5, None), (6, ""), *[(1, "clean text")] * 2], key=str)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {len(r.spans) for r in decontam.contaminated_spans(frame(spark, contaminated()), none).collect()} == {0}
