@@ -5,7 +5,8 @@ places, and coordinate k is the smallest value that `pi`, shifted by k places ro
 shingle of the document. Both are bijections of 32-bit numbers.
 
 1. One pass over the texts makes a narrow table: number of shingles, hash of the whole set, band keys.
-2. Documents with equal sets are one class, known by its smallest id; only classes go on.
+2. Rows are known by id and hash of the text. Rows with equal sets are one class, known by its smallest row; only
+   classes go on.
 3. In each bucket (band and key) every class is compared with the bucket's smallest, on full sets. Buckets
    of thousands of near copies become stars, not all pairs.
 4. Components of those links are found. Only pairs of one bucket that are still in different components
@@ -17,8 +18,10 @@ With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with p
 the sketch with probability 3e-7; both are less above. Links themselves are exact: 100 * intersection >= 75 * union on the full shingle sets.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing. A text of fewer than
-five words has one shingle, its whole sequence. A row without an id is kept and is its own class. Rows that
-repeat an id and text give repeated results. Other columns play no part.
+five words has one shingle, its whole sequence. Rows that repeat an id with other texts are linked each by its
+own text. A row without an id is linked like any other and comes after all ids (2^63 - 1 is no id);
+`near_duplicates` gives it no component id and calls it kept, while `deduplicated` keeps one row of each component,
+also of rows that repeat id and text. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexivec.llm.components import components
 from lexivec.llm.shared import same, saved
@@ -41,6 +45,8 @@ BANDS = 32
 ROWS = 4
 #: Coordinates of the sketch; the first bands * rows of them make the bands.
 SKETCH = 256
+#: Stands for a missing id, after all others.
+NO_ID = 2**63 - 1
 #: Odd multipliers that combine the word hashes of a shingle.
 WEIGHTS = (
     np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -114,8 +120,13 @@ def agree(left: str, right: str, percent: int) -> Column:
     return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in words), F.lit(0)) <= most
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """What a row is known by: id and hash of the text."""
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"))
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hash of the set), band keys, sketch."""
+    """row, n_shingles, set_a and set_b (hash of the set), band keys, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,69 +149,69 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
+                names=["row", "n_shingles", "set_a", "set_b", "keys", "sketch"],
             )
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>")
+    narrow = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "row struct<id: long, hash: long>, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the full shingle set."""
+    """row and the full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingle_set(v.as_py()).view(np.int64) for v in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["row", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "row struct<id: long, hash: long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; only texts of these pairs are read."""
-    needed = saved(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "needed")
+    needed = saved(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "needed")
     wanted = F.broadcast(needed) if is_small(needed) else needed
-    sets = saved(shingle_sets(texts.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    first = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("left"))
-    second = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("right"))
+    sets = saved(shingle_sets(texts.join(wanted, "row", "left_semi")).dropDuplicates(["row"]), "sets")
+    first = sets.select(F.col("row").alias("u"), F.col("shingles").alias("left"))
+    second = sets.select(F.col("row").alias("v"), F.col("shingles").alias("right"))
     both = pairs.join(second, "v").join(first, "u")
     shared = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - shared
     return both.filter(100 * shared.cast("long") >= percent * union.cast("long")).select("u", "v")
 
 
-def near_duplicates(
+def rooted(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+    """One row per row of `docs`: row, n_shingles, root (smallest row reachable)."""
     signed = saved(signatures(docs, bands, rows, text, doc_id), "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = saved(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes"
+        signed.filter("n_shingles > 0").groupBy(*sets).agg(F.min("row").alias("rep")), "classes"
     )
     # Of a class, only the row of its smallest id is looked at further.
-    leaders = signed.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
+    leaders = signed.join(classes.select("rep").distinct(), F.col("row") == F.col("rep")).dropDuplicates(["row"])
     leaders = saved(leaders, "leaders")
-    sketches = leaders.select("doc_id", "sketch")
-    placed = leaders.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    sketches = leaders.select("row", "sketch")
+    placed = leaders.select("row", "n_shingles", F.posexplode("keys").alias("band", "key"))
     buckets = placed.groupBy("band", "key").agg(
-        F.min("doc_id").alias("center"), F.min_by("n_shingles", "doc_id").alias("center_n"), F.count(F.lit(1)).alias("size")
+        F.min("row").alias("center"), F.min_by("n_shingles", "row").alias("center_n"), F.count(F.lit(1)).alias("size")
     )
     crowded = saved(buckets.filter("size > 1").drop("size"), "buckets")
     close = 100 * F.least("n_shingles", "center_n") >= percent * F.greatest("n_shingles", "center_n")
     members = saved(placed.join(crowded, ["band", "key"]), "members")
     stars = saved(
-        members.filter("doc_id <> center")
+        members.filter("row <> center")
         .filter(close)
-        .select(F.col("center").alias("u"), F.col("doc_id").alias("v"))
+        .select(F.col("center").alias("u"), F.col("row").alias("v"))
         .distinct()
-        .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("right")), "v")
-        .join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("left")), "u")
+        .join(sketches.select(F.col("row").alias("v"), F.col("sketch").alias("right")), "v")
+        .join(sketches.select(F.col("row").alias("u"), F.col("sketch").alias("left")), "u")
         .filter(agree("left", "right", percent))
         .select("u", "v"),
         "stars",
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
     links = saved(verified(stars, texts, percent), "links")
     roots = saved(components(links), "roots")
     rest = saved(_across(members, roots, sketches, percent).join(stars, ["u", "v"], "left_anti"), "rest")
@@ -209,35 +220,50 @@ def near_duplicates(
         *sets, F.coalesce("root", "rep").alias("root")
     )
     return (
-        signed.select("doc_id", *sets)
+        signed.select("row", *sets)
         .join(of_class, sets, "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
-        .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
+        .select("row", "n_shingles", F.coalesce("root", "row").alias("root"))
+    )
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+    own, least = (F.nullif(F.col(c)["id"], F.lit(NO_ID)) for c in ("row", "root"))
+    found = rooted(docs, **options).select(
+        own.alias("doc_id"), "n_shingles", F.when(own.isNotNull(), least).alias("component_id")
     )
+    return found.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
 def _across(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are in different components, of similar size and with agreeing sketches."""
-    rooted = members.join(roots, F.col("doc_id") == F.col("node"), "left").select(
-        "band", "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")
+    placed = members.join(roots, F.col("row") == F.col("node"), "left").select(
+        "band", "key", "row", "n_shingles", F.coalesce("root", "row").alias("root")
     )
-    mixed = rooted.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").drop("mixed")
-    open_rows = saved(rooted.join(mixed, ["band", "key"]).join(sketches, "doc_id"), "open")
+    mixed = placed.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").drop("mixed")
+    open_rows = saved(placed.join(mixed, ["band", "key"]).join(sketches, "row"), "open")
     left, right = (
-        open_rows.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n_shingles", "root", "sketch")))
+        open_rows.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "n_shingles", "root", "sketch")))
         for s in ("a", "b")
     )
     near = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-    apart = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b"))
+    apart = (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b"))
     pairs = left.join(right, ["band", "key"]).filter(apart & near & agree("sketch_a", "sketch_b", percent))
-    return pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
+    return pairs.select(F.col("row_a").alias("u"), F.col("row_b").alias("v")).distinct()
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: int) -> DataFrame:
-    """The documents that are the smallest id of their component, in the columns of `docs`.
+    """One row of each component, that of the smallest id and text hash, in the columns of `docs`.
 
-    Of rows that repeat an id, all stay or all go.
+    Of rows that repeat id and text, the first by all columns as JSON stays. Rows without shingles all stay.
     """
-    judged = near_duplicates(docs, text=text, doc_id=doc_id, **options)
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_n_id")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_n_id"), "left_anti")
+    judged = saved(rooted(docs, text=text, doc_id=doc_id, **options).filter("n_shingles > 0"), "judged")
+    gone = judged.filter(F.col("row") != F.col("root")).select(F.col("row").alias("_n_row")).distinct()
+    left = docs.join(gone, row_key(doc_id, text) == F.col("_n_row"), "left_anti")
+    repeats = judged.filter(F.col("row") == F.col("root")).groupBy(F.col("row").alias("_n_row")).count()
+    repeats = saved(repeats.filter("count > 1").select("_n_row"), "repeats")
+    once = left.join(repeats, row_key(doc_id, text) == F.col("_n_row"), "left_anti")
+    again = left.withColumn("_n_key", row_key(doc_id, text)).join(repeats, F.col("_n_key") == F.col("_n_row"), "left_semi")
+    order = Window.partitionBy("_n_key").orderBy(F.to_json(F.struct(*docs.columns)))
+    first = again.withColumn("_n_place", F.row_number().over(order)).filter("_n_place = 1")
+    return once.union(first.select(*docs.columns))

@@ -61,6 +61,18 @@ def test_near_duplicates_without_id_or_rows(spark):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(1, a, "h"), (1, a, "h"), (1, b, "h"), (None, a + " end", "h"), (2, b + " end", "g"), (3, "other text", "h"), (4, "", "h")]
+    docs += [(None, "no id", "h"), (None, "no id", "h"), (None, "no id", "g"), (None, None, None), (None, None, None)]
+    left = near_dup.deduplicated(frame(spark, docs))
+    got = sorted(((r.doc_id, r.text, r.source) for r in left.collect()), key=str)
+    wanted = [(1, a, "h"), (1, b, "h"), (3, "other text", "h"), (4, "", "h"), (None, "no id", "g"), *[(None, None, None)] * 2]
+    assert got == sorted(wanted, key=str) and left.columns == frame(spark, docs).columns
+    judged = near_dup.near_duplicates(frame(spark, docs)).collect()
+    assert {(r.doc_id, r.component_id) for r in judged} == {(1, 1), (2, 1), (3, 3), (4, 4), (None, None)}
+
+
 def test_many_near_copies_are_not_paired(spark):
     """A large group of near copies of one text is one component."""
     random.seed(2)
