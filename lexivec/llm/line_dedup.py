@@ -20,9 +20,9 @@ Steps 3 and 4 answer which lines go, with one earlier match for each. `line_link
 all classes with all earlier ones of their prefix words, and gives class pairs and the members of each class.
 Its candidates and links grow with the square of a group of near copies.
 
-Defined cases: null texts have no lines; blank lines are neither removed nor counted. A null id sorts
-first. Rows that repeat an id are one document: their lines of equal number are compared by one of them,
-and what is removed from one is removed from all. Other columns are passed on, but for names that begin
+Defined cases: null texts have no lines; blank lines are neither removed nor counted. A row is known by id
+and hash of its text, and rows are in this order; a null id sorts first. Rows that repeat id and text are one
+document: what is removed from one is removed from all. Other columns are passed on, but for names that begin
 with `_l_`.
 """
 
@@ -45,9 +45,15 @@ MIN_WORDS = 5
 CELL_BITS = 18
 #: Bits of a word key below its rarity.
 KEY_BITS = 56
+#: Stands for a missing id, before all others.
 NO_ID = -(2**63)
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """What a row is known by: id and hash of the text."""
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"))
+
+
 def line_words(line: Column) -> Column:
     return words(F.lower(line))
 
@@ -83,7 +89,7 @@ def shared_least(percent: int, left: Column, right: Column) -> Column:
 def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
     """doc, line, n (different words), set and bits (hash and map of them), prefix (the rarest): lines of enough words."""
     lines = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"),
+        row_key(doc_id, text).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
     )
     table, low = F.lit(cells), (1 << KEY_BITS) - 1
@@ -148,7 +154,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str, doc_id
         .agg(F.collect_set("line").alias("lines")),
         "needed",
     )
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+    texts = docs.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
     wanted = F.broadcast(needed) if is_small(needed) else needed
     found = (
         texts.join(wanted, "doc")
@@ -168,7 +174,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str, doc_id
 def similar_lines(
     docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """doc, line, match_doc, match_line: the removed lines, each with an earlier line that it matches."""
+    """doc, line, match_doc, match_line: the removed lines, each with an earlier line that it matches.
+
+    doc and match_doc are row keys: id and hash of the text.
+    """
     lines = saved(keyed_lines(docs, rarity_cells(docs, text), percent, min_words, text, doc_id), "lines")
     table, name = _prefix_table(lines, percent)
     order = Window.partitionBy("word").orderBy("doc", "line")
@@ -211,6 +220,7 @@ def line_links(
 ) -> tuple[DataFrame, DataFrame]:
     """All links, as members and class pairs.
 
+    Documents are row keys: id and hash of the text.
     Members: doc, line, class_doc, class_line (the first line of equal words), for every line of enough words.
     Pairs: a_doc, a_line, b_doc, b_line, the classes whose words are similar but unequal, the earlier one first.
     """
@@ -242,17 +252,18 @@ def count_links(docs: DataFrame, **options) -> DataFrame:
 
 
 def _with_removed(docs: DataFrame, options: dict) -> DataFrame:
-    """`docs` with `_l_removed`: its removed lines (line, match_doc, match_line), in order."""
+    """`docs` with `_l_removed`: its removed lines (line, match_doc, match_hash, match_line), in order."""
     found = similar_lines(docs, **options).groupBy(F.col("doc").alias("_l_doc"))
-    found = found.agg(F.array_sort(F.collect_list(F.struct("line", "match_doc", "match_line"))).alias("_l_found"))
-    key = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NO_ID))
+    match = F.struct("line", F.col("match_doc.id").alias("match_doc"), F.col("match_doc.hash").alias("match_hash"), "match_line")
+    found = found.agg(F.array_sort(F.collect_list(match)).alias("_l_found"))
+    key = row_key(options.get("doc_id", "doc_id"), options.get("text", "text"))
     none = F.array().cast(found.schema["_l_found"].dataType)
     joined = docs.join(found, key == F.col("_l_doc"), "left").withColumn("_l_removed", F.coalesce("_l_found", none))
     return joined.select(*docs.columns, "_l_removed")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with `removed` (which replaces a column of that name): its removed lines (line, match_doc, match_line)."""
+    """`docs` with `removed` (which replaces a column of that name): its removed lines (line, match_doc, match_hash, match_line)."""
     found = _with_removed(docs, options)
     return found.select(*(c for c in docs.columns if c != "removed"), F.col("_l_removed").alias("removed"))
 

@@ -9,7 +9,7 @@ import posixpath
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, pii, quality, secrets, toxicity
@@ -76,11 +76,15 @@ def op1_line_dedup(spark, sf_dir):
     )
 
 
+def _id(key: str) -> Column:
+    return F.nullif(F.col(key)["id"], F.lit(line_dedup.NO_ID))
+
+
 @query
 def op1_line_links(spark, sf_dir):
     found = line_dedup.count_links(read(spark, sf_dir, "documents"))
     return found.select(
-        F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("class_doc").alias("class_id"),
+        _id("doc").alias("doc_id"), F.col("line").cast("long").alias("line"), _id("class_doc").alias("class_id"),
         F.col("class_line").cast("long").alias("class_line"), "n_links",
     )
 

@@ -117,9 +117,9 @@ def test_line_links_are_all_found(spark):
     docs = frame(spark, [(i, t, "h") for i, t in enumerate(texts)])
     sets = [frozenset(t.split()) for t in texts]
     near = [[100 * len(a & b) >= 85 * len(a | b) for b in sets] for a in sets]
-    got = {r.doc: r for r in line_dedup.count_links(docs).collect()}
+    got = {r.doc.id: r for r in line_dedup.count_links(docs).collect()}
     assert {d: r.n_links for d, r in got.items()} == {i: sum(row) - 1 for i, row in enumerate(near)}
-    assert {d: (r.class_doc, r.class_line) for d, r in got.items()} == {i: (sets.index(s), 0) for i, s in enumerate(sets)}
+    assert {d: (r.class_doc.id, r.class_line) for d, r in got.items()} == {i: (sets.index(s), 0) for i, s in enumerate(sets)}
     _, pairs = line_dedup.line_links(docs)
     assert pairs.count() == 31 * 30 // 2
 
@@ -135,6 +135,14 @@ def test_line_dedup_cleans(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    """Lines are compared and removed row by row, without an id and with a repeated one."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(8)) for x in "abcd")
+    docs = [(None, f"{a}\n{b}", "h"), (None, f"{c}\n{d}", "h"), (7, f"{a}\nown line", "h"), (7, f"other line\n{d}", "h"), (8, c, "h")]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.clean_documents(frame(spark, docs)).collect()), key=str)
+    assert got == sorted([(None, docs[0][1]), (None, docs[1][1]), (7, "own line"), (7, "other line")], key=str)
+
+
 def test_quality_rules(spark):
     rules = QualityRules(min_words=4, max_documents=3, max_share=0.02)
     docs = corpus()
