@@ -119,3 +119,47 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+#: CRC-32 of an integer in decimal.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda s, i: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)), 4294967295)"""
+FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+ROW = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+# Levels of one tree per group `g`, and the siblings of every node: {0} names the tables, {1} the leaves (g, place, h).
+TREE = """
+{0}_lv AS (SELECT g, 0 AS lvl, place, h, count(*) OVER (PARTITION BY g) AS n FROM {1}
+  UNION ALL
+  SELECT g, lvl + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (n + 2) // 3
+  FROM {0}_lv WHERE n > 1 GROUP BY g, lvl, place // 3, n),
+{0}_sib AS (SELECT a.g, a.lvl, a.place,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM {0}_lv a JOIN {0}_lv b ON a.g = b.g AND a.lvl = b.lvl AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY ALL),
+{0}_top AS (SELECT g, h FROM {0}_lv WHERE n = 1)
+"""
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE
+d AS (SELECT *, CASE WHEN {CRC32.format("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+sources AS (SELECT source AS host, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+hashed AS (SELECT doc_id, g, {ROW.format("text")} AS h, {ROW.format("changed")} AS bad
+           FROM d JOIN sources ON source IS NOT DISTINCT FROM host),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, bad) - 1 AS place FROM hashed),
+{TREE.format("own", "leaves")},
+subroots AS (SELECT 0 AS g, g AS place, h FROM own_top),
+{TREE.format("top", "subroots")},
+climb AS (SELECT g, place, 0 AS lvl, place AS at, bad AS folded, '' AS met FROM leaves
+  UNION ALL
+  SELECT c.g, c.place, c.lvl + 1, c.at // 3, sha256(before || folded || after), met || before || after
+  FROM climb c JOIN own_sib s ON c.g = s.g AND c.lvl = s.lvl AND c.at = s.place),
+half AS (SELECT g, place, arg_max(folded, lvl) AS folded, arg_max(met, lvl) AS met FROM climb GROUP BY g, place),
+rest AS (SELECT g, place, 0 AS lvl, g AS at, folded, met FROM half
+  UNION ALL
+  SELECT c.g, c.place, c.lvl + 1, c.at // 3, sha256(before || folded || after), met || before || after
+  FROM rest c JOIN top_sib s ON c.lvl = s.lvl AND c.at = s.place),
+done AS (SELECT g, place, arg_max(folded, lvl) AS folded, arg_max(met, lvl) AS met FROM rest GROUP BY g, place)
+SELECT doc_id, leaves.h AS leaf, own_top.h AS subroot, top_top.h AS root, sha256(met) AS proof_sha256,
+       folded AS folded_root, folded = top_top.h AS verified
+FROM leaves JOIN done USING (g, place) JOIN own_top USING (g) CROSS JOIN top_top
+"""

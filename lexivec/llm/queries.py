@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, langid, line_dedup, near_dup, packing, pii, quality, secrets, toxicity
+from lexivec.llm import chat, decontam, langid, line_dedup, merkle, near_dup, packing, pii, quality, secrets, toxicity
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -144,3 +144,12 @@ def op5_personal_data(spark, sf_dir):
 def op4_secret_scan(spark, sf_dir):
     found = secrets.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    found = merkle.manifest(read(spark, sf_dir, "documents"), tampered)
+    proof = F.sha2(merkle.shown(F.col("siblings")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
