@@ -163,3 +163,28 @@ SELECT doc_id, leaves.h AS leaf, own_top.h AS subroot, top_top.h AS root, sha256
        folded AS folded_root, folded = top_top.h AS verified
 FROM leaves JOIN done USING (g, place) JOIN own_top USING (g) CROSS JOIN top_top
 """
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+own AS (SELECT conv_id, list(struct_pack(role, text) ORDER BY i) AS a FROM t GROUP BY conv_id),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.a[1:h], []), o.a[h + 1:]) AS a
+          FROM c JOIN own o USING (conv_id) LEFT JOIN own b ON b.conv_id = base),
+p AS (SELECT conv_id, a, unnest(range(0, len(a) + 1)) AS depth FROM built),
+m AS (SELECT conv_id, depth, a[1:depth] AS k, len(a) = depth AS ends, a FROM p),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, k) AS node FROM m),
+n AS (SELECT node, depth, count(*) AS n_convs,
+             (count(*) - 1) * max(CASE WHEN depth > 0 THEN len(regexp_extract_all(k[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END) AS tokens,
+             sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM named GROUP BY node, depth),
+linked AS (SELECT n.*, u.node AS parent FROM n LEFT JOIN named u ON u.conv_id = n.node AND u.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (node, depth)),
+sums AS (SELECT u.node, u.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(tokens) AS saved_tokens
+         FROM full_ f JOIN named u ON u.conv_id = f.node AND u.depth <= f.depth GROUP BY u.node, u.depth)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_ JOIN sums USING (node, depth)
+"""

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, langid, line_dedup, merkle, near_dup, packing, pii, quality, secrets, toxicity
+from lexivec.llm import chat, decontam, langid, line_dedup, merkle, near_dup, packing, pii, quality, secrets, toxicity, trie
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -153,3 +153,8 @@ def op13_merkle_manifest(spark, sf_dir):
     found = merkle.manifest(read(spark, sf_dir, "documents"), tampered)
     proof = F.sha2(merkle.shown(F.col("siblings")), 256).alias("proof_sha256")
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(*trie.regrafted(saved(trie.numbered_turns(read(spark, sf_dir, "conversations")), "numbered")))

@@ -81,7 +81,7 @@ def test_manifest(spark, stride):
     assert built(spark, rows, stride=stride) == plain(rows)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9, 10])
+@pytest.mark.parametrize("n", [0, 1, 4, 10])
 def test_small_tables(spark, n):
     rows = [(i, "a\n", "en", "s", 1) for i in range(n)]
     assert built(spark, rows) == plain(rows)
