@@ -188,3 +188,20 @@ SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, CA
        CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
 FROM full_ JOIN sums USING (node, depth)
 """
+
+ORACLES["op11_ngram_join"] = rf"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents
+          UNION SELECT v, root FROM reach JOIN both_ways ON node = u),
+c AS (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import chat, decontam, langid, line_dedup, merkle, near_dup, packing, pii, quality, secrets, toxicity, trie
+from lexivec.llm import chat, decontam, langid, line_dedup, merkle, near_dup, ngram_join, packing, pii, quality, secrets, toxicity, trie
 from lexivec.llm.oracles import ORACLES
 from lexivec.llm.shared import BLANKS, same, saved
 
@@ -158,3 +158,8 @@ def op13_merkle_manifest(spark, sf_dir):
 @query
 def op12_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(*trie.regrafted(saved(trie.numbered_turns(read(spark, sf_dir, "conversations")), "numbered")))
+
+
+@query
+def op11_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"))

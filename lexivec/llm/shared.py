@@ -10,6 +10,8 @@ from lexivec.session import new_folder
 #: White space between words, as a character class for regular expressions and as the characters themselves.
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Parts over which the rows of one key are dealt when they look it up.
+PARTS = 1024
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -33,3 +35,14 @@ def words(text: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Equality that also pairs nulls."""
     return left.eqNullSafe(right)
+
+
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, part_of: str) -> DataFrame:
+    """`rows` joined with the one row of `table` for their `keys`, the rows of a key dealt over `PARTS` by `part_of`.
+
+    `table` is repeated only for the parts that there are, so a key that a third of all rows hold is split and the
+    others cost no more than one row each.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(part_of), F.lit(PARTS)))
+    parts = dealt.select(*keys, "_part").distinct().join(table, keys)
+    return dealt.join(parts, [*keys, "_part"]).drop("_part")

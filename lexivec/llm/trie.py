@@ -30,11 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.shared import saved, words
+from lexivec.llm.shared import looked_up, saved, words
 from lexivec.scale import rank_all
 
-#: Parts over which the rows of one node are dealt when they look it up.
-PARTS = 1024
 #: Places of a conversation that are summed in one group.
 SLICE = 4096
 #: Conversation ids that are written as one text before they are hashed.
@@ -98,13 +96,6 @@ def _prefixes(turns: DataFrame) -> DataFrame:
     )
 
 
-def _looked_up(rows: DataFrame, keys: list[str], table: DataFrame, part_of: str) -> DataFrame:
-    """`rows` joined with the one row of `table` for their `keys`, the rows of a key dealt over `PARTS` by `part_of`."""
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(part_of), F.lit(PARTS)))
-    parts = dealt.select(*keys, "_part").distinct().join(table, keys)
-    return dealt.join(parts, [*keys, "_part"]).drop("_part")
-
-
 def _ends_hash(ends: DataFrame) -> DataFrame:
     """node columns and ends_sha256: the hash of the ids that end at a node, in order, read as a stream.
 
@@ -227,7 +218,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     children = nodes.filter("depth > 0").select(*up, "conv_id")
     counts = children.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_children"))
     names = nodes.select(*KEY, F.col("conv_id").alias("parent_conv_id"))
-    parents = _looked_up(children, KEY, names, "conv_id").select("conv_id", (F.col("depth") + 1).alias("depth"), "parent_conv_id")
+    parents = looked_up(children, KEY, names, "conv_id").select("conv_id", (F.col("depth") + 1).alias("depth"), "parent_conv_id")
     linked = nodes.join(counts, KEY, "left").join(parents, NODE, "left").select(
         *NODE, "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"),
         ((F.col("n_convs") - 1) * F.col("words")).alias("own_tokens"),
@@ -242,7 +233,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     totals = subtree_totals(weighted).select("node.*", F.col("leaves").alias("n_leaves"), F.col("tokens").alias("saved_tokens"))
     last = rows.filter("last").select(*KEY, F.col("conv_id").alias("member"))
     named = nodes.select(*KEY, "conv_id")
-    ends = _looked_up(last, KEY, named, "member").select(*NODE, "member")
+    ends = looked_up(last, KEY, named, "member").select(*NODE, "member")
     turnless = conversations.join(turns.select("conv_id").distinct(), "conv_id", "left_anti").select(F.col("conv_id").alias("member"))
     at_root = turnless.select(root.select("conv_id").scalar().alias("conv_id"), F.lit(0).cast("long").alias("depth"), "member")
     hashes = _ends_hash(ends.union(at_root))
