@@ -86,7 +86,7 @@ def test_empty_tables_and_limits(spark):
 def test_linked_sets_share_a_key(percent, size, seed, share):
     """Whatever tokens are called frequent."""
     random.seed(seed)
-    base = random.sample(range(2**63), size + 30)
+    base = random.sample(range(2**62), size + 30)
     left, right = set(base[:size]), set(base[:size])
     for extra in base[size : size + random.randint(0, 2 + size // 4)]:
         random.choice((left, right)).add(extra)
@@ -103,7 +103,7 @@ def test_linked_sets_share_a_key(percent, size, seed, share):
 @given(st.integers(1, 300), st.integers(0, 80), st.integers(0, 2**32))
 def test_bitmaps_never_differ_more_than_sets(size, more, seed):
     random.seed(seed)
-    tokens = np.array(random.sample(range(2**63), size + more), np.uint64)
+    tokens = np.array(random.sample(range(2**62), size + more), np.uint64)
     a, b = (ngram_join.bitmap(t) for t in (tokens[:size], tokens[more // 2 :]))
     while len(a) != len(b):
         longer = a if len(a) > len(b) else b
