@@ -15,8 +15,8 @@ at least `percent` hundredths; then at most `n - ceil(percent * n / 100)` tokens
    2 (p - 1 - r) + (100 - percent) n / percent + 2 frequent tokens there are two neighbours that are neighbours in
    the other set too. The combinations of two neighbours are its keys: far fewer documents hold both than either.
 3. Of each key, every class is compared with the class that meets most others, and components of the links are
-   found. Then only pairs of a key that are still in different components are compared; so large groups of near copies
-   become stars, and no link that joins two components is lost.
+   found. Then only pairs of a key that are still in different components are compared, none with the centre again; so
+   large groups of near copies become stars, and no link that joins two components is lost.
 4. Before sets are fetched, sizes must fit, and the bitmaps: each token flips one bit, so bits that differ are tokens
    of one set only. They bound the similarity from above and never rule out a link. Bitmaps have at least four bits
    a token; half of a longer one is folded on the other.
@@ -52,7 +52,7 @@ CELL_BITS = 18
 FREQUENT, FREQUENT_LEAST = 4, 8
 #: Longs of a bitmap that are compared first, one by one.
 HEAD = 4
-CLASS = ["a", "b"]
+SET = ["a", "b"]
 
 
 def tokens(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -98,6 +98,13 @@ def keys(found: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([single, pairs]).view(np.int64)
 
 
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    mixed = mix64(found + WEIGHTS[1])
+    second = np.bitwise_xor.reduce(mix64(mixed ^ WEIGHTS[2]), initial=np.uint64(0))
+    return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(second.view(np.int64))
+
+
 def profiles(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """row, n, a and b (hash of the set), bits; and one row per task with `cells`, its counts of tokens by cell."""
     cells = 1 << CELL_BITS
@@ -109,10 +116,10 @@ def profiles(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             for value in batch.column(1):
                 found = tokens(value.as_py())
                 np.add.at(counts, (found & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
-                mixed = mix64(found + WEIGHTS[1])
+                a, b = set_hash(found)
                 sizes.append(len(found))
-                first.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(np.bitwise_xor.reduce(mix64(mixed ^ WEIGHTS[2]), initial=np.uint64(0)).view(np.int64)))
+                first.append(a)
+                second.append(b)
                 maps.append(bitmap(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,53 +157,64 @@ def token_classes(profiled: DataFrame) -> np.ndarray:
     return np.where(frequent, 1 + np.minimum(4 * np.log2(np.maximum(counts, 1)), 250), 0).astype(np.uint8)
 
 
-def indexed(docs: DataFrame, classes: np.ndarray, percent: int, text: str) -> DataFrame:
-    """a, b (hash of the set), n and keys of every row that has tokens."""
+def indexed(docs: DataFrame, classes: np.ndarray, percent: int, text: str, doc_id: str) -> DataFrame:
+    """row, a, b (hash of the set), n and keys of every row that has tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
+    row = pa.struct([("id", pa.int64()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(0):
-                found = tokens(value.as_py())
-                if not len(found):
-                    continue
-                mixed = mix64(found + WEIGHTS[1])
-                second = np.bitwise_xor.reduce(mix64(mixed ^ WEIGHTS[2]), initial=np.uint64(0))
-                rows.append((int(mixed.sum(dtype=np.uint64).view(np.int64)), int(second.view(np.int64)), len(found), keys(found, sent.value, percent)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "n", "keys"])
+            sets = [tokens(value.as_py()) for value in batch.column(1)]
+            some = [len(found) > 0 for found in sets]
+            sets = [found for found in sets if len(found)]
+            hashes = [set_hash(found) for found in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(row).filter(pa.array(some, pa.bool_())),
+                    *(pa.array([h[k] for h in hashes], pa.int64()) for k in range(2)),
+                    pa.array([len(found) for found in sets], pa.int64()),
+                    pa.array([keys(found, sent.value, percent) for found in sets], pa.list_(pa.int64())),
+                ],
+                names=["row", "a", "b", "n", "keys"],
+            )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "a long, b long, n long, keys array<long>")
+    narrow = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "row struct<id: long, hash: long>, a long, b long, n long, keys array<long>")
 
 
-def _fitting(percent: int, n: str, m: str) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _fitting(percent: int) -> Column:
+    """Sizes of two sets, and the heads of their bitmaps, allow a link: columns n_u, n_v, head_<k>_u, head_<k>_v."""
+    n, m = F.col("n_u"), F.col("n_v")
+    differ = sum((F.bit_count(F.col(f"head_{k}_u").bitwiseXOR(F.col(f"head_{k}_v"))) for k in range(HEAD)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= F.floor((100 - percent) * (n + m) / (100 + percent)))
 
 
-def _may_link(percent: int, left: str, right: str) -> Column:
-    """Sizes and bitmaps of two sets, in columns `n_<side>` and `bits_<side>`, allow a link."""
-    n, m = F.col(f"n_{left}"), F.col(f"n_{right}")
-    x, y = F.col(f"bits_{left}"), F.col(f"bits_{right}")
-    most = F.floor((100 - percent) * (n + m) / (100 + percent))
-    # All longs of a bitmap folded to `HEAD` of them bound the difference too, and are compared without a loop.
-    heads = zip((F.col(f"head_{left}")[k] for k in range(HEAD)), (F.col(f"head_{right}")[k] for k in range(HEAD)), strict=True)
-    head = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in heads), F.lit(0)) <= most
+def _sided(table: DataFrame, side: str, *named: str) -> DataFrame:
+    """`table` with its columns marked by a side, but for those named."""
+    return table.select(*named, *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c not in named))
+
+
+def _with_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sizes and bitmaps do not rule out."""
+    for side in "uv":
+        pairs = pairs.join(_sided(bits.withColumnRenamed("class", side), side, side), side)
+    n, m, x, y = (F.col(f"{c}_{s}") for c in ("n", "bits") for s in "uv")
 
     def folded(z: Column, other: Column) -> Column:
         half = (F.size(z) / 2).cast("int")
-        return F.when(F.size(z) > F.size(other), F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(z)
+        parts = F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(z) > F.size(other), parts).otherwise(z)
 
-    differ = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    return _fitting(percent, n, m) & head & (differ <= most)
+    differ = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    most = F.floor((100 - percent) * (n + m) / (100 + percent))
+    # Sizes come first: those of fitting sets are equal or one is twice the other.
+    return pairs.filter(_fitting(percent)).filter(F.aggregate(differ, F.lit(0), lambda s, k: s + k) <= most).select("u", "v")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are similar enough; only one text of each class is read."""
-    of_class = F.struct(*CLASS)
-    needed = pairs.select("u").union(pairs.select("v")).distinct()
-    needed = saved(classes.select(of_class.alias("u"), "row").join(needed, "u").select(F.col("u").alias("class"), "row"), "needed")
+    needed = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
+    needed = saved(classes.select("class", "row").join(needed, "class"), "needed")
     texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
     found = texts.join(F.broadcast(needed) if is_small(needed) else needed, "row").select("class", "text")
 
@@ -205,7 +223,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             sets = [tokens(v.as_py()).view(np.int64) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
 
-    sets = saved(found.mapInArrow(run, "class struct<a: long, b: long>, tokens array<long>").dropDuplicates(["class"]), "sets")
+    sets = saved(found.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "sets")
     left = sets.select(F.col("class").alias("u"), F.col("tokens").alias("left"))
     right = sets.select(F.col("class").alias("v"), F.col("tokens").alias("right"))
     shared = F.size(F.array_intersect("left", "right")).cast("long")
@@ -213,41 +231,34 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return saved(both.select("u", "v"), "links")
 
 
-def _with_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that their bitmaps do not rule out."""
-    for side in "uv":
-        own = bits.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "bits", "head")))
-        pairs = pairs.join(own, side)
-    return pairs.filter(_may_link(percent, "u", "v")).select("u", "v")
-
-
 def ngram_links(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """row, n and class of every row, and class and root (in one component iff equal) of the linked classes."""
+    """row, n and set (a, b) of every row, and of each set with tokens its number and root (of one component iff equal)."""
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent must be {LEAST_PERCENT} to 100, not {percent}")
     profiled = saved(profiles(docs, text, doc_id), "profiles")
-    rows = profiled.filter("cells IS NULL").select("row", "n", *CLASS)
-    classes = saved(rows.filter("n > 0").groupBy(*CLASS).agg(F.min("row").alias("row")), "classes")
-    keyed = saved(indexed(docs, token_classes(profiled), percent, text).dropDuplicates(CLASS), "keyed")
-    each = keyed.select(F.explode("keys").alias("key"), *CLASS, "n")
-    met = each.groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in CLASS for f in (F.min, F.max)), F.count(F.lit(1)).alias("size"))
-    crowded = saved(met.filter("min_a <> max_a OR min_b <> max_b").select("key", "size"), "crowded")
-    members = saved(each.join(crowded, "key").select("key", F.struct(*CLASS).alias("class"), "n", "size").distinct(), "members")
+    keyed = indexed(docs, token_classes(profiled), percent, text, doc_id).dropDuplicates(SET)
+    keyed = saved(keyed.withColumn("class", F.monotonically_increasing_id()), "keyed")  # numbers hold from here on
+    classes = keyed.select("class", *SET, "row")
+    # A key of one class has nothing to meet: keys are counted alone, and only those of several are gathered.
+    each = keyed.select(F.explode("keys").alias("key"), "class")
+    crowded = saved(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
+    members = saved(each.join(crowded, "key"), "members")
     # The class that meets most others is the centre of its keys: of near copies of one text, that with the fewest changes.
     weights = members.groupBy("class").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weights, "class")
-    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "class", "n")).alias("c")).select("key", F.col("c.class").alias("v"), F.col("c.n").alias("m"))
-    stars = members.join(centres, "key").filter((F.col("class") != F.col("v")) & _fitting(percent, "n", "m"))
-    stars = saved(stars.select(F.col("class").alias("u"), "v").distinct(), "stars")
-    wanted = members.select("class").distinct()
-    bits = profiled.filter("n > 0").select(F.struct(*CLASS).alias("class"), "n", "bits").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    head = [F.aggregate(_every("bits", k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)) for k in range(HEAD)]
-    bits = saved(bits.withColumn("head", F.array(*head)), "bits")
+    centres = members.join(weights, "class").groupBy("key").agg(F.max(F.struct("weight", "class")).alias("c")).select("key", F.col("c.class").alias("v"))
+    around = saved(members.drop("size").join(centres, "key").filter("class <> v"), "around")
+    wanted = classes.join(members.select("class").distinct(), "class").select("class", *SET)
+    maps = profiled.filter("n > 0").select(*SET, "n", "bits").join(wanted, SET).dropDuplicates(["class"])
+    heads = [F.aggregate(_every("bits", k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias(f"head_{k}") for k in range(HEAD)]
+    bits = saved(maps.select("class", "n", "bits", *heads), "bits")
+    stars = around.select(F.col("class").alias("u"), "v").distinct()
     links = _verified(saved(_with_bits(stars, bits, percent), "stars"), classes, docs, percent, text, doc_id)
     roots = saved(components(links), "roots")
-    rest = saved(_across(members, roots, bits, percent).join(stars, ["u", "v"], "left_anti"), "rest")
+    rest = saved(_with_bits(_across(around, roots, bits, percent), bits, percent), "rest")
     more = _verified(rest, classes, docs, percent, text, doc_id)
-    return rows, saved(components(links.union(more)), "roots").select(F.col("node").alias("class"), "root")
+    roots = saved(components(links.union(more)), "roots").select(F.col("node").alias("class"), "root")
+    of_class = classes.drop("row").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return profiled.filter("cells IS NULL").select("row", "n", *SET), of_class
 
 
 def _every(array: str, k: int) -> Column:
@@ -255,24 +266,22 @@ def _every(array: str, k: int) -> Column:
     return F.transform(F.sequence(F.lit(k), F.size(array) - HEAD + k, F.lit(HEAD)), lambda i: F.get(array, i))
 
 
-def _across(members: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key that are in different components and that sizes and bitmaps allow, the larger class first."""
-    placed = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
-    open_rows = saved(placed.join(mixed, "key").join(bits, "class"), "open")
-    left, right = (open_rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "root", "n", "bits", "head"))) for s in "uv")
-    apart = (F.col("class_u") > F.col("class_v")) & (F.col("root_u") != F.col("root_v"))
-    pairs = left.join(right, "key").filter(apart & _may_link(percent, "u", "v"))
+def _across(around: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key in different components, without its centre, which all have met, that sizes and heads allow."""
+    placed = around.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    open_rows = saved(placed.join(mixed, "key").join(bits.drop("bits"), "class"), "open")
+    pairs = _sided(open_rows, "u", "key").join(_sided(open_rows, "v", "key"), "key")
+    pairs = pairs.filter((F.col("class_u") > F.col("class_v")) & (F.col("root_u") != F.col("root_v")) & _fitting(percent))
     return pairs.select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    rows, roots = ngram_links(docs, percent, text, doc_id)
-    least = saved(rows.filter("n > 0").groupBy(*CLASS).agg(F.min("row").alias("row")).join(roots, F.struct(*CLASS) == F.col("class"), "left"), "least")
-    linked = least.filter("root IS NOT NULL").groupBy("root").agg(F.min("row").alias("first"))
-    first = least.join(linked, "root", "left").select(*CLASS, F.coalesce("first", "row").alias("first"))
+    rows, of_class = ngram_links(docs, percent, text, doc_id)
+    least = saved(rows.filter("n > 0").groupBy(*SET).agg(F.min("row").alias("row")).join(of_class, SET), "least")
+    first = least.join(least.groupBy("root").agg(F.min("row").alias("first")), "root").select(*SET, "first")
     none = rows.filter("n = 0").withColumn("first", F.col("row"))
-    found = looked_up(rows.filter("n > 0"), CLASS, first, "row").select(*none.columns).union(none)
+    found = looked_up(rows.filter("n > 0"), SET, first, "row").select(*none.columns).union(none)
     own, smallest = (F.nullif(F.col(c)["id"], F.lit(NO_ID)) for c in ("row", "first"))
     return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(own.isNotNull(), smallest).alias("component_id"))
