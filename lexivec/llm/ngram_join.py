@@ -4,7 +4,7 @@ The tokens of a document are its distinct 4-word shingles. Two sets of sizes n a
 at least `percent` hundredths; then at most `n - ceil(percent * n / 100)` tokens of a set are not in the other.
 
 1. One pass hashes the texts: size and 128-bit hash of each set, a bitmap of it, and counts of tokens in 2^18 cells.
-   The counts, of fixed size, order all tokens: those of cells that hold not much more than the mean are the rare
+   The counts, of fixed size, order all tokens: those of cells that hold no more than chance puts there are the rare
    class, ordered by hash; the others are frequent and come last, ordered by count. Tokens that share a cell share
    its class; any class and order give right results. Documents of equal sets are one class from here on.
 2. A second pass makes the keys. The first p = n - ceil(percent * n / 100) + 1 tokens are the prefix, and two linked
@@ -48,10 +48,10 @@ PERCENT = 85
 LEAST_PERCENT = 67
 #: Cells in which tokens are counted, as a power of two.
 CELL_BITS = 18
-#: A token is frequent from this many times the mean count of a cell, and this many more, on.
-FREQUENT, FREQUENT_LEAST = 4, 8
+#: A token is frequent if its cell holds this many standard deviations, and this many more, over the usual count.
+FREQUENT, FREQUENT_LEAST = 6, 8
 #: Longs of a bitmap that are compared first, one by one.
-HEAD = 4
+HEAD = 8
 SET = ["a", "b"]
 
 
@@ -153,7 +153,8 @@ def token_classes(profiled: DataFrame) -> np.ndarray:
     table = counted.groupBy("cell").agg(F.sum("count").alias("count")).toArrow()  # a row a cell at most
     counts = np.zeros(cells, np.int64)
     counts[table["cell"].to_numpy()] = table["count"].to_numpy()
-    frequent = counts > FREQUENT * counts.mean() + FREQUENT_LEAST
+    usual = np.median(counts)
+    frequent = counts > usual + FREQUENT * usual**0.5 + FREQUENT_LEAST
     return np.where(frequent, 1 + np.minimum(4 * np.log2(np.maximum(counts, 1)), 250), 0).astype(np.uint8)
 
 
