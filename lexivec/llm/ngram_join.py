@@ -3,7 +3,7 @@
 The tokens of a document are its distinct 4-word shingles. Two sets of sizes n and m link when their similarity is
 at least `percent` hundredths; then at most `n - ceil(percent * n / 100)` tokens of a set are not in the other.
 
-1. One pass hashes the texts: size and 128-bit hash of each set, a bitmap of it, and counts of tokens in 2^18 cells.
+1. One pass hashes the texts: size and 128-bit hash of each set, a bitmap of it, and counts of tokens in 2^20 cells.
    The counts, of fixed size, order all tokens: those of cells that hold no more than chance puts there are the rare
    class, ordered by hash; the others are frequent and come last, ordered by count. Tokens that share a cell share
    its class; any class and order give right results. Documents of equal sets are one class from here on.
@@ -47,11 +47,13 @@ SHINGLE = 4
 PERCENT = 85
 LEAST_PERCENT = 67
 #: Cells in which tokens are counted, as a power of two.
-CELL_BITS = 18
+CELL_BITS = 20
 #: A token is frequent if its cell holds this many standard deviations, and this many more, over the usual count.
 FREQUENT, FREQUENT_LEAST = 6, 8
+#: The largest count of a cell that a task reports.
+MOST = 2**16 - 1
 #: Longs of a bitmap that are compared first, one by one.
-HEAD = 8
+HEAD = 16
 SET = ["a", "b"]
 
 
@@ -129,7 +131,8 @@ def profiles(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 names=names,
             )
         nothing = [pa.nulls(1, t) for t in (row, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.tobytes()], pa.binary())], names=names)
+        few = np.minimum(counts, MOST).astype(np.uint16)  # the order needs no more
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([few.tobytes()], pa.binary())], names=names)
 
     names = ["row", "n", "a", "b", "bits", "cells"]
     row = pa.struct([("id", pa.int64()), ("hash", pa.int64())])
@@ -138,24 +141,24 @@ def profiles(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def token_classes(profiled: DataFrame) -> np.ndarray:
-    """The class of each cell: 0 if rare, else a value that rises with its count. 2^18 bytes, whatever the corpus."""
+    """The class of each cell: 0 if rare, else a value that rises with its count. 2^20 bytes, whatever the corpus."""
     cells = 1 << CELL_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
             for counts in batch.column(0):
-                total += np.frombuffer(counts.as_py(), np.uint32)
+                total += np.frombuffer(counts.as_py(), np.uint16)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some].astype(np.int64))], names=["cell", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["cell", "count"])
 
     counted = profiled.filter("cells IS NOT NULL").select("cells").mapInArrow(run, "cell long, count long")
-    table = counted.groupBy("cell").agg(F.sum("count").alias("count")).toArrow()  # a row a cell at most
-    counts = np.zeros(cells, np.int64)
-    counts[table["cell"].to_numpy()] = table["count"].to_numpy()
-    usual = np.median(counts)
-    frequent = counts > usual + FREQUENT * usual**0.5 + FREQUENT_LEAST
-    return np.where(frequent, 1 + np.minimum(4 * np.log2(np.maximum(counts, 1)), 250), 0).astype(np.uint8)
+    counted = saved(counted.groupBy("cell").agg(F.sum("count").alias("count")), "cells")
+    usual = counted.agg(F.median("count")).first()[0] or 0
+    table = counted.filter(F.col("count") > usual + FREQUENT * usual**0.5 + FREQUENT_LEAST).toArrow()  # a row a cell at most
+    classes = np.zeros(cells, np.uint8)
+    classes[table["cell"].to_numpy()] = 1 + np.minimum(4 * np.log2(np.maximum(table["count"].to_numpy(), 1)), 250)
+    return classes
 
 
 def indexed(docs: DataFrame, classes: np.ndarray, percent: int, text: str, doc_id: str) -> DataFrame:
@@ -183,11 +186,15 @@ def indexed(docs: DataFrame, classes: np.ndarray, percent: int, text: str, doc_i
     return narrow.mapInArrow(run, "row struct<id: long, hash: long>, a long, b long, n long, keys array<long>")
 
 
+def _sizes_fit(percent: int, n: Column, m: Column) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _fitting(percent: int) -> Column:
     """Sizes of two sets, and the heads of their bitmaps, allow a link: columns n_u, n_v, head_<k>_u, head_<k>_v."""
     n, m = F.col("n_u"), F.col("n_v")
     differ = sum((F.bit_count(F.col(f"head_{k}_u").bitwiseXOR(F.col(f"head_{k}_v"))) for k in range(HEAD)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= F.floor((100 - percent) * (n + m) / (100 + percent)))
+    return _sizes_fit(percent, n, m) & (differ <= F.floor((100 - percent) * (n + m) / (100 + percent)))
 
 
 def _sided(table: DataFrame, side: str, *named: str) -> DataFrame:
@@ -245,14 +252,15 @@ def ngram_links(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc
     crowded = saved(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
     members = saved(each.join(crowded, "key"), "members")
     # The class that meets most others is the centre of its keys: of near copies of one text, that with the fewest changes.
-    weights = members.groupBy("class").agg(F.sum("size").alias("weight"))
-    centres = members.join(weights, "class").groupBy("key").agg(F.max(F.struct("weight", "class")).alias("c")).select("key", F.col("c.class").alias("v"))
-    around = saved(members.drop("size").join(centres, "key").filter("class <> v"), "around")
+    weights = members.groupBy("class").agg(F.sum("size").alias("weight")).join(keyed.select("class", "n"), "class")
+    weighed = saved(members.drop("size").join(weights, "class"), "weighed")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "class", "n")).alias("c")).select("key", F.col("c.class").alias("v"), F.col("c.n").alias("m"))
+    around = saved(weighed.join(centres, "key").filter("class <> v").select("key", "class", "n", "v", "m"), "around")
     wanted = classes.join(members.select("class").distinct(), "class").select("class", *SET)
     maps = profiled.filter("n > 0").select(*SET, "n", "bits").join(wanted, SET).dropDuplicates(["class"])
     heads = [F.aggregate(_every("bits", k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias(f"head_{k}") for k in range(HEAD)]
     bits = saved(maps.select("class", "n", "bits", *heads), "bits")
-    stars = around.select(F.col("class").alias("u"), "v").distinct()
+    stars = around.filter(_sizes_fit(percent, F.col("n"), F.col("m"))).select(F.col("class").alias("u"), "v").distinct()
     links = _verified(saved(_with_bits(stars, bits, percent), "stars"), classes, docs, percent, text, doc_id)
     roots = saved(components(links), "roots")
     rest = saved(_with_bits(_across(around, roots, bits, percent), bits, percent), "rest")
