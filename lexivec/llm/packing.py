@@ -20,6 +20,7 @@ rows are packed once each; an empty table gives an empty result. Other columns p
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +39,9 @@ END = 2
 SPECIAL = "<|endoftext|>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG = 100_000
+BLANK_RUN = re.compile(r"\s+")
+
 
 def byte_symbols() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
@@ -50,7 +54,8 @@ class Encoder:
     """Texts to token ids, as little-endian unsigned 32-bit numbers.
 
     The vocabulary is that of the given tokenizer file; its merges are run by a faster library with the same
-    ids. Only texts that hold a special token go through the tokenizer of the file itself.
+    ids. Texts that hold a special token, or a run of `LONG` blanks, on which that library fails, go through the
+    tokenizer of the file itself.
     """
 
     def __init__(self, path: str):
@@ -69,8 +74,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        special = SPECIAL in text
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if special else self.plain(text)
+        own = SPECIAL in text or (len(text) >= LONG and any(len(run) >= LONG for run in BLANK_RUN.findall(text)))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if own else self.plain(text)
         return np.array(ids, "<u4").tobytes()
 
 

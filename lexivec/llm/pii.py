@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     found: list[Span] = list(emails(text))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split("."))):
                 found.append((m.start(), m.end(), "ip"))
         found += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if is_card(m.group())]
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15]

@@ -95,3 +95,16 @@ def test_before_task(spark):
     got = packing.before_task(spark.createDataFrame(rows, "task int, length long, n long")).collect()
     for r in got:
         assert r.before == sum(n for t, k, n in rows if k == r.length and t < r.task)
+
+
+def test_long_runs_of_blanks(spark, tokenizer):
+    """Runs on which the faster library fails, alone, inside a text and of other blanks."""
+    texts = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 300_000 + "c", "x " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pieces(docs, PATH, with_ids=True).collect()
+    for i, text in enumerate(texts):
+        ids = b"".join(r.ids for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece))
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids + [packing.END]
+        assert ids == np.array(wanted, "<u4").tobytes()
+    packed = packing.pack(docs, PATH).collect()
+    assert sum(r.length for r in packed) == sum(len(r.ids) // 4 for r in rows)

@@ -245,3 +245,13 @@ def test_base_spans_equal_the_patterns(text):
 def test_base_spans_of_long_runs():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "4111 " * 50_000):
         pii.base_spans(text)
+    assert pii.base_spans("0" * 5000 + ".1.2.3") == [(0, 5006, "ip")]
+    assert pii.base_spans("0" * 5000 + "256.1.2.3") == []
+
+
+def test_personal_data_of_long_zeros(spark):
+    docs = [(1, "0" * 5000 + ".1.2.3", "h"), (2, None, "h"), (3, "", "h"), (None, "a@b.cd", None)]
+    rows = pii.personal_data(frame(spark, docs), pii.train(frame(spark, docs))).collect()
+    assert {(r.doc_id, r.n_ip, r.n_email) for r in rows} == {(1, 1, 0), (2, 0, 0), (3, 0, 0), (None, 0, 1)}
+    none = frame(spark, [])
+    assert pii.personal_data(none, pii.train(none)).collect() == []
