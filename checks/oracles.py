@@ -568,3 +568,7 @@ ORACLES: dict[str, str] = {
                  [CAST(round_even(x / sqrt(list_inner_product(n, n)) * 1e6, 0) AS BIGINT) FOR x IN n], ',') END AS units
         FROM counts""",
 }
+
+# Other ways to the same results.
+ORACLES["keyword_blockmax"] = ORACLES["keyword_blockmax_by_term_join"] = ORACLES["bm25_search"]
+ORACLES["bm25_filtered_bitmap"] = ORACLES["bm25_filtered"]

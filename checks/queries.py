@@ -14,12 +14,12 @@ from lexivec.functions import collections as lists
 from lexivec.functions import scores, text, vectors
 from lexivec.functions.prep import CONTENT_WORDS, STEMMED_WORDS, WORDS, apply_steps
 from lexivec.functions.text import WORD
-from lexivec.operators import bm25, encode, evaluate, nearest, prepare, ranking, rerank
+from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, prepare, ranking, rerank
 from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
 from lexivec.session import new_folder
-from lexivec.sources import index_store, metadata, tables
+from lexivec.sources import block_store, index_store, metadata, tables
 from lexivec.streaming import answer, ingest
 
 PLACES = 6
@@ -324,6 +324,30 @@ def bm25_filtered(spark, sf_dir):
     return bm25.search(built, text_queries(spark, sf_dir), where=(F.col("lang") == "es") | (F.col("source") == "src7"))
 
 
+def stored_blocks(spark: SparkSession, sf_dir: str, **options) -> blockmax.BlockIndex:
+    """An index in blocks, built from the documents, written and loaded again."""
+    folder = new_folder(spark, "blocks")
+    block_store.save_blocks(index(spark, sf_dir, **options), folder)
+    return block_store.load_blocks(spark, folder, WORDS)
+
+
+@query
+def keyword_blockmax(spark, sf_dir):
+    return blockmax.search_blocks(stored_blocks(spark, sf_dir), text_queries(spark, sf_dir))
+
+
+@query
+def keyword_blockmax_by_term_join(spark, sf_dir):
+    """The same result by the joins for query sets that are too large to broadcast."""
+    return blockmax.search_blocks(stored_blocks(spark, sf_dir), text_queries(spark, sf_dir), broadcast_rows=0)
+
+
+@query
+def bm25_filtered_bitmap(spark, sf_dir):
+    allowed = blockmax.having("lang", "es") | blockmax.having("source", "src7")
+    return blockmax.search_blocks(stored_blocks(spark, sf_dir, retained=["lang", "source"]), text_queries(spark, sf_dir), where=allowed)
+
+
 def head_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = asked_with_vectors(spark, sf_dir)
     ranked = nearest.vector_topk_batch(

@@ -368,15 +368,22 @@ def with_units(
     return _join_terms(postings, terms.select("term", "idf"), terms).withColumn("units", units).drop("idf")
 
 
+def weighted_postings(index: Index, hot_floor: int | None = None) -> DataFrame:
+    """Every posting with its weight in `units`, and the `idf` of its term; stored weights are read, not computed."""
+    joined = _join_terms(index.postings, index.terms.select("term", "idf"), index.terms, floor=hot_floor)
+    if index.stored_weights:
+        return joined
+    return joined.withColumn("units", _weight_units(index.config, index.precision, index.total("mean_length")))
+
+
 def weights(index: Index, hot_floor: int | None = None) -> DataFrame:
     """The consolidated weight of every posting: `(doc_id, term, units, weight)`, exact in `units` of 10^-precision.
 
     Terms of at least `hot_floor` postings that hold more than a thousandth of all are split when joined.
     """
-    units = _weight_units(index.config, index.precision, index.total("mean_length"))
     return (
-        _join_terms(index.postings, index.terms.select("term", "idf"), index.terms, floor=hot_floor)
-        .select("doc_id", "term", units.alias("units"))
+        weighted_postings(index, hot_floor)
+        .select("doc_id", "term", "units")
         .withColumn("weight", F.col("units") / F.lit(10.0**index.precision))
     )
 
