@@ -572,3 +572,6 @@ ORACLES: dict[str, str] = {
 # Other ways to the same results.
 ORACLES["keyword_blockmax"] = ORACLES["keyword_blockmax_by_term_join"] = ORACLES["bm25_search"]
 ORACLES["bm25_filtered_bitmap"] = ORACLES["bm25_filtered"]
+ORACLES["stream_ingest_sketched"] = ORACLES["stream_ingest_rejected"]
+ORACLES["stream_ingest_compacted"] = ORACLES["bm25_search"].replace("AS definitions FROM docs)", "AS definitions FROM docs WHERE doc_id % 7 <> 3)")
+ORACLES["vector_topk_pruned"] = ORACLES["vector_topk_batch"]

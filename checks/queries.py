@@ -14,13 +14,13 @@ from lexivec.functions import collections as lists
 from lexivec.functions import scores, text, vectors
 from lexivec.functions.prep import CONTENT_WORDS, STEMMED_WORDS, WORDS, apply_steps
 from lexivec.functions.text import WORD
-from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, prepare, ranking, rerank
+from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, pivots, prepare, ranking, rerank
 from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
 from lexivec.session import new_folder
 from lexivec.sources import block_store, index_store, metadata, tables
-from lexivec.streaming import answer, ingest
+from lexivec.streaming import answer, ingest, segments
 
 PLACES = 6
 # The vectors of the test tables lie far apart, so the floor is lower than the default.
@@ -289,6 +289,12 @@ def vector_topk_batch(spark, sf_dir):
     )
 
 
+@query
+def vector_topk_pruned(spark, sf_dir):
+    """The same result over a corpus around pivots, of which a query reads what its bounds cannot rule out."""
+    return pivots.vector_topk_pruned(pivots.lay_out(vector_corpus(spark, sf_dir)), vector_queries(spark, sf_dir), 5, places=PLACES)
+
+
 @query
 def vector_topk_grid(spark, sf_dir):
     """The same result by the layout for query sets that are too large to ship."""
@@ -875,6 +881,39 @@ def stream_ingest_rejected(spark, sf_dir):
     return refused.select(shown, "reason", F.col("batch").cast("long").alias("batch"))
 
 
+def segmented(spark: SparkSession, batches: list[DataFrame], config_: bm25.BM25Config, **options) -> str:
+    """The folder of segments that a stream wrote, a batch for each table; one checkpoint for all."""
+    folder, landing, progress = (new_folder(spark, label) for label in ("segments", "arrived", "progress"))
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema(batch.schema).parquet(landing)
+        segments.ingest_segments(arriving, config_, folder, progress, **options).start().awaitTermination()
+    return folder
+
+
+@query
+def stream_ingest_compacted(spark, sf_dir):
+    """Batches with withdrawals, merged two by two: every document with an id of remainder 3 by 7 goes a batch later."""
+    source = documents(spark, sf_dir).select("doc_id", "name", "definition", F.lit(False).alias("gone"))
+    leaving = source.filter(F.col("doc_id") % 7 == 3).withColumn("gone", F.lit(True))
+    batches = [
+        source.filter(F.col("doc_id") % 3 == n).union(leaving.filter(F.col("doc_id") % 3 == n - 1)) for n in range(4)
+    ]
+    folder = segmented(spark, batches, config(), withdraw_col="gone", fanout=2)
+    return bm25.search(segments.segmented_index(spark, config(), folder), text_queries(spark, sf_dir))
+
+
+@query
+def stream_ingest_sketched(spark, sf_dir):
+    """The refusals of `stream_ingest_rejected`, found by the filters of the segments."""
+    source = documents(spark, sf_dir).select("doc_id", "name", "definition")
+    nameless = source.filter(F.col("doc_id") % 5 == 0).withColumn("doc_id", F.lit(None).cast("long"))
+    second = source.union(source.filter(F.col("doc_id") % 7 == 1)).union(nameless)
+    folder = segmented(spark, [source.filter(F.col("doc_id") % 2 == 0), second], config())
+    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id")
+    return ingest.rejected(spark, folder).select(shown, "reason", F.col("batch").cast("long").alias("batch"))
+
+
 @query
 def scan_metadata(spark, sf_dir):
     """Nested metadata files, one JSON object a line, written from the documents and read flat."""
