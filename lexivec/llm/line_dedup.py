@@ -14,7 +14,8 @@ smaller line number; its own document counts too) has the same set or a Jaccard
 4. The rest: every class that has no earlier match yet is joined with all earlier classes of its prefix
    words, under the length filter, the positional filter and the shorter index prefix of the shorter line.
    A 64-bit map of each line's words bounds the intersection from above and spares hopeless pairs.
-5. Every candidate pair is verified on the words themselves.
+5. Candidate pairs are looked up by a map of 512 bits, which bounds it for lines of hundreds of words; those left are
+   verified on the words themselves.
 
 Steps 3 and 4 answer which lines go, with one earlier match for each. `line_links` leaves no link out: it joins
 all classes with all earlier ones of their prefix words, and gives class pairs and the members of each class.
@@ -45,6 +46,8 @@ MIN_WORDS = 5
 CELL_BITS = 18
 #: Bits of a word key below its rarity.
 KEY_BITS = 56
+#: Longs of the map that tells whether a line has an odd number of words for each of its bits; a power of two.
+PARITY = 8
 #: Stands for a missing id, before all others.
 NO_ID = -(2**63)
 
@@ -87,7 +90,7 @@ def shared_least(percent: int, left: Column, right: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """doc, line, n (different words), set and bits (hash and map of them), prefix (the rarest): lines of enough words."""
+    """doc, line, n (different words), set, bits and parity (hash and maps of them), prefix (the rarest): lines of enough words."""
     lines = docs.select(
         row_key(doc_id, text).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
@@ -106,8 +109,14 @@ def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, tex
     n = F.size("keys")
     one = F.lit(1).cast("long")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def part(k: int) -> Column:
+        own = lambda key: F.when(F.shiftright(key, 6).bitwiseAND(F.lit(PARITY - 1)) == k, F.call_function("shiftleft", one, key.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, key: a.bitwiseXOR(F.coalesce(own(key), F.lit(0).cast("long"))))
+
+    parity = F.array(*(part(k) for k in range(PARITY))).alias("parity")
     return keyed.filter(n >= min_words).select(
-        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
+        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), parity, F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
     )
 
 
@@ -115,7 +124,7 @@ def _prefix_table(lines: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """word, place in the prefix, n, bits and first line of each class: a table bucketed by word, and its name."""
     spark = lines.sparkSession
     first = F.min(F.struct("doc", "line")).alias("f")
-    firsts = lines.groupBy("set", "n", "bits").agg(first, F.min_by("prefix", F.struct("doc", "line")).alias("prefix"))
+    firsts = lines.groupBy(*CLASS).agg(first, F.min_by("prefix", F.struct("doc", "line")).alias("prefix"))
     rows = firsts.select("f.doc", "f.line", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"line_words_{uuid.uuid4().hex}"
@@ -138,6 +147,8 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     return length & position & differ & (shorter_p < shorter_n - shared_least(percent, shorter_n, shorter_n) + 1)
 
 
+#: What lines of equal words have in common.
+CLASS = ["set", "n", "bits"]
 PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
 
 
@@ -145,8 +156,23 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in ((a, "a"), (b, "b")) for c in ("doc", "line")]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
+def _plausible(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parity of their words does not rule out: every bit that differs is a word of one line only."""
+    ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
+    ends = saved(ends, "ends")
+    marks = lines.select("doc", "line", "n", "parity").join(F.broadcast(ends) if is_small(ends) else ends, ["doc", "line"], "left_semi")
+    marks = saved(marks.dropDuplicates(["doc", "line"]), "marks")
+    for side in "ab":
+        own = marks.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc", "line", "n", "parity")))
+        pairs = pairs.join(own, [f"{side}_doc", f"{side}_line"])
+    differ = sum((F.bit_count(F.col("a_parity")[k].bitwiseXOR(F.col("b_parity")[k])) for k in range(PARITY)), F.lit(0))
+    n, m = F.col("a_n"), F.col("b_n")
+    return pairs.filter(differ <= n + m - 2 * shared_least(percent, n, m)).select(*PAIR)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
     """The pairs whose word sets are similar enough."""
+    pairs = saved(_plausible(pairs, lines, percent), "plausible")
     needed = saved(
         pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))
         .union(pairs.select("b_doc", "b_line"))
@@ -186,28 +212,28 @@ def similar_lines(
         (F.struct("a.doc", "a.line") != F.struct("b.doc", "b.line")) & _may_match(percent, "a", "b")
     )
     stars = saved(starred.select(*_pair("a", "b")).distinct(), "stars")
-    matched = saved(_verified(stars, docs, percent, text, doc_id), "matched")
+    matched = saved(_verified(stars, docs, lines, percent, text, doc_id), "matched")
     done = matched.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
     settled = F.broadcast(done) if is_small(done) else done
     unmatched = table.join(settled, ["doc", "line"], "left_anti").alias("b")
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
     rest = table.alias("a").join(unmatched, (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
     rest = saved(rest.select(*_pair("a", "b")).distinct().join(stars, PAIR, "left_anti"), "rest")
-    more = saved(_verified(rest, docs, percent, text, doc_id), "matched")
+    more = saved(_verified(rest, docs, lines, percent, text, doc_id), "matched")
     docs.sparkSession.sql(f"DROP TABLE {name}")
     witness = (
         matched.union(more)
         .groupBy(F.col("b_doc").alias("first_doc"), F.col("b_line").alias("first_line"))
         .agg(F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))).alias("w"))
     )
-    firsts = lines.groupBy("set", "n").agg(F.min(F.struct("doc", "line")).alias("f"))
-    classes = firsts.select("set", "n", F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
+    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"))
+    classes = firsts.select(*CLASS, F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
     classes = classes.join(witness, ["first_doc", "first_line"], "left")
     own = F.struct("doc", "line")
     first = F.struct(F.col("first_doc").alias("doc"), F.col("first_line").alias("line"))
     return (
-        lines.select("doc", "line", "set", "n")
-        .join(classes, ["set", "n"])
+        lines.select("doc", "line", *CLASS)
+        .join(classes, CLASS)
         .withColumn("match", F.when(F.col("w").isNotNull(), F.col("w")).when(own != first, first))
         .filter("match IS NOT NULL")
         .select("doc", "line", F.col("match.doc").alias("match_doc"), F.col("match.line").alias("match_line"))
@@ -229,10 +255,10 @@ def line_links(
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
     met = table.alias("a").join(table.alias("b"), (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
     met = saved(met.select(*_pair("a", "b")).distinct(), "met")
-    pairs = saved(_verified(met, docs, percent, text, doc_id), "pairs")
+    pairs = saved(_verified(met, docs, lines, percent, text, doc_id), "pairs")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    firsts = lines.groupBy("set", "n").agg(F.min(F.struct("doc", "line")).alias("f"))
-    members = lines.select("doc", "line", "set", "n").join(firsts, ["set", "n"])
+    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"))
+    members = lines.select("doc", "line", *CLASS).join(firsts, CLASS)
     members = members.select("doc", "line", F.col("f.doc").alias("class_doc"), F.col("f.line").alias("class_line")).distinct()
     return saved(members, "members"), pairs
 
