@@ -14,8 +14,8 @@ smaller line number; its own document counts too) has the same set or a Jaccard
 4. The rest: every class that has no earlier match yet is joined with all earlier classes of its prefix
    words, under the length filter, the positional filter and the shorter index prefix of the shorter line.
    A 64-bit map of each line's words bounds the intersection from above and spares hopeless pairs.
-5. Candidate pairs are looked up by a map of 512 bits, which bounds it for lines of hundreds of words; those left are
-   verified on the words themselves.
+5. The words of the lines of candidate pairs are fetched. A map of 512 bits made from them bounds the intersection of
+   lines of hundreds of words too; the pairs that are left are verified on the words themselves.
 
 Steps 3 and 4 answer which lines go, with one earlier match for each. `line_links` leaves no link out: it joins
 all classes with all earlier ones of their prefix words, and gives class pairs and the members of each class.
@@ -90,7 +90,7 @@ def shared_least(percent: int, left: Column, right: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """doc, line, n (different words), set, bits and parity (hash and maps of them), prefix (the rarest): lines of enough words."""
+    """doc, line, n (different words), set and bits (hash and map of them), prefix (the rarest): lines of enough words."""
     lines = docs.select(
         row_key(doc_id, text).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
@@ -110,13 +110,8 @@ def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, tex
     one = F.lit(1).cast("long")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    def part(k: int) -> Column:
-        own = lambda key: F.when(F.shiftright(key, 6).bitwiseAND(F.lit(PARITY - 1)) == k, F.call_function("shiftleft", one, key.bitwiseAND(F.lit(63)).cast("int")))
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, key: a.bitwiseXOR(F.coalesce(own(key), F.lit(0).cast("long"))))
-
-    parity = F.array(*(part(k) for k in range(PARITY))).alias("parity")
     return keyed.filter(n >= min_words).select(
-        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), parity, F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
+        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
     )
 
 
@@ -156,12 +151,22 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in ((a, "a"), (b, "b")) for c in ("doc", "line")]
 
 
-def _plausible(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _parity(hashes: Column) -> Column:
+    """A map that tells for each of its bits whether an odd number of these hashes fall on it."""
+    none = F.lit(0).cast("long")
+
+    def part(k: int) -> Column:
+        here = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(PARITY - 1)) == k
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(F.filter(hashes, here), none, lambda a, h: a.bitwiseXOR(bit(h)))
+
+    return F.array(*(part(k) for k in range(PARITY)))
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that the parity of their words does not rule out: every bit that differs is a word of one line only."""
-    ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
-    ends = saved(ends, "ends")
-    marks = lines.select("doc", "line", "n", "parity").join(F.broadcast(ends) if is_small(ends) else ends, ["doc", "line"], "left_semi")
-    marks = saved(marks.dropDuplicates(["doc", "line"]), "marks")
+    hashed = sets.select("doc", "line", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    marks = saved(hashed.select("doc", "line", F.size("hashes").alias("n"), _parity(F.col("hashes")).alias("parity")), "marks")
     for side in "ab":
         own = marks.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc", "line", "n", "parity")))
         pairs = pairs.join(own, [f"{side}_doc", f"{side}_line"])
@@ -170,9 +175,8 @@ def _plausible(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(differ <= n + m - 2 * shared_least(percent, n, m)).select(*PAIR)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
     """The pairs whose word sets are similar enough."""
-    pairs = saved(_plausible(pairs, lines, percent), "plausible")
     needed = saved(
         pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))
         .union(pairs.select("b_doc", "b_line"))
@@ -190,6 +194,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, percent: int,
     )
     found = found.groupBy("doc", "line").agg(F.min("words").alias("words"))
     sets = saved(found, "line-sets")
+    # Words are long: they are joined only to pairs that a short map cannot rule out.
+    pairs = saved(_plausible(pairs, sets, percent), "plausible")
     left = sets.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("left"))
     right = sets.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("right"))
     both = pairs.join(left, ["a_doc", "a_line"]).join(right, ["b_doc", "b_line"])
@@ -212,14 +218,14 @@ def similar_lines(
         (F.struct("a.doc", "a.line") != F.struct("b.doc", "b.line")) & _may_match(percent, "a", "b")
     )
     stars = saved(starred.select(*_pair("a", "b")).distinct(), "stars")
-    matched = saved(_verified(stars, docs, lines, percent, text, doc_id), "matched")
+    matched = saved(_verified(stars, docs, percent, text, doc_id), "matched")
     done = matched.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
     settled = F.broadcast(done) if is_small(done) else done
     unmatched = table.join(settled, ["doc", "line"], "left_anti").alias("b")
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
     rest = table.alias("a").join(unmatched, (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
     rest = saved(rest.select(*_pair("a", "b")).distinct().join(stars, PAIR, "left_anti"), "rest")
-    more = saved(_verified(rest, docs, lines, percent, text, doc_id), "matched")
+    more = saved(_verified(rest, docs, percent, text, doc_id), "matched")
     docs.sparkSession.sql(f"DROP TABLE {name}")
     witness = (
         matched.union(more)
@@ -255,7 +261,7 @@ def line_links(
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
     met = table.alias("a").join(table.alias("b"), (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
     met = saved(met.select(*_pair("a", "b")).distinct(), "met")
-    pairs = saved(_verified(met, docs, lines, percent, text, doc_id), "pairs")
+    pairs = saved(_verified(met, docs, percent, text, doc_id), "pairs")
     docs.sparkSession.sql(f"DROP TABLE {name}")
     firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"))
     members = lines.select("doc", "line", *CLASS).join(firsts, CLASS)
