@@ -354,6 +354,19 @@ def bm25_filtered_bitmap(spark, sf_dir):
     return blockmax.search_blocks(stored_blocks(spark, sf_dir, retained=["lang", "source"]), text_queries(spark, sf_dir), where=allowed)
 
 
+@query
+def page_after(spark, sf_dir):
+    """Three pages, each found from the last hit of the one before."""
+    built, asked, cursor, pages = index(spark, sf_dir), text_queries(spark, sf_dir), None, []
+    for number in range(3):
+        folder = new_folder(spark, "page")
+        plans.keyword_page_after(built, asked, cursor, 10).write.parquet(folder)
+        shown = spark.read.parquet(folder)
+        pages.append(shown.withColumn("page", F.lit(number)))
+        cursor = ranking.next_cursor(shown, "score", "doc_id", cursor)
+    return pages[0].union(pages[1]).union(pages[2])
+
+
 def head_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = asked_with_vectors(spark, sf_dir)
     ranked = nearest.vector_topk_batch(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions.collections import last_value
 from lexivec.functions.scores import SIDE_BY_SIDE_SIM_LIMIT, low_confidence
-from lexivec.scale import BROADCAST_ROWS, top_per_group
+from lexivec.scale import BROADCAST_ROWS, is_small, top_per_group
 
 # Rows of a page, and the number of first hits that are reordered.
 PAGE = 10
@@ -109,3 +109,23 @@ def result_counts(hits: DataFrame, queries: DataFrame, group: Sequence[str] = ("
 def shuffle_rows(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Rows in random order."""
     return df.orderBy(F.rand(seed))
+
+
+def after_cursor(hits: DataFrame, cursor: DataFrame | None, score: str, key: str) -> DataFrame:
+    """The hits that come after the `cursor(query_id, score, key)` of their query, by falling score and then key.
+
+    A query without a cursor keeps all its hits. This is a filter below the ranking: what was shown is never ranked again.
+    """
+    if cursor is None:
+        return hits
+    last = cursor.select("query_id", F.col(score).alias("_score"), F.col(key).alias("_key"))
+    met = hits.join(F.broadcast(last) if is_small(last) else last, "query_id", "left")
+    below = (F.col(score) < F.col("_score")) | ((F.col(score) == F.col("_score")) & (F.col(key) > F.col("_key")))
+    return met.filter(F.col("_score").isNull() | below).drop("_score", "_key")
+
+
+def next_cursor(page: DataFrame, score: str, key: str, before: DataFrame | None = None) -> DataFrame:
+    """The last hit of each query of a page; a query whose page is empty keeps the cursor that it had."""
+    last = page.groupBy("query_id").agg(F.max(F.struct("rank", score, key)).alias("_last"))
+    found = last.select("query_id", F.col(f"_last.{score}").alias(score), F.col(f"_last.{key}").alias(key))
+    return found if before is None else found.unionByName(before.join(found, "query_id", "left_anti"))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.scores import SIDE_BY_SIDE_SIM_LIMIT, SIM_LIMIT, low_confidence
-from lexivec.operators.bm25 import DEFAULT_LIMIT, Index, result_limit, search
+from lexivec.operators.bm25 import DEFAULT_LIMIT, Index, match_scores, result_limit, search
 from lexivec.operators.encode import EncoderFactory, embed
 from lexivec.operators.nearest import MIN_SIM, PLACES, vector_topk_batch
 from lexivec.operators.prepare import compose_text, rename_select, with_definition
-from lexivec.operators.ranking import HEAD, PAGE, attach_records, page, side_by_side, with_both_records
+from lexivec.operators.ranking import HEAD, PAGE, after_cursor, attach_records, page, side_by_side, with_both_records
 from lexivec.operators.rerank import ScorerExpression, ScorerFactory, rerank_head
+from lexivec.scale import top_per_group
 
 
 def build_corpus(series: DataFrame, factory: EncoderFactory) -> DataFrame:
@@ -53,6 +54,19 @@ def keyword_search(
     return attach_records(hits, records, "doc_id", most=most)
 
 
+def keyword_page_after(
+    index: Index, queries: DataFrame, cursor: DataFrame | None = None, size: int = PAGE, where: Column | None = None
+) -> DataFrame:
+    """The next `size` keyword hits after the cursor of each query: `(query_id, doc_id, score, rank)`, ranked from 1.
+
+    `cursor(query_id, score, doc_id)` is what `next_cursor` made of the page before; without one a query begins. Any page
+    costs what the first one does: a task keeps its best `size` hits after the cursor, not all that were shown.
+    """
+    hits = match_scores(index, queries, where).withColumn("score", F.col("units") / F.lit(10.0**index.precision))
+    hits = after_cursor(hits.select("query_id", "doc_id", "score"), cursor, "score", "doc_id")
+    return top_per_group(hits, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], size)
+
+
 def compare_rankings(
     index: Index,
     text_queries: DataFrame,

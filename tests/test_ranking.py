@@ -123,3 +123,25 @@ def test_partition_count_follows_the_files(spark, tmp_path):
     # Joins and aggregates do not inflate the count.
     joined = df.join(df.withColumnRenamed("r", "s"), F.col("r") == F.col("s"))
     assert scale.partition_count(joined, 200_000) <= 20
+
+
+def test_pages_after_a_cursor_make_the_ranking(spark):
+    """Ties over the borders of pages, a query that ends early and one without hits."""
+    from lexivec.functions.prep import WORDS
+    from lexivec.operators import bm25
+    from lexivec.operators.ranking import next_cursor
+    from lexivec.plans.search import keyword_page_after
+
+    docs = [(i, "same words here" if i % 3 else f"same {'other ' * (i % 7)}") for i in range(40)] + [(99, "rare")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    index = bm25.build_index(table, bm25.BM25Config({"text": 1}, prep=WORDS))
+    queries = spark.createDataFrame([(1, "same words"), (2, "rare"), (3, "absent")], "query_id long, text string")
+    cursor, shown = None, []
+    for page in range(12):
+        found = keyword_page_after(index, queries, cursor, 4).collect()
+        assert all(r["rank"] <= 4 for r in found)
+        shown += [(r.query_id, 4 * page + r["rank"], r.doc_id, r.score) for r in found]
+        kept = spark.createDataFrame(found, "query_id long, doc_id long, score double, rank int")
+        cursor = spark.createDataFrame(next_cursor(kept, "score", "doc_id", cursor).collect(), "query_id long, score double, doc_id long")
+    whole = bm25.search(index, queries, None).collect()
+    assert sorted(shown) == sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in whole)
