@@ -20,7 +20,7 @@ from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
 from lexivec.session import new_folder
 from lexivec.sources import block_store, index_store, metadata, tables
-from lexivec.streaming import answer, ingest, segments
+from lexivec.streaming import answer, ingest, segments, standing
 
 PLACES = 6
 # The vectors of the test tables lie far apart, so the floor is lower than the default.
@@ -927,6 +927,25 @@ def stream_ingest_sketched(spark, sf_dir):
     return ingest.rejected(spark, folder).select(shown, "reason", F.col("batch").cast("long").alias("batch"))
 
 
+@query
+def standing_queries(spark, sf_dir):
+    """Vectors arrive in three batches, read by two runs of one stream; each query keeps its best five."""
+    landing, lists, progress = (new_folder(spark, label) for label in ("arrived", "lists", "progress"))
+    asked = vector_queries(spark, sf_dir)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    standing.use_state_store(spark)
+    try:
+        for remainders in ((0, 2), (1,)):
+            for n in remainders:
+                vector_corpus(spark, sf_dir).filter(F.col("id") % 3 == n).coalesce(1).write.mode("append").parquet(landing)
+            arriving = spark.readStream.schema("id long, vector array<float>").option("maxFilesPerTrigger", 1).parquet(landing)
+            standing.standing_queries(arriving, asked, lists, progress, 5, places=PLACES).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return standing.standing_answers(spark, lists).select("query_id", "id", "sim", "rank")
+
+
 @query
 def scan_metadata(spark, sf_dir):
     """Nested metadata files, one JSON object a line, written from the documents and read flat."""
