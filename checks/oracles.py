@@ -575,6 +575,7 @@ ORACLES["bm25_filtered_bitmap"] = ORACLES["bm25_filtered"]
 ORACLES["stream_ingest_sketched"] = ORACLES["stream_ingest_rejected"]
 ORACLES["stream_ingest_compacted"] = ORACLES["bm25_search"].replace("AS definitions FROM docs)", "AS definitions FROM docs WHERE doc_id % 7 <> 3)")
 ORACLES["vector_topk_pruned"] = ORACLES["standing_queries"] = ORACLES["vector_topk_batch"]
+ORACLES["rerank_remembered"] = ORACLES["rerank_with_model"]
 ORACLES["page_after"] = with_index(
     "SELECT query_id, doc_id, score, CAST((rank - 1) % 10 + 1 AS INTEGER) AS rank, CAST((rank - 1) // 10 AS INTEGER) AS page"
     " FROM ranked WHERE rank <= 30"

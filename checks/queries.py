@@ -14,7 +14,7 @@ from lexivec.functions import collections as lists
 from lexivec.functions import scores, text, vectors
 from lexivec.functions.prep import CONTENT_WORDS, STEMMED_WORDS, WORDS, apply_steps
 from lexivec.functions.text import WORD
-from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, pivots, prepare, ranking, rerank
+from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, pivots, prepare, ranking, remember, rerank
 from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
@@ -546,6 +546,15 @@ def rerank_with_model(spark, sf_dir):
     return rounded(rerank.rerank(conversation_pairs(spark, sf_dir), overlap_scorer), "score")
 
 
+@query
+def rerank_remembered(spark, sf_dir):
+    """The pairs of two thirds of the conversations are scored and kept; a second run scores the others only."""
+    pairs = conversation_pairs(spark, sf_dir)
+    memory = remember.ScoreMemory(new_folder(spark, "scores"), "overlap 1")
+    rerank.rerank(pairs.filter(F.col("query_id") % 3 != 0), overlap_scorer, memory=memory)
+    return rounded(rerank.rerank(pairs, overlap_scorer, memory=memory), "score")
+
+
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.retrieve_then_rerank(
         vector_corpus(spark, sf_dir),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lexivec.functions.scores import sigmoid
 from lexivec.functions.text import tokenize
 from lexivec.operators.ranking import HEAD, splice
+from lexivec.operators.remember import ScoreMemory, score_remembered
 from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, materialise, top_per_group
 
 # Called once per task; returns a function from (queries, texts) to one logit per pair.
@@ -38,6 +39,22 @@ def score_pairs_with(pairs: DataFrame, expression: ScorerExpression) -> DataFram
     return pairs.withColumn("logit", expression(F.col("query"), F.col("text")))
 
 
+def scored_pairs(
+    pairs: DataFrame,
+    factory: ScorerFactory | None = None,
+    expression: ScorerExpression | None = None,
+    memory: ScoreMemory | None = None,
+) -> DataFrame:
+    """Add the `logit` of each pair by the one scorer that is given; with `memory`, of unseen pairs only."""
+    if (factory is None) == (expression is None):
+        raise ValueError("give either a scorer factory or a scorer expression")
+
+    def score(given: DataFrame) -> DataFrame:
+        return score_pairs(given, factory) if factory else score_pairs_with(given, expression)
+
+    return score(pairs) if memory is None else score_remembered(pairs, score, memory)
+
+
 def overlap_logit(query: Column, text: Column) -> Column:
     """A plain stand-in for a model: 8 times the share of distinct query words found in the text, less 4."""
     words = F.array_distinct(tokenize(query))
@@ -64,16 +81,14 @@ def rerank(
     expression: ScorerExpression | None = None,
     top_k: int | None = None,
     return_documents: bool = False,
+    memory: ScoreMemory | None = None,
 ) -> DataFrame:
     """Rank the pairs of each query by model score: `(query_id, corpus_id, score, rank[, text])`.
 
     The score is the sigmoid of the scorer's logit. Without `top_k`, or with 0, all
-    pairs are kept.
+    pairs are kept. With `memory`, pairs that an earlier run scored are not scored again.
     """
-    if (factory is None) == (expression is None):
-        raise ValueError("give either a scorer factory or a scorer expression")
-    needed = pairs.select("query_id", "corpus_id", "query", "text")
-    scored = score_pairs(needed, factory) if factory else score_pairs_with(needed, expression)
+    scored = scored_pairs(pairs.select("query_id", "corpus_id", "query", "text"), factory, expression, memory)
     columns = ["query_id", "corpus_id", "score"] + (["text"] if return_documents else [])
     scored = scored.withColumn("score", sigmoid(F.col("logit"))).select(*columns)
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("corpus_id").asc()], top_k or None)
@@ -86,6 +101,7 @@ def rerank_head(
     factory: ScorerFactory | None = None,
     expression: ScorerExpression | None = None,
     head: int = HEAD,
+    memory: ScoreMemory | None = None,
 ) -> DataFrame:
     """Rerank the first `head` hits of each query and put them in front of the others.
 
@@ -104,7 +120,7 @@ def rerank_head(
         # At most `head` pairs per query, so the pairs go to the texts, which need no shuffle.
         pairs = F.broadcast(pairs)
     pairs = pairs.join(texts.select("id", "text"), "id")
-    scored = score_pairs(pairs, factory) if factory else score_pairs_with(pairs, expression)
+    scored = scored_pairs(pairs, factory, expression, memory)
     scores = scored.select("query_id", "id", sigmoid(F.col("logit")).alias("rerank_score"))
     # Hits without a score (blank query, no text) come after the scored ones, in their old order.
     reordered = top_per_group(

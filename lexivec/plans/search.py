@@ -11,6 +11,7 @@ from lexivec.operators.encode import EncoderFactory, embed
 from lexivec.operators.nearest import MIN_SIM, PLACES, vector_topk_batch
 from lexivec.operators.prepare import compose_text, rename_select, with_definition
 from lexivec.operators.ranking import HEAD, PAGE, after_cursor, attach_records, page, side_by_side, with_both_records
+from lexivec.operators.remember import ScoreMemory
 from lexivec.operators.rerank import ScorerExpression, ScorerFactory, rerank_head
 from lexivec.scale import top_per_group
 
@@ -104,16 +105,18 @@ def retrieve_then_rerank(
     places: int = PLACES,
     shown: int = 0,
     sim_limit: float = SIM_LIMIT,
+    memory: ScoreMemory | None = None,
 ) -> DataFrame:
     """Hits above the floor with the first `head` reranked: `(query_id, id, sim, first_rank, rerank_score, rank, low)`.
 
     `queries(query_id, text, vector)`, `corpus(id, vector)`, `texts(id, text)`. With
     `limit`, the next `limit` hits after the first `shown`; without it, every hit above
-    the floor. `low` marks hits of low confidence.
+    the floor. `low` marks hits of low confidence. With `memory`, only pairs that no
+    earlier search scored reach the scorer.
     """
     wanted = None if limit is None else max(shown + limit, head)
     ranked = vector_topk_batch(corpus, queries, wanted, min_sim, places)
-    ordered = rerank_head(ranked, queries, texts, factory, expression, head)
+    ordered = rerank_head(ranked, queries, texts, factory, expression, head, memory)
     low = low_confidence(F.col("sim"), F.col("rerank_score"), sim_limit)
     flagged = ordered.withColumn("low", low)
     return flagged if limit is None else page(flagged, shown, limit)
