@@ -315,6 +315,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(doc_id AS VARCHAR) AS code, name, definition,
                array_to_string([CAST(round_even(CAST(v AS DOUBLE) * 1e6, 0) AS BIGINT) FOR v IN embedding], ',') AS units
         FROM docs LEFT JOIN embeddings ON doc_id = vec_id""",
+    "scan_split_array": "SELECT doc_id, lang, n_chars, text FROM documents",
     "definition_lookup": f"WITH {DOCS} SELECT CAST(doc_id AS VARCHAR) AS code, definition FROM docs",
     "json_explode": """
         SELECT event_id, unnest(json_keys(props)) AS name,
@@ -576,6 +577,8 @@ ORACLES["stream_ingest_sketched"] = ORACLES["stream_ingest_rejected"]
 ORACLES["stream_ingest_compacted"] = ORACLES["bm25_search"].replace("AS definitions FROM docs)", "AS definitions FROM docs WHERE doc_id % 7 <> 3)")
 ORACLES["vector_topk_pruned"] = ORACLES["standing_queries"] = ORACLES["vector_topk_batch"]
 ORACLES["rerank_remembered"] = ORACLES["rerank_with_model"]
+# An empty value of a CSV file is null.
+ORACLES["scan_split_series"] = ORACLES["scan_series"].replace("definition AS long", "nullif(definition, '') AS long")
 ORACLES["page_after"] = with_index(
     "SELECT query_id, doc_id, score, CAST((rank - 1) % 10 + 1 AS INTEGER) AS rank, CAST((rank - 1) // 10 AS INTEGER) AS page"
     " FROM ranked WHERE rank <= 30"

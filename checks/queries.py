@@ -19,7 +19,7 @@ from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
 from lexivec.session import new_folder
-from lexivec.sources import block_store, index_store, metadata, tables
+from lexivec.sources import block_store, index_store, metadata, split, tables
 from lexivec.streaming import answer, ingest, segments, standing
 
 PLACES = 6
@@ -93,22 +93,49 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks
 
 
-@query
-def scan_series(spark, sf_dir):
-    series = documents(spark, sf_dir).select(
+def document_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("Series Code"),
         F.col("name").alias("Indicator Name"),
         F.col("definition").alias("Long definition"),
         F.col("source").alias("Short definition"),
     )
-    folder = new_folder(spark, "series")
-    series.write.parquet(folder)
+
+
+def named_series(series: DataFrame) -> DataFrame:
     return prepare.rename_select(
-        tables.read_series(spark, folder, "parquet"),
-        {**prepare.SERIES_NAMES, "Long definition": "long", "Short definition": "short"},
+        series, {**prepare.SERIES_NAMES, "Long definition": "long", "Short definition": "short"}
     )
 
 
+@query
+def scan_series(spark, sf_dir):
+    folder = new_folder(spark, "series")
+    document_series(spark, sf_dir).write.parquet(folder)
+    return named_series(tables.read_series(spark, folder, "parquet"))
+
+
+@query
+def scan_split_series(spark, sf_dir):
+    """The series as one CSV file with quoted line breaks, read in ranges of 64 KB; empty values become null."""
+    folder = new_folder(spark, "series")
+    document_series(spark, sf_dir).coalesce(1).write.options(header=True, quoteAll=True, escape='"').csv(folder)
+    return named_series(split.read_series_split(spark, folder, range_bytes=1 << 16))
+
+
+@query
+def scan_split_array(spark, sf_dir):
+    """The documents as one JSON array in one file, read in ranges of 64 KB."""
+    source = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    record = F.to_json(F.struct(*source.columns), {"ignoreNullFields": "false"})
+    lines = source.select(F.col("doc_id").alias("at"), F.concat(F.lit(","), record).alias("line"))
+    # A first member that is no record spares the first record from being written without its comma.
+    ends = spark.createDataFrame([(None, "[null"), ((1 << 63) - 1, "]")], "at long, line string")
+    folder = new_folder(spark, "array")
+    lines.union(ends).coalesce(1).sortWithinPartitions(F.col("at").asc_nulls_first()).select("line").write.text(folder)
+    return split.read_corpus_split(spark, folder, source.schema, range_bytes=1 << 16)
+
+
 @query
 def scan_embeddings(spark, sf_dir):
     scanned = tables.read_table(spark, posixpath.join(sf_dir, "embeddings.parquet"))
