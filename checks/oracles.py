@@ -471,6 +471,13 @@ ORACLES: dict[str, str] = {
                array_to_string([coalesce(r[2], '-') FOR r IN l[1:2]], ',') AS second_words
         FROM lines""",
     "shuffle_rows": "SELECT * FROM customer",
+    "shuffle_keyed": """
+        WITH copies AS (
+          SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment) - 1 AS copy FROM customer),
+        hashed AS (
+          SELECT *, sha256('7:' || copy || ':{"c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS h
+          FROM copies)
+        SELECT c_nationkey, c_mktsegment, row_number() OVER (ORDER BY h) - 1 AS place FROM hashed""",
     "map_functions": """
         WITH p AS (SELECT event_id, json_keys(props) AS k,
                           [CAST(json_extract(props, x) AS BIGINT) FOR x IN json_keys(props)] AS v FROM events)

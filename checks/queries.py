@@ -676,6 +676,12 @@ def shuffle_rows(spark, sf_dir):
     return ranking.shuffle_rows(read(spark, sf_dir, "customer"), seed=7)
 
 
+@query
+def shuffle_keyed(spark, sf_dir):
+    """Rows of which many are equal, in the order of a seed."""
+    return ranking.shuffle_keyed(read(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment"), 7)
+
+
 @query
 def map_functions(spark, sf_dir):
     props = F.from_json("props", "map<string,long>")

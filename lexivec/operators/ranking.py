@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions.collections import last_value
 from lexivec.functions.scores import SIDE_BY_SIDE_SIM_LIMIT, low_confidence
-from lexivec.scale import BROADCAST_ROWS, is_small, top_per_group
+from lexivec.scale import BROADCAST_ROWS, is_small, materialise, partition_count, top_per_group
 
 # Rows of a page, and the number of first hits that are reordered.
 PAGE = 10
 HEAD = 20
 
+# Copies of one row that a task writes out in a keyed shuffle.
+COPIES = 1 << 16
+TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
 
 def attach_records(
     hits: DataFrame, records: DataFrame, key: str = "doc_id", how: str = "inner", most: int | None = None
@@ -111,6 +116,45 @@ def shuffle_rows(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
+def shuffle_keyed(df: DataFrame, seed: int, place: str = "place", copies: int = COPIES) -> DataFrame:
+    """Rows in an order that follows from the seed and the rows alone: `place` numbers them from 0 without gaps.
+
+    The order is that of a hash of seed and row, the same however the table is cut
+    into files. Hashes are spread evenly, so buckets of them are known in advance:
+    no sample, no sort of the whole table, and a place is the rows of the earlier
+    buckets and those before it in its own. Equal rows are counted first, before
+    any shuffle, and each copy gets a number and so a hash of its own: the copies
+    of one row spread like different rows, even where they are a third of the table.
+    `copies` of them are given by one task. An error if there is a column `place` already.
+    """
+    if place in df.columns:
+        raise ValueError(f"there is a column {place!r} already")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = materialise(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")), "counted")
+    # One of the fixed forms of a timestamp would leave out microseconds.
+    whole = {"ignoreNullFields": "false", "timestampFormat": TIMESTAMP, "timestampNTZFormat": TIMESTAMP}
+    row = F.to_json(F.struct(*columns), whole)
+    last = F.expr(f"(_copies - 1) div {copies}")
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    parts = partition_count(df)
+    if (counted.agg(F.max("_copies")).first()[0] or 0) > copies:
+        chunks = chunks.repartition(parts, *columns, "_chunk")
+    first = F.col("_chunk") * copies
+    numbers = F.sequence(first, F.least(F.col("_copies"), first + copies) - 1)
+    rows = chunks.withColumn("_copy", F.explode(numbers))
+    rows = rows.withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_copy").cast("string"), row), 256))
+    bits = math.ceil(math.log2(parts)) if parts > 1 else 0
+    bucket = F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), 32 - bits)
+    rows = materialise(rows.select(*columns, "_hash", bucket.alias("_bucket")), "hashed")
+    # As many rows as buckets, which are bounded.
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash"))
+    placed = rows.withColumn("_nth", within).join(F.broadcast(offsets), "_bucket")
+    return placed.select(*columns, (F.col("_before") + F.col("_nth") - 1).cast("long").alias(place))
+
+
 def after_cursor(hits: DataFrame, cursor: DataFrame | None, score: str, key: str) -> DataFrame:
     """The hits that come after the `cursor(query_id, score, key)` of their query, by falling score and then key.
 
