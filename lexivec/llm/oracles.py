@@ -19,9 +19,7 @@ worded AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-
                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-often AS (SELECT host, norm, min(doc_id) AS first FROM worded JOIN hosts USING (host)
-          GROUP BY host, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > texts * 0.01),
+often AS (SELECT host, norm, min(doc_id) AS first FROM worded GROUP BY host, norm HAVING count(DISTINCT text) > 20),
 removed AS (SELECT doc_id, count(*) AS lines, sum(n) AS words FROM worded JOIN often USING (host, norm)
             WHERE doc_id <> first GROUP BY doc_id),
 facts AS (SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,

@@ -6,9 +6,9 @@ its lines are written as a narrow table, and all that follows works on that tabl
 * A normalised line is in lower case, with single spaces and every run of digits as one 0.
 * A line's frequency in a host is the number of different texts of that host that hold it, so exact
   copies of one document count once.
-* A line is over the limit if it stands in more than `max_documents` texts and in more than `max_share`
-  of all texts of its host. It stays in the first of those documents (smallest id, then smallest text
-  hash), so that of a group of near copies one survives, and is removed from the others.
+* A line is over the limit if it stands in more than `max_documents` texts of its host, however large the
+  host is. It stays in the first of those documents (smallest id, then smallest text hash), so that of a
+  group of near copies one survives, and is removed from the others.
 * A document is depleted if less than `least_left` of its words remain.
 
 Defined cases: a null text has no words and fails the base rules. Null hosts form one host. Rows with the
@@ -37,7 +37,6 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_documents: int = 20
-    max_share: float = 0.01
     least_left: float = 0.5
 
 
@@ -132,15 +131,10 @@ def measure_documents(docs: DataFrame, text: str = "text", host: str = "source",
 def frequent_lines(measured: DataFrame, rules: QualityRules) -> DataFrame:
     """host, hash, and the document where the line stays: lines over the limit."""
     seen = measured.select("host", "doc_id", "text_hash", F.explode("lines").alias("l"))
-    counted = (
+    return (
         seen.groupBy("host", F.col("l.hash").alias("hash"))
         .agg(F.countDistinct("text_hash").alias("texts"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
         .filter(F.col("texts") > rules.max_documents)
-    )
-    hosts = measured.groupBy("host").agg(F.countDistinct("text_hash").alias("host_texts"))
-    return (
-        counted.join(hosts, "host")
-        .filter(F.col("texts") > F.col("host_texts") * rules.max_share)
         .select("host", "hash", "first")
     )
 

@@ -53,13 +53,12 @@ def similar_lines(docs, percent=85, least=5):
 
 def quality(docs, rules):
     """{(doc_id, text): (words, word_chars, symbols, dup_lines, repeat_words, base_failed, kept, removed lines)} of (doc_id, text, host)."""
-    hosts, holders = defaultdict(set), defaultdict(set)
+    holders = defaultdict(set)
 
     def normal(line):
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" "))
 
     for d, text, host in docs:
-        hosts[host or ""].add(text or "")
         for line in (text or "").split("\n"):
             if WORD.search(line):
                 holders[host or "", normal(line)].add((text or "", d))
@@ -77,7 +76,7 @@ def quality(docs, rules):
                 who = holders[host, normal(line)]
                 texts = len({t for t, _ in who})
                 first = min(w[1] for w in who)
-                if texts > rules.max_documents and texts > rules.max_share * len(hosts[host]) and d != first:
+                if texts > rules.max_documents and d != first:
                     removed.append(n)
         left = len(words) - sum(len(WORD.findall(lines[n])) for n in removed)
         failed = len(words) < rules.min_words or 100 * len(hit) > rules.max_repeat_percent * len(words)

@@ -144,7 +144,7 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
 
 
 def test_quality_rules(spark):
-    rules = QualityRules(min_words=4, max_documents=3, max_share=0.02)
+    rules = QualityRules(min_words=4, max_documents=3)
     docs = corpus()
     wanted = quality(docs, rules)
     got = quality_rules(frame(spark, docs), rules).collect()
@@ -157,7 +157,7 @@ def test_quality_rules(spark):
 
 
 def test_quality_cleans(spark):
-    rules = QualityRules(min_words=1, max_documents=2, max_share=0.0, max_repeat_percent=100)
+    rules = QualityRules(min_words=1, max_documents=2, max_repeat_percent=100)
     docs = [(i, f"common line\nown {chr(97 + i)} words here", "h") for i in range(5)] + [(None, None, None), (9, "", "h")]
     cleaned = clean_documents(frame(spark, docs), rules)
     got = sorted((r.doc_id, r.text) for r in cleaned.collect())
@@ -165,6 +165,16 @@ def test_quality_cleans(spark):
     assert quality_rules(frame(spark, [])).collect() == []
 
 
+def test_the_line_limit_does_not_grow_with_the_host(spark):
+    """A line of 21 texts is removed and one of 20 stays, in a host of 50 texts and in one of 5,000."""
+    for size in (50, 5_000):
+        own = " ".join(f"word{i}" for i in range(60))
+        docs = [(i, f"{own} nr {chr(97 + i % 26)}{i}x\n" + ("often seen" if i < 21 else "less seen" if i < 41 else ""), "h") for i in range(size)]
+        docs = [(i, t.replace("nr ", f"{'y' * (i % 70)} "), h) for i, t, h in docs]
+        got = quality_rules(frame(spark, docs)).filter("size(removed_lines) > 0").select("doc_id", "removed_lines").collect()
+        assert sorted((r.doc_id, r.removed_lines) for r in got if 1 in r.removed_lines) == [(i, [1]) for i in range(1, 21)]
+
+
 BENCHMARK = [
     (1, "The quick brown fox jumps over the lazy dog and runs away"),
     (2, "short item"),
