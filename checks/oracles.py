@@ -586,6 +586,14 @@ ORACLES["vector_topk_pruned"] = ORACLES["standing_queries"] = ORACLES["vector_to
 ORACLES["rerank_remembered"] = ORACLES["rerank_with_model"]
 # An empty value of a CSV file is null.
 ORACLES["scan_split_series"] = ORACLES["scan_series"].replace("definition AS long", "nullif(definition, '') AS long")
+ORACLES["highlight_terms"] = with_index(
+    r"""SELECT query_id, doc_id, array_to_string(list_transform(p, lambda x: CASE WHEN list_contains(t, strip_accents(lower(x)))
+             THEN '<strong>' || x || '</strong>' ELSE x END), '') AS marked,
+           CAST(len(list_filter(p, lambda x: list_contains(t, strip_accents(lower(x))))) AS INTEGER) AS n_marked
+    FROM (SELECT query_id, doc_id, regexp_extract_all(definition, '\p{L}+|[^\p{L}]+') AS p,
+                 list_distinct(list_transform(regexp_extract_all(benchmark.text, '\p{L}+'), lambda x: strip_accents(lower(x)))) AS t
+          FROM ranked JOIN docs USING (doc_id) JOIN benchmark ON item_id = query_id WHERE rank <= 10)"""
+)
 ORACLES["page_after"] = with_index(
     "SELECT query_id, doc_id, score, CAST((rank - 1) % 10 + 1 AS INTEGER) AS rank, CAST((rank - 1) // 10 AS INTEGER) AS page"
     " FROM ranked WHERE rank <= 30"

@@ -15,6 +15,7 @@ from lexivec.functions import scores, text, vectors
 from lexivec.functions.prep import CONTENT_WORDS, STEMMED_WORDS, WORDS, apply_steps
 from lexivec.functions.text import WORD
 from lexivec.operators import blockmax, bm25, encode, evaluate, nearest, pivots, prepare, ranking, remember, rerank
+from lexivec.operators import highlight as highlighting
 from lexivec.operators.checks import duplicate_ids as repeated_ids
 from lexivec.plans import search as plans
 from lexivec.scale import top_per_group
@@ -770,6 +771,17 @@ def highlight(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.highlight(F.col("definition"), "The A").alias("marked"))
 
 
+@query
+def highlight_terms(spark, sf_dir):
+    """Every word of a query marked in the best documents of the query."""
+    asked = text_queries(spark, sf_dir)
+    hits = bm25.search(index(spark, sf_dir), asked).select("query_id", "doc_id")
+    shown = ranking.attach_records(hits, documents(spark, sf_dir).select("doc_id", "definition"))
+    shown = shown.join(asked.withColumnRenamed("text", "query"), "query_id")
+    marked = highlighting.highlight_terms(shown, text="definition")
+    return marked.select("query_id", "doc_id", "marked", F.size("spans").alias("n_marked"))
+
+
 # Streams
 
 
