@@ -62,3 +62,24 @@ def test_small_tables(spark):
         pivots.vector_topk_pruned(pivots.lay_out(few), queries, 0)
     with pytest.raises(Exception, match="finite"):
         pivots.lay_out(table(spark, [[float("nan"), 0.0]], "id"))
+
+
+def test_a_query_given_twice(spark):
+    corpus = table(spark, clustered(4, 300), "id")
+    queries = table(spark, clustered(4, 6), "query_id")
+    queries = queries.union(queries.filter("query_id < 2"))
+    laid = pivots.lay_out(corpus, pivots=4)
+    assert rows(pivots.vector_topk_pruned(laid, queries, 5)) == rows(vector_topk_batch(corpus, queries, 5))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_vectors_of_queries_are_not_dealt_to_rings(spark, monkeypatch, small):
+    corpus, queries = table(spark, clustered(5, 300), "id"), table(spark, clustered(6, 9), "query_id")
+    laid = pivots.lay_out(corpus, pivots=4)
+    wanted = rows(vector_topk_batch(corpus, queries, 5))
+    if not small:
+        monkeypatch.setattr(pivots, "is_small", lambda *_: False)
+    found = pivots._searched(laid, queries, pivots.rings_of(laid, queries, 5), 5, 9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("asked" in plan) is not small
+    assert rows(pivots.vector_topk_pruned(laid, queries, 5)) == wanted
