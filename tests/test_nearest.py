@@ -130,3 +130,16 @@ def test_a_floor_that_everything_passes(spark):
     asked = corpus.filter("id < 50").withColumnRenamed("id", "query_id")
     for layout in ({}, {"broadcast_rows": 0, "block_bytes": 1 << 11}):
         assert nearest.similarities(corpus, asked, above=0.0, **layout).count() == 300 * 50
+
+
+def test_blocks_of_the_grid_grow_before_there_are_many(spark):
+    assert [nearest.grid_blocks(s, 1 << 17) for s in (0, 1, 1 << 18, 1 << 30)] == [1, 1, 2, 32]
+    assert nearest.grid_blocks(1 << 24, 1 << 17) == nearest.SMALL_BLOCKS
+    assert nearest.grid_blocks(1 << 30, 1 << 28) == 4
+
+
+def test_equal_vectors_are_asked_once(spark):
+    asked = spark.createDataFrame([(3, [1.0]), (1, [1.0]), (2, [2.0])], "query_id long, vector array<double>")
+    once, of = nearest.each_once(asked)
+    assert sorted(map(tuple, once.collect())) == [(1, [1.0]), (2, [2.0])]
+    assert sorted(map(tuple, of.collect())) == [(1, 1), (2, 2), (3, 1)]

@@ -97,3 +97,18 @@ def test_a_stream_keeps_its_settings(spark, tmp_path):
         ingest.ingest(arriving, other, path, str(tmp_path / "more"))
     with pytest.raises(ValueError, match="other field weights"):
         ingest.ingested_index(spark, other, path)
+
+
+def test_a_table_that_is_a_folder_of_files_is_a_stream(spark, tmp_path):
+    from checks.queries import table_stream
+
+    rows = spark.range(10)
+    rows.repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "b.parquet")
+    for name in "ab":
+        found = table_stream(spark, str(tmp_path), name, rows.schema)
+        out = str(tmp_path / f"out-{name}")
+        started = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"at-{name}"))
+        started.trigger(availableNow=True).start(out).awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
