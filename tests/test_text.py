@@ -122,3 +122,9 @@ def test_last_value(spark):
     pairs = F.from_json("c", "array<struct<id: string, value: string>>")
     given = '[{"id":"a","value":"1"},{"id":"b","value":"2"},{"id":"a","value":"3"}]'
     assert apply(spark, lambda c: lists.last_value(pairs, F.lit("a")), given, "[]") == ["3", None]
+
+
+def test_stems_of_nulls_and_empty_lists(spark):
+    rows = [(1, ["running", "!cats", "running"]), (2, None), (3, []), (4, ["ponies", None])]
+    found = spark.createDataFrame(rows, "id long, t array<string>").coalesce(1).select("id", stem_tokens(F.col("t")).alias("s"))
+    assert sorted(map(tuple, found.collect())) == [(1, ["run", "!cat", "run"]), (2, None), (3, []), (4, ["poni", None])]
