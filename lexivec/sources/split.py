@@ -10,6 +10,7 @@ in it. A record that runs over the end of its range is read on to its end.
 from __future__ import annotations
 
 import csv
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from lexivec.scale import MAX_PARTITIONS, materialise
 from lexivec.sources.tables import CORPUS, SERIES
 
 RANGE_BYTES = 32 * 1024 * 1024
-# What is read at a time; of a long record as much again as is held of it.
+# What is read at a time; past the end of a smaller range no more than its size, of a long record as much again as is held of it.
 BLOCK = 1024 * 1024
 # Bytes of records in one Arrow batch.
 BATCH_BYTES = 8 * 1024 * 1024
@@ -98,7 +99,7 @@ def _json_records(read: Read, start: int, end: int, state: int, depth: int) -> I
     """The objects of the outer array that begin in `start..end`."""
     at, kept, opened = start, b"", None
     while at < end or opened is not None:
-        data = read(at, min(BLOCK, end - at) if at < end else max(BLOCK, len(kept)))
+        data = read(at, min(BLOCK, end - at) if at < end else max(min(BLOCK, end - start), len(kept)))
         if not data:
             raise ValueError("a JSON record has no end")
         values = np.frombuffer(data, np.uint8)
@@ -128,7 +129,7 @@ def _csv_records(read: Read, start: int, end: int, state: int, depth: int) -> It
     at, kept = start, b""
     begun = start == 0 or (state == OUTSIDE and read(start - 1, 1) == b"\n")
     while begun or at < end:
-        data = read(at, min(BLOCK, end - at) if at < end else max(BLOCK, len(kept)))
+        data = read(at, min(BLOCK, end - at) if at < end else max(min(BLOCK, end - start), len(kept)))
         if not data:
             if kept:
                 yield kept
@@ -173,9 +174,11 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     return ranges.withColumn("stop", F.least(F.col("length"), F.col("start") + range_bytes))
 
 
-def _one_task_each(ranges: DataFrame) -> DataFrame:
-    """Ranges spread over tasks: they are few rows of much work."""
-    return ranges.repartition(max(1, min(ranges.count(), MAX_PARTITIONS)), "path", "start")
+def _spread(ranges: DataFrame) -> DataFrame:
+    """Ranges spread over tasks, small ones together until a task has `RANGE_BYTES`."""
+    number, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    least = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(max(1, min(number, max(least, math.ceil(size / RANGE_BYTES)), MAX_PARTITIONS)), "path", "start")
 
 
 def located_ranges(spark: SparkSession, path: str, json: bool, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -200,7 +203,7 @@ def located_ranges(spark: SparkSession, path: str, json: bool, range_bytes: int
         return ranges.drop(columns="ends").assign(state=[s for s, _ in begins], depth=[d for _, d in begins])
 
     ranges = byte_ranges(spark, path, range_bytes)
-    noted = _one_task_each(ranges).mapInPandas(note, f"{RANGES}, ends array<array<long>>")
+    noted = _spread(ranges).mapInPandas(note, f"{RANGES}, ends array<array<long>>")
     # A group is the ranges of one file: a few numbers for every `range_bytes` of it.
     located = noted.groupBy("path").applyInPandas(compose, f"{RANGES}, state int, depth long")
     return materialise(located, "ranges")
@@ -235,7 +238,7 @@ def split_records(
                     if held:
                         yield batch_of(held)
 
-    return _one_task_each(located).mapInArrow(cut, "record string")
+    return _spread(located).mapInArrow(cut, "record string")
 
 
 def read_corpus_split(

@@ -120,3 +120,20 @@ def test_wrong_header_is_an_error(spark, tmp_path):
         split.read_series_split(spark, str(tmp_path / "a.csv"), schema).collect()
     with pytest.raises(ValueError, match="at least 1"):
         split.read_series_split(spark, str(tmp_path / "a.csv"), schema, range_bytes=0)
+
+
+def test_little_is_read_past_the_end_of_a_small_range():
+    data = b"[" + b",".join(b'{"a":%d}' % i for i in range(1000)) + b"]"
+    asked = []
+
+    def read(at, n):
+        asked.append(n)
+        return data[at : at + n]
+
+    assert len(list(split._json_records(read, 0, 64, split.OUTSIDE, 0))) == 8
+    assert max(asked) <= 64
+
+
+def test_small_ranges_share_tasks(spark):
+    ranges = spark.range(5000).selectExpr("'f' AS path", "5000L AS length", "id AS start", "id + 1 AS stop")
+    assert split._spread(ranges).rdd.getNumPartitions() <= 8
