@@ -267,3 +267,14 @@ def test_precision(given, places):
 def test_learner_names():
     assert bm25.learn is bm25.build_index
     assert bm25.predict is bm25.search
+
+
+def test_counted_index_reads_no_text_again(spark):
+    docs = spark.createDataFrame([(i, f"word{i} shared", "shared text") for i in range(5)], "doc_id long, name string, definition string")
+    built = bm25.build_index(docs, bm25.BM25Config({"name": 2, "definition": 1}))
+    once = bm25.counted(built)
+    assert once.tokens is None and bm25.counted(once) is once
+    for table in ("postings", "documents", "terms", "totals"):
+        plan = getattr(once, table)._jdf.queryExecution().optimizedPlan().toString()
+        assert "definition" not in plan
+        assert sorted(map(tuple, getattr(once, table).collect())) == sorted(map(tuple, getattr(built, table).collect()))
