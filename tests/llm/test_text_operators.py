@@ -82,6 +82,49 @@ def test_many_near_copies_are_not_paired(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def middling(n, length, changed):
+    """Texts that differ from one base, and more from each other."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(length)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k in random.sample(range(length), changed):
+            words[k] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def counted(monkeypatch, module, name):
+    """The numbers of pairs that are handed over for verification."""
+    seen, real = [], getattr(module, name)
+
+    def count(pairs, *args):
+        seen.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(module, name, count)
+    return seen
+
+
+def test_a_group_of_middling_similarity_is_hardly_verified(spark, monkeypatch):
+    """Copies of one text that resemble each other by 0.6 are no links, and few of their pairs are compared in full."""
+    docs = [(i, t, "h") for i, t in enumerate([*middling(60, 150, 4), "u v w x y z", "u v w x y z"])]
+    seen = counted(monkeypatch, near_dup, "verified")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == near_duplicates((d, t) for d, t, _ in docs)
+    assert len(set(got.values())) > 40 and sum(seen) < 100  # of 1,770 pairs
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 400), st.integers(0, 400), st.integers(0, 2**32))
+def test_parity_never_differs_more_than_the_sets(both, left, right, seed):
+    own = np.random.default_rng(seed).integers(0, 2**64 - 1, both + left + right, np.uint64)
+    a, b = np.unique(own[: both + left]), np.unique(np.concatenate([own[:both], own[both + left :]]))
+    apart = int(np.bitwise_count((near_dup.parity(a) ^ near_dup.parity(b)).view(np.uint64)).sum())
+    assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_minhash_estimates_similarity():
     random.seed(5)
     words = [str(random.random()) for _ in range(800)]
