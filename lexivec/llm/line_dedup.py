@@ -13,7 +13,8 @@ smaller line number; its own document counts too) has the same set or a Jaccard
    groups of near copies with one comparison each.
 4. The rest: every class that has no earlier match yet is joined with all earlier classes of its prefix
    words, under the length filter, the positional filter and the shorter index prefix of the shorter line.
-   A 64-bit map of each line's words bounds the intersection from above and spares hopeless pairs.
+   A 64-bit map of each line's words, odd or even in number for each bit, bounds the intersection from above and
+   spares hopeless pairs.
 5. The words of the lines of candidate pairs are fetched. A map of 512 bits made from them bounds the intersection of
    lines of hundreds of words too; the pairs that are left are verified on the words themselves.
 
@@ -108,7 +109,7 @@ def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, tex
     )
     n = F.size("keys")
     one = F.lit(1).cast("long")
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
     return keyed.filter(n >= min_words).select(
         "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
@@ -135,7 +136,7 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     length = 100 * F.least(an, bn) >= percent * F.greatest(an, bn)
     least = shared_least(percent, an, bn)
     position = F.least(an - ap, bn - bp) >= least
-    # Every bit that differs is a word of one line only.
+    # Every bit that differs is a word of one line only. The bits tell odd numbers of words, so those of long lines differ too.
     differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= an + bn - 2 * least
     # The shorter line needs only the first words that two lines of its length must share one of.
     shorter_n, shorter_p = F.least(an, bn), F.when(an <= bn, ap).otherwise(bp)
