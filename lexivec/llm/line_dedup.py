@@ -39,7 +39,6 @@ from pyspark.sql.window import Window
 from lexivec.llm.quality import without_lines
 from lexivec.llm.shared import BLANKS, saved, words
 from lexivec.scale import is_small
-from lexivec.session import new_folder
 
 PERCENT = 85
 MIN_WORDS = 5
@@ -97,21 +96,20 @@ def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, tex
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
     )
     table, low = F.lit(cells), (1 << KEY_BITS) - 1
-    hashed = lines.select("doc", "line", F.transform(line_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    hashes = F.transform(line_words(F.col("text")), lambda w: F.xxhash64(w))
 
     def key(h: Column) -> Column:
         cell = h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
         rarity = F.ascii(F.substring(table, cell + 1, F.lit(1)).cast("string"))  # a byte below 128
         return F.shiftleft(rarity.cast("long"), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
-    keyed = hashed.filter(F.size("hashes") >= min_words).select(
-        "doc", "line", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("keys")
-    )
+    # One set to an array, exploded: a filter on a column would be pushed below it, and the column be made once more.
+    sets = F.filter(F.array(F.sort_array(F.array_distinct(F.transform(hashes, key)))), lambda keys: F.size(keys) >= min_words)
     n = F.size("keys")
     one = F.lit(1).cast("long")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return keyed.filter(n >= min_words).select(
+    return lines.select("doc", "line", F.explode(sets).alias("keys")).select(
         "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
     )
 
@@ -124,9 +122,8 @@ def _prefix_table(lines: DataFrame, percent: int) -> tuple[DataFrame, str]:
     rows = firsts.select("f.doc", "f.line", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"line_words_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").saveAsTable(
-        name, format="parquet", path=new_folder(spark, "line-words")
-    )
+    # A table of the warehouse: dropping it frees its files.
+    rows.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").saveAsTable(name, format="parquet")
     return spark.table(name), name
 
 
@@ -233,9 +230,10 @@ def similar_lines(
         .groupBy(F.col("b_doc").alias("first_doc"), F.col("b_line").alias("first_line"))
         .agg(F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))).alias("w"))
     )
-    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"))
-    classes = firsts.select(*CLASS, F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
-    classes = classes.join(witness, ["first_doc", "first_line"], "left")
+    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("size"))
+    classes = firsts.select(*CLASS, F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"), "size")
+    # A line of a class of its own that nothing matches stays.
+    classes = classes.join(witness, ["first_doc", "first_line"], "left").filter(F.col("w").isNotNull() | (F.col("size") > 1))
     own = F.struct("doc", "line")
     first = F.struct(F.col("first_doc").alias("doc"), F.col("first_line").alias("line"))
     return (
@@ -289,9 +287,10 @@ def _with_removed(docs: DataFrame, options: dict) -> DataFrame:
     found = similar_lines(docs, **options).groupBy(F.col("doc").alias("_l_doc"))
     match = F.struct("line", F.col("match_doc.id").alias("match_doc"), F.col("match_doc.hash").alias("match_hash"), "match_line")
     found = found.agg(F.array_sort(F.collect_list(match)).alias("_l_found"))
-    key = row_key(options.get("doc_id", "doc_id"), options.get("text", "text"))
+    # The key is a column of its own: who does not ask for the text gets by without shuffling it.
+    keyed = docs.withColumn("_l_key", row_key(options.get("doc_id", "doc_id"), options.get("text", "text")))
     none = F.array().cast(found.schema["_l_found"].dataType)
-    joined = docs.join(found, key == F.col("_l_doc"), "left").withColumn("_l_removed", F.coalesce("_l_found", none))
+    joined = keyed.join(found, F.col("_l_key") == F.col("_l_doc"), "left").withColumn("_l_removed", F.coalesce("_l_found", none))
     return joined.select(*docs.columns, "_l_removed")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -166,6 +167,17 @@ def test_long_lines_of_middling_similarity_are_hardly_paired(spark, monkeypatch)
     assert sum(seen) < 300  # of 1,225 pairs
 
 
+def test_line_dedup_shuffles_no_text_that_is_not_asked_for(spark, tmp_path):
+    frame(spark, [(1, "a b c d e", "h"), (2, "e d c b a", "h")]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = line_dedup.dedup_lines(docs).select("doc_id", "removed")._jdf.queryExecution().optimizedPlan().toString()
+    keyed = [line for line in plan.split("\n") if "AS _l_key#" in line]
+    assert keyed and not any(re.search(r"[\[ ]text#\d+[,\]]", line) for line in keyed)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("line_words_")] == []
+    folder = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    assert not list(folder.glob("line_words_*"))
+
+
 def test_line_links_are_all_found(spark):
     """Thirty near copies and three exact ones: every pair is a link, not one per line."""
     words = [f"w{i}" for i in range(40)]
