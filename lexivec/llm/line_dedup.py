@@ -4,22 +4,25 @@ A line is the set of its lower-cased words. A line is removed if an earlier line
 smaller line number; its own document counts too) has the same set or a Jaccard similarity of at least
 `percent` hundredths. Lines of fewer than `min_words` different words always stay.
 
-1. Words are counted over all texts, in 2^18 hash cells whose counts are kept on a logarithmic scale: a
-   fixed-size array that orders words by rarity. Cells that share words only make the order less sharp.
-   Any total order is right for what follows.
-2. A line becomes its sorted word keys (rarity, then hash). Lines with equal sets are one class, known by
-   its first line; only the rarest words of each class, its prefix, are written, bucketed by word.
-3. Stars: each class is compared with the first class in each of its words' lists. That settles large
-   groups of near copies with one comparison each.
-4. The rest: every class that has no earlier match yet is joined with all earlier classes of its prefix
-   words, under the length filter, the positional filter and the shorter index prefix of the shorter line.
-   A 64-bit map of each line's words, odd or even in number for each bit, bounds the intersection from above and
-   spares hopeless pairs.
+1. A line becomes its sorted word hashes. Lines with equal sets are one class, known by its first line.
+2. Marks: two similar sets of at most b words differ in at most d = 2b(100 - percent) / (100 + percent) words. The
+   range of hashes is cut into d + 1 equal parts, so the sets agree in one part, and a mark is the hash of what
+   a line has in a part. Sizes fall into classes, b is the largest of a class; a line is marked for its own class and for
+   the next one, if it may resemble lines there. A part without any word would mark far too many lines: of d
+   differences on a ring of d + 1 parts, some part holds none and it and the next together at most one, so an empty part is
+   marked with what is in the next one, whole and without any one of its words.
+   No word is counted or looked up for this, and a mark stands for several words, however frequent each may be.
+   Marks that only one class has are dropped; the others are written, bucketed by mark.
+3. Stars: each class is compared with the first class that has the same mark, and the one before it. That settles
+   large groups of near copies with two comparisons a mark.
+4. The rest: every class that has no earlier match yet is joined with all earlier classes of its marks, under the
+   length filter. A 64-bit map of each line's words, odd or even in number for each bit, bounds the intersection from
+   above and spares hopeless pairs; lines of more than 80 words have one of 512 bits.
 5. The words of the lines of candidate pairs are fetched. A map of 512 bits made from them bounds the intersection of
    lines of hundreds of words too; the pairs that are left are verified on the words themselves.
 
 Steps 3 and 4 answer which lines go, with one earlier match for each. `line_links` leaves no link out: it joins
-all classes with all earlier ones of their prefix words, and gives class pairs and the members of each class.
+all classes with all earlier ones of their marks, and gives class pairs and the members of each class.
 Its candidates and links grow with the square of a group of near copies.
 
 Defined cases: null texts have no lines; blank lines are neither removed nor counted. A row is known by id
@@ -42,10 +45,12 @@ from lexivec.scale import is_small
 
 PERCENT = 85
 MIN_WORDS = 5
-#: Cells of the rarity table, as a power of two.
-CELL_BITS = 18
-#: Bits of a word key below its rarity.
-KEY_BITS = 56
+#: Bits of a word's hash.
+HASH_BITS = 60
+#: Lines of more words have a longer map.
+LONG = 80
+#: The class of sizes up to this one is looked up.
+KNOWN_SIZES = 1024
 #: Longs of the map that tells whether a line has an odd number of words for each of its bits; a power of two.
 PARITY = 8
 #: Stands for a missing id, before all others.
@@ -61,83 +66,119 @@ def line_words(line: Column) -> Column:
     return words(F.lower(line))
 
 
-def rarity_cells(docs: DataFrame, text: str = "text") -> bytes:
-    """The rarity (4 * log2 of the count) of every cell: 2^18 bytes, whatever the corpus."""
-    cells = 1 << CELL_BITS
-    spark = docs.sparkSession
-    counted = (
-        docs.select(F.explode(words(F.lower(F.col(text)))).alias("word"))
-        .groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell"))
-        .count()
-    )
-    rarity = F.least(F.lit(127.0), F.floor(4 * F.log2("count"))).cast("tinyint")
-    dense = spark.range(cells).join(counted, F.col("id") == F.col("cell"), "left")
-    blocks = dense.groupBy(F.shiftright("id", CELL_BITS // 2).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("id", F.coalesce(rarity, F.lit(0).cast("tinyint")).alias("rarity")))).alias("b")
-    )
-    table = blocks.agg(F.array_sort(F.collect_list(F.struct("block", F.col("b")["rarity"].alias("r")))).alias("all"))
-    return bytes(table.select(F.flatten(F.col("all")["r"])).first()[0])
+def shared_least(percent: int, left: Column, right: Column) -> Column:
+    """The least intersection of two similar sets of these sizes."""
+    return F.ceil(percent * (left + right).cast("long") / F.lit(100 + percent)).cast("int")
 
 
-def at_least(percent: int, count: Column) -> Column:
-    """The least integer that is `percent` hundredths of the count."""
-    return F.floor((percent * count.cast("long") + 99) / 100).cast("int")
+def size_classes(percent: int, min_words: int) -> list[int]:
+    """The largest size of each class. A set resembles only sets of its own class, the one before and the next one."""
+    tops = [max(min_words, 1) - 1]
+    while tops[-1] < 2**31:
+        low = tops[-1] + 1
+        tops.append(max(low * 3 // 2, low * 100 // percent))
+    return tops[1:]
 
 
-def shared_least(percent: int, left: Column, right: Column) -> Column:
-    """The least intersection of two similar sets of these sizes."""
-    return F.ceil(percent * (left + right).cast("long") / F.lit(100 + percent)).cast("int")
+def parts_of(percent: int, top: int) -> int:
+    """One more than the words that two similar sets of at most `top` words may differ in."""
+    return 2 * top * (100 - percent) // (100 + percent) + 1
 
 
-def keyed_lines(docs: DataFrame, cells: bytes, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """doc, line, n (different words), set and bits (hash and map of them), prefix (the rarest): lines of enough words."""
+def _parts(size: Column, percent: int, tops: list[int]) -> Column:
+    """The number of parts for the class of a size."""
+    known = F.expr(f"array({', '.join(str(sum(top < n for top in tops)) for n in range(KNOWN_SIZES + 1))})")
+    longer = F.size(F.filter(F.array(*map(F.lit, tops)), lambda top: top < size))
+    number = F.when(size <= KNOWN_SIZES, F.get(known, F.least(size, F.lit(KNOWN_SIZES)).cast("int"))).otherwise(longer)
+    return F.get(F.array(*(F.lit(parts_of(percent, top)).cast("long") for top in tops)), number)
+
+
+def _with_marks(keyed: DataFrame) -> DataFrame:
+    """`keyed`, with keys and numbers of parts p0 and p1, as one row a mark: set, mark, own (doc, line, n, bits).
+
+    One row of each line has `own`; a line of no mark has one row without a mark.
+    """
+    schemes = F.when((F.col("p1") > 1) & (F.col("p1") != F.col("p0")), F.array("p0", "p1")).otherwise(F.array("p0"))
+    rows = keyed.withColumn("p", F.explode(schemes)).withColumn("step", F.expr(f"{1 << HASH_BITS} div p + 1"))
+    # The words between the lower borders of the parts.
+    borders = F.sequence(F.lit(0).cast("long"), F.col("p") * F.col("step"), F.col("step"))
+    rows = rows.withColumn("cut", F.sort_array(F.concat("keys", borders))).drop("keys")
+    # Where the borders stand is looked for one by one, but not in long lines.
+    places = F.filter(F.sequence(F.lit(1), F.size("cut")), lambda i: F.get("cut", i - 1) % F.col("step") == 0)
+    rows = rows.withColumn("places", F.when(F.col("n") > KNOWN_SIZES, places))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+
+    def begin(part: Column) -> Column:
+        searched = F.array_position("cut", part * F.col("step")).cast("int")
+        return F.when(F.col("places").isNull(), searched).otherwise(F.get("places", part.cast("int")))
+
+    rows = rows.withColumn("begin", begin(F.col("j"))).withColumn("words", begin(F.col("j") + 1) - F.col("begin"))
+    after = (F.col("j") + 1) % F.col("p")
+    first = F.when(F.col("words") == 1, begin(after) + 1)
+    rows = rows.withColumn("first", first).withColumn("follow", F.when(F.col("words") == 1, begin(after + 1) - F.col("first")).otherwise(0))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("follow"))))
+    full = F.xxhash64("p", F.slice("cut", F.col("begin"), F.col("words")))
+    follows = F.slice("cut", F.col("first"), F.col("follow"))
+    # No hash is -1: nothing is left out at first.
+    empty = F.xxhash64("p", "j", F.array_remove(follows, F.coalesce(F.get(follows, F.col("k") - 1), F.lit(-1).cast("long"))))
+    mark = F.when(F.col("p") > 1, F.when(F.col("words") > 1, full).otherwise(empty))
+    head = (F.col("p") == F.col("p0")) & (F.col("j") == 0) & (F.col("k") == 0)
+    return rows.select("set", mark.alias("mark"), F.when(head, F.struct("doc", "line", "n", "bits", "map")).alias("own"))
+
+
+def keyed_lines(docs: DataFrame, percent: int, min_words: int, text: str, doc_id: str) -> DataFrame:
+    """set (hash of the words), mark, own: doc, line, n (different words) and bits (map of them) of lines of enough words; see `_with_marks`."""
     lines = docs.select(
         row_key(doc_id, text).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"),
     )
-    table, low = F.lit(cells), (1 << KEY_BITS) - 1
-    hashes = F.transform(line_words(F.col("text")), lambda w: F.xxhash64(w))
-
-    def key(h: Column) -> Column:
-        cell = h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
-        rarity = F.ascii(F.substring(table, cell + 1, F.lit(1)).cast("string"))  # a byte below 128
-        return F.shiftleft(rarity.cast("long"), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-
+    hashes = F.transform(line_words(F.col("text")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
     # One set to an array, exploded: a filter on a column would be pushed below it, and the column be made once more.
-    sets = F.filter(F.array(F.sort_array(F.array_distinct(F.transform(hashes, key)))), lambda keys: F.size(keys) >= min_words)
-    n = F.size("keys")
+    sets = F.filter(F.array(F.sort_array(F.array_distinct(hashes))), lambda keys: F.size(keys) >= min_words)
+    n, tops = F.size("keys"), size_classes(percent, min_words)
     one = F.lit(1).cast("long")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    keyed = lines.select("doc", "line", F.explode(sets).alias("keys")).select("*", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"))
+    keyed = keyed.withColumn("map", F.when(F.col("n") > LONG, _parity(F.col("keys"))))
+    largest = F.floor(F.col("n").cast("long") * 100 / percent)
+    keyed = keyed.select("*", _parts(F.col("n"), percent, tops).alias("p0"), _parts(largest, percent, tops).alias("p1"))
+    return _with_marks(keyed)
 
-    return lines.select("doc", "line", F.explode(sets).alias("keys")).select(
-        "doc", "line", n.alias("n"), F.xxhash64("keys").alias("set"), bits.alias("bits"), F.slice("keys", F.lit(1), n - at_least(percent, n) + 1).alias("prefix")
-    )
 
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """The classes: CLASS, f (doc and line of the first line), size, map."""
+    return saved(lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("size"), F.first("map").alias("map")), "firsts")
 
-def _prefix_table(lines: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """word, place in the prefix, n, bits and first line of each class: a table bucketed by word, and its name."""
-    spark = lines.sparkSession
-    first = F.min(F.struct("doc", "line")).alias("f")
-    firsts = lines.groupBy(*CLASS).agg(first, F.min_by("prefix", F.struct("doc", "line")).alias("prefix"))
-    rows = firsts.select("f.doc", "f.line", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+
+def _prepared(docs: DataFrame, percent: int, min_words: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Lines, classes, and mark, n, bits and first line of each class that shares a mark: a table bucketed by mark; its name."""
+    spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"line_words_{uuid.uuid4().hex}"
-    # A table of the warehouse: dropping it frees its files.
-    rows.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").saveAsTable(name, format="parquet")
-    return spark.table(name), name
+    # Tables of the warehouse: dropping one frees its files.
+    name, marked = f"line_words_{uuid.uuid4().hex}", f"line_words_{uuid.uuid4().hex}"
+    keyed_lines(docs, percent, min_words, text, doc_id).write.saveAsTable(marked, format="parquet")
+    lines = saved(spark.table(marked).filter("own IS NOT NULL").select("own.doc", "own.line", "set", "own.n", "own.bits", "own.map"), "lines")
+    classes, lines = _first_lines(lines), lines.drop("map")
+    own = Window.partitionBy("mark")
+    rows = spark.table(marked).filter("mark IS NOT NULL").select("mark", "set").repartition(buckets, "mark")
+    shared = rows.withColumn("least", F.min("set").over(own)).withColumn("most", F.max("set").over(own)).filter("least < most")
+    shared = saved(shared.select("mark", "set").distinct(), "shared-marks")
+    spark.sql(f"DROP TABLE {marked}")
+    table = shared.join(classes, "set").select("f.doc", "f.line", "n", "bits", "map", "mark")
+    table.repartition(buckets, "mark").write.bucketBy(buckets, "mark").sortBy("mark").saveAsTable(name, format="parquet")
+    return lines, classes, spark.table(name), name
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
-    """Length, positional and index-prefix filters for two prefix rows of one word."""
-    an, bn, ap, bp = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
+    """Length filter and map of words for two classes of one mark."""
+    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
     length = 100 * F.least(an, bn) >= percent * F.greatest(an, bn)
-    least = shared_least(percent, an, bn)
-    position = F.least(an - ap, bn - bp) >= least
     # Every bit that differs is a word of one line only. The bits tell odd numbers of words, so those of long lines differ too.
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= an + bn - 2 * least
-    # The shorter line needs only the first words that two lines of its length must share one of.
-    shorter_n, shorter_p = F.least(an, bn), F.when(an <= bn, ap).otherwise(bp)
-    return length & position & differ & (shorter_p < shorter_n - shared_least(percent, shorter_n, shorter_n) + 1)
+    most = an + bn - 2 * shared_least(percent, an, bn)
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= most
+    # Null, and no bound, unless both lines are long.
+    far = [F.bit_count(F.get(f"{a}.map", F.lit(k)).bitwiseXOR(F.get(f"{b}.map", F.lit(k)))) for k in range(PARITY)]
+    return length & differ & (F.coalesce(sum(far[1:], far[0]), F.lit(0)) <= most)
 
 
 #: What lines of equal words have in common.
@@ -208,11 +249,11 @@ def similar_lines(
 
     doc and match_doc are row keys: id and hash of the text.
     """
-    lines = saved(keyed_lines(docs, rarity_cells(docs, text), percent, min_words, text, doc_id), "lines")
-    table, name = _prefix_table(lines, percent)
-    order = Window.partitionBy("word").orderBy("doc", "line")
-    starred = table.select("word", F.struct("doc", "line", "n", "bits", "place").alias("b"), "doc", "line")
-    starred = starred.withColumn("a", F.first("b").over(order)).filter(
+    lines, classes, table, name = _prepared(docs, percent, min_words, text, doc_id)
+    order = Window.partitionBy("mark").orderBy("doc", "line")
+    starred = table.select("mark", F.struct("doc", "line", "n", "bits", "map").alias("b"), "doc", "line")
+    # With the one before it too: a line that is unlike the first one often resembles that.
+    starred = starred.withColumn("near", F.array(F.first("b").over(order), F.lag("b").over(order))).withColumn("a", F.explode("near")).filter(
         (F.struct("a.doc", "a.line") != F.struct("b.doc", "b.line")) & _may_match(percent, "a", "b")
     )
     stars = saved(starred.select(*_pair("a", "b")).distinct(), "stars")
@@ -221,7 +262,7 @@ def similar_lines(
     settled = F.broadcast(done) if is_small(done) else done
     unmatched = table.join(settled, ["doc", "line"], "left_anti").alias("b")
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
-    rest = table.alias("a").join(unmatched, (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
+    rest = table.alias("a").join(unmatched, (F.col("a.mark") == F.col("b.mark")) & earlier & _may_match(percent, "a", "b"))
     rest = saved(rest.select(*_pair("a", "b")).distinct().join(stars, PAIR, "left_anti"), "rest")
     more = saved(_verified(rest, docs, percent, text, doc_id), "matched")
     docs.sparkSession.sql(f"DROP TABLE {name}")
@@ -230,15 +271,13 @@ def similar_lines(
         .groupBy(F.col("b_doc").alias("first_doc"), F.col("b_line").alias("first_line"))
         .agg(F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))).alias("w"))
     )
-    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("size"))
-    classes = firsts.select(*CLASS, F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"), "size")
+    classes = classes.select(*CLASS, F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"), "size")
     # A line of a class of its own that nothing matches stays.
     classes = classes.join(witness, ["first_doc", "first_line"], "left").filter(F.col("w").isNotNull() | (F.col("size") > 1))
     own = F.struct("doc", "line")
     first = F.struct(F.col("first_doc").alias("doc"), F.col("first_line").alias("line"))
     return (
-        lines.select("doc", "line", *CLASS)
-        .join(classes, CLASS)
+        lines.join(classes, CLASS)
         .withColumn("match", F.when(F.col("w").isNotNull(), F.col("w")).when(own != first, first))
         .filter("match IS NOT NULL")
         .select("doc", "line", F.col("match.doc").alias("match_doc"), F.col("match.line").alias("match_line"))
@@ -255,15 +294,13 @@ def line_links(
     Members: doc, line, class_doc, class_line (the first line of equal words), for every line of enough words.
     Pairs: a_doc, a_line, b_doc, b_line, the classes whose words are similar but unequal, the earlier one first.
     """
-    lines = saved(keyed_lines(docs, rarity_cells(docs, text), percent, min_words, text, doc_id), "lines")
-    table, name = _prefix_table(lines, percent)
+    lines, classes, table, name = _prepared(docs, percent, min_words, text, doc_id)
     earlier = F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
-    met = table.alias("a").join(table.alias("b"), (F.col("a.word") == F.col("b.word")) & earlier & _may_match(percent, "a", "b"))
+    met = table.alias("a").join(table.alias("b"), (F.col("a.mark") == F.col("b.mark")) & earlier & _may_match(percent, "a", "b"))
     met = saved(met.select(*_pair("a", "b")).distinct(), "met")
     pairs = saved(_verified(met, docs, percent, text, doc_id), "pairs")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line")).alias("f"))
-    members = lines.select("doc", "line", *CLASS).join(firsts, CLASS)
+    members = lines.join(classes, CLASS)
     members = members.select("doc", "line", F.col("f.doc").alias("class_doc"), F.col("f.line").alias("class_line")).distinct()
     return saved(members, "members"), pairs
 
