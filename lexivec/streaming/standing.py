@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import posixpath
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from lexivec.operators.nearest import DEMO_RESULTS, PLACES, similarities
-from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small
+from lexivec.scale import BROADCAST_BYTES, BROADCAST_ROWS, is_small, measure
 
 # The state store that keeps state outside the memory of the JVM, and that lists of state need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,6 +50,21 @@ class _BestHits(StatefulProcessor):
         pass
 
 
+def _most_queries(k: int) -> int:
+    # The limit under which `similarities` ships queries: larger ones would need a grid, which a stream cannot have.
+    return min(BROADCAST_ROWS, BROADCAST_BYTES // (32 * k))
+
+
+def query_sets(queries: DataFrame, k: int = DEMO_RESULTS) -> list[DataFrame]:
+    """`queries(query_id, vector)` in as few sets as may each be registered in a stream of its own; an id is in one set."""
+    rows, size = measure(queries.filter(F.col("vector").isNotNull()))
+    share = max(rows / _most_queries(k), size / BROADCAST_BYTES)
+    if share <= 1:
+        return [queries]
+    sets = math.ceil(share * 1.25)  # as hashes do not deal evenly
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == n) for n in range(sets)]
+
+
 def best_so_far(
     documents: DataFrame, queries: DataFrame, k: int = DEMO_RESULTS, above: float | None = None, places: int = PLACES
 ) -> DataFrame:
@@ -66,8 +82,7 @@ def best_so_far(
     if not documents.isStreaming:
         raise ValueError("documents must be a stream; use vector_topk_batch for a table")
     queries = queries.filter(F.col("vector").isNotNull())
-    # The limit under which `similarities` ships queries: larger ones would need a grid, which a stream cannot have.
-    if not is_small(queries, min(BROADCAST_ROWS, BROADCAST_BYTES // (32 * k))):
+    if not is_small(queries, _most_queries(k)):
         raise ValueError("too many standing queries for one stream: register them in several")
     found = similarities(documents, queries, k, above, places)
     held = T.StructType([found.schema["id"], found.schema["sim"]])

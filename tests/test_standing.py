@@ -91,3 +91,11 @@ def test_refusals(spark, tmp_path, asked, store):
         standing.best_so_far(arriving, asked, k=0)
     with pytest.raises(ValueError, match="several"):
         standing.best_so_far(arriving, asked, k=10**7)
+
+
+def test_queries_that_are_too_many_for_one_stream(spark, tmp_path, asked, store, monkeypatch):
+    assert len(standing.query_sets(asked)) == 1
+    monkeypatch.setattr(standing, "BROADCAST_ROWS", 4)
+    sets = standing.query_sets(asked.union(asked.filter("query_id = 1")))
+    assert len(sets) == 3
+    assert sorted(r.query_id for s in sets for r in s.collect()) == [0, 1, 1, 2, 3, 4, 5, 99]
