@@ -73,3 +73,21 @@ def test_an_index_is_saved_in_steps(spark, docs, queries, tmp_path, monkeypatch)
     assert rows(steps.postings) == rows(whole.postings)
     found = bm25.search(steps, queries)
     assert rows(found) == rows(bm25.search(built, queries))
+
+
+def test_blocks_are_saved_in_steps(spark, docs, queries, tmp_path, monkeypatch):
+    built = bm25.build_index(docs, CONFIG)
+    block_store.save_blocks(built, str(tmp_path / "whole"), buckets=5, size=8)
+    before = kept(spark)
+    monkeypatch.setattr(bm25, "SLICE_BYTES", 1)
+    monkeypatch.setattr(bm25, "SLICES", 3)
+    # Most documents look up other terms.
+    monkeypatch.setattr(blockmax, "FIRST_TERMS", 1)
+    block_store.save_blocks(built, str(tmp_path / "steps"), buckets=5, size=8)
+    left = {name.split("-")[0] for name in kept(spark) - before}
+    assert not left & {"counts", "lengths", "statistics", "ordered", "weighted"}
+    whole, steps = (block_store.load_blocks(spark, str(tmp_path / n), WORDS) for n in ("whole", "steps"))
+    for name in ("places", "blocks", "bitmaps"):
+        assert rows(getattr(steps, name)) == rows(getattr(whole, name))
+    for limit in ({}, {"broadcast_rows": 0}):
+        assert rows(blockmax.search_blocks(steps, queries, **limit)) == rows(bm25.search(built, queries))
