@@ -21,6 +21,7 @@ import math
 import posixpath
 import uuid
 from collections.abc import Sequence
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lexivec.operators.bm25 import BM25Config, Index, corpus_totals, doc_lengths, precision_of, term_freq, term_stats
+from lexivec.operators.bm25 import TEXT_BYTES, BM25Config, Index, corpus_totals, doc_lengths, precision_of, term_freq, term_stats
 from lexivec.operators.checks import require_columns
-from lexivec.scale import MAX_PARTITIONS, PARTITION_BYTES, is_small, materialise, scan_bytes
+from lexivec.scale import MAX_PARTITIONS, PARTITION_BYTES, borrowed, is_small, materialise, scan_bytes, write_table
 from lexivec.streaming.ingest import NO_ID, PRESENT, REPEATED, _settings
 
 FANOUT = 4
@@ -92,21 +93,26 @@ def _sketch(documents: DataFrame, rows: int) -> DataFrame:
 
 
 def _write_segment(
-    spark: SparkSession, path: str, postings: DataFrame, documents: DataFrame, withdrawn: DataFrame, size: int, level: int, first: int, last: int
+    spark: SparkSession, path: str, postings: DataFrame, documents: DataFrame, withdrawn: DataFrame, size: int, level: int, first: int, last: int,
+    laid: bool = False,
 ) -> dict:
-    """Write the tables of a segment; `documents` and `postings` have the batch that brought them."""
+    """Write the tables of a segment; `documents` and `postings` have the batch that brought them.
+
+    Postings that are `laid` by document already become files as they lie.
+    """
     folder = uuid.uuid4().hex
 
     def at(name: str) -> str:
         return posixpath.join(path, "segments", folder, name)
 
-    _in_files(postings, size, "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(at("postings"))
-    _in_files(documents, size // 8, "doc_id").sortWithinPartitions("doc_id").write.parquet(at("documents"))
-    _in_files(withdrawn, size // 8, "doc_id").write.parquet(at("withdrawn"))
+    placed = postings if laid else _in_files(postings, size, "doc_id")
+    write_table(placed.sortWithinPartitions("term", "doc_id"), at("postings"))
+    write_table(_in_files(documents, size // 8, "doc_id").sortWithinPartitions("doc_id"), at("documents"))
+    write_table(_in_files(withdrawn, size // 8, "doc_id"), at("withdrawn"))
     kept = spark.read.schema(documents.schema).parquet(at("documents"))
     counts = {"documents": kept.count(), "withdrawn": spark.read.schema(withdrawn.schema).parquet(at("withdrawn")).count()}
     rows = _filter_rows(counts["documents"])
-    _in_files(_sketch(kept.select("doc_id"), rows), size // 64, "row").sortWithinPartitions("row").write.parquet(at("sketch"))
+    write_table(_in_files(_sketch(kept.select("doc_id"), rows), size // 64, "row").sortWithinPartitions("row"), at("sketch"))
     return {"folder": folder, "level": level, "first": first, "last": last, "rows": rows, **counts}
 
 
@@ -180,34 +186,37 @@ def add_batch(
         return
     columns = list(dict.fromkeys([id_col, *config.field_weights, *config.retained]))
     leaves = F.lit(False) if withdraw_col is None else F.coalesce(F.col(withdraw_col), F.lit(False))
-    batch = materialise(batch.select(*columns, leaves.alias("_leaves")), "batch")
-    named = batch.filter(F.col(id_col).isNotNull())
-    going = named.filter("_leaves").select(F.col(id_col).alias("doc_id")).distinct().withColumn("batch", F.lit(batch_id).cast("long"))
-    going = materialise(going, "withdrawn")
-    # The smallest row of an id is taken, so a retried batch takes the same one.
-    order = Window.partitionBy(id_col).orderBy(*(F.col(c) for c in columns))
-    numbered = named.filter("NOT _leaves").withColumn("_nth", F.row_number().over(order))
-    judged = numbered.withColumn("reason", F.when(F.col("_nth") > 1, F.lit(REPEATED))).drop("_nth")
-    staying = named.filter("NOT _leaves").select(F.col(id_col).alias("doc_id")).distinct().join(going.select("doc_id"), "doc_id", "left_anti")
-    present, work = _present(spark, path, manifest, staying)
-    if present is not None:
-        known = present.select(F.col("doc_id").alias(id_col), F.lit(True).alias("_known"))
-        judged = judged.join(known, id_col, "left")
-        judged = judged.withColumn("reason", F.when(F.col("_known"), F.lit(PRESENT)).otherwise(F.col("reason"))).drop("_known")
-    nameless = batch.filter(F.col(id_col).isNull()).withColumn("reason", F.lit(NO_ID))
-    judged = materialise(judged.unionByName(nameless).drop("_leaves"), "judged")
-    refused = judged.filter(F.col("reason").isNotNull())
-    if refuse == "fail":
-        first = refused.first()
-        if first is not None:
-            raise ValueError(f"document {first[id_col]!r} of batch {batch_id} is refused: {first['reason']}")
-    refused.write.mode("overwrite").parquet(posixpath.join(path, "rejected", f"batch={batch_id}"))
-    arrived = judged.filter(F.col("reason").isNull()).drop("reason")
-    number = F.lit(batch_id).cast("long").alias("batch")
-    postings = materialise(term_freq(arrived, config, id_col).select("*", number), "postings")
-    documents = doc_lengths(arrived, config, id_col).select("*", number)
-    made = _write_segment(spark, path, postings, documents, going, scan_bytes(postings), 0, batch_id, batch_id)
-    segments = _merged(spark, path, [*manifest["segments"], made], fanout)
+    with ExitStack() as until_added:
+        with borrowed(batch.select(*columns, leaves.alias("_leaves")), "batch") as batch:
+            named = batch.filter(F.col(id_col).isNotNull())
+            going = named.filter("_leaves").select(F.col(id_col).alias("doc_id")).distinct().withColumn("batch", F.lit(batch_id).cast("long"))
+            going = until_added.enter_context(borrowed(going, "withdrawn"))
+            # The smallest row of an id is taken, so a retried batch takes the same one.
+            order = Window.partitionBy(id_col).orderBy(*(F.col(c) for c in columns))
+            numbered = named.filter("NOT _leaves").withColumn("_nth", F.row_number().over(order))
+            judged = numbered.withColumn("reason", F.when(F.col("_nth") > 1, F.lit(REPEATED))).drop("_nth")
+            staying = named.filter("NOT _leaves").select(F.col(id_col).alias("doc_id")).distinct().join(going.select("doc_id"), "doc_id", "left_anti")
+            present, work = _present(spark, path, manifest, staying)
+            if present is not None:
+                known = present.select(F.col("doc_id").alias(id_col), F.lit(True).alias("_known"))
+                judged = judged.join(known, id_col, "left")
+                judged = judged.withColumn("reason", F.when(F.col("_known"), F.lit(PRESENT)).otherwise(F.col("reason"))).drop("_known")
+            nameless = batch.filter(F.col(id_col).isNull()).withColumn("reason", F.lit(NO_ID))
+            judged = until_added.enter_context(borrowed(judged.unionByName(nameless).drop("_leaves"), "judged"))
+        refused = judged.filter(F.col("reason").isNotNull())
+        if refuse == "fail":
+            first = refused.first()
+            if first is not None:
+                raise ValueError(f"document {first[id_col]!r} of batch {batch_id} is refused: {first['reason']}")
+        write_table(refused, posixpath.join(path, "rejected", f"batch={batch_id}"), mode="overwrite")
+        arrived = judged.filter(F.col("reason").isNull()).drop("reason")
+        size, number = scan_bytes(judged), F.lit(batch_id).cast("long").alias("batch")
+        # Texts are moved and not their counts, which are several times as large.
+        spread = arrived.repartition(min(max(math.ceil(size / TEXT_BYTES), 1), MAX_PARTITIONS), id_col)
+        postings = term_freq(spread, config, id_col).select("*", number)
+        documents = doc_lengths(arrived, config, id_col).select("*", number)
+        made = _write_segment(spark, path, postings, documents, going, size, 0, batch_id, batch_id, laid=True)
+        segments = _merged(spark, path, [*manifest["segments"], made], fanout)
     _commit(spark, path, {**manifest, "batch": batch_id, "segments": segments, "settings": _settings(config), "last": work})
 
 

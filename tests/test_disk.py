@@ -91,3 +91,11 @@ def test_blocks_are_saved_in_steps(spark, docs, queries, tmp_path, monkeypatch):
         assert rows(getattr(steps, name)) == rows(getattr(whole, name))
     for limit in ({}, {"broadcast_rows": 0}):
         assert rows(blockmax.search_blocks(steps, queries, **limit)) == rows(bm25.search(built, queries))
+
+
+def test_batches_leave_no_tables(spark, docs, tmp_path):
+    before, path = kept(spark), str(tmp_path / "segments")
+    segments.add_batch(docs, 0, CONFIG, path)
+    segments.add_batch(docs.filter("doc_id < 3"), 1, CONFIG, path)
+    assert {name.split("-")[0] for name in kept(spark) - before} <= {"possible"}
+    assert rows(bm25.weights(segments.segmented_index(spark, CONFIG, path))) == rows(bm25.weights(bm25.build_index(docs, CONFIG)))
